@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stelwerk.llm import canonical
+from stelwerk.llm import canonical, leakage, packing, spam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,40 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return all_rows.select("field", "rec_id", "value", (F.col("value") != F.col("stored")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical)}
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: one row of totals."""
+    bins = packing.pack(table(spark, d, "documents")).groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return bins.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"), F.sum(packing.CAPACITY - F.col("n")).alias("unused_tokens"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which a document holds at least half the words in common runs, in any order."""
+    return leakage.coverage(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.pages(table(spark, d, "documents")).where("is_spam").select("doc_id")
+
+
+def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by their main non-sentence shape: how many, how many of them flagged, how many words."""
+    pages = spam.pages(table(spark, d, "documents")).where("top_shape is not null")
+    return pages.groupBy("top_shape").agg(F.count("*").alias("n_pages"), F.count_if("is_spam").alias("n_flagged"), F.sum("top_words").alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
 
 SQL: dict[str, str] = {}
