@@ -29,6 +29,12 @@ class Node:
         self.chars = self.link_chars = self.tags = self.link_tags = 0
 
 
+def page_title(page: str) -> str:
+    """The words of the page's title element, joined by single spaces; empty if there is none."""
+    m = re.search(r"<title[^>]*>(.*?)</title", page, re.S | re.I)
+    return " ".join(html.unescape(m[1]).split()) if m else ""
+
+
 def parse(page: str) -> list[Node]:
     """The elements of a page in document order, the root first. Comments, scripts and the like leave nothing. Missing
     end tags are made up as browsers do for lists, tables and paragraphs; other stray end tags are left out."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stelwerk.llm import canonical, leakage, packing, spam
+from stelwerk.llm import boilerplate, canonical, leakage, packing, spam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,17 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return all_rows.select("field", "rec_id", "value", (F.col("value") != F.col("stored")).alias("changed"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, d, "instruments"), "rec_id", "props.raw_html").select("rec_id", "block_id").distinct()
+
+
+def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every page that has one, its blocks joined by line feeds."""
+    blocks = boilerplate.main_text(table(spark, d, "instruments"), "rec_id", "props.raw_html")
+    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]))
+    return blocks.groupBy("rec_id").agg(F.count("*").alias("n_blocks"), joined.alias("main_text"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -67,6 +78,6 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("top_shape").agg(F.count("*").alias("n_pages"), F.count_if("is_spam").alias("n_flagged"), F.sum("top_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p4_found, p4_main_text, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
 
 SQL: dict[str, str] = {}
