@@ -1 +1 @@
-
+"""Column functions: keys, text, classification."""

@@ -1 +1 @@
-
+"""Structured Streaming over the landing folder."""
