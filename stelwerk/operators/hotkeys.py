@@ -53,7 +53,7 @@ def _dense(table: pa.Table, sets: list[list[str]], keys: list[str]) -> Iterator[
             rest = rest // len(coded[k][1])
         cols = [pa.array(np.full(size, i, dtype=np.int32))]
         cols += [parts[k].cast(pa.string()) if k in parts else pa.nulls(size, pa.string()) for k in keys]
-        cols += [pa.array(np.bincount(dense, minlength=size)), pa.array(seen), pa.array(np.bincount(dense[known], weights=conf[known], minlength=size))]
+        cols += [pa.array(np.bincount(dense, minlength=size), pa.int64()), pa.array(seen, pa.int64()), pa.array(np.bincount(dense[known], weights=conf[known], minlength=size).astype(float))]
         cols += [pa.array(top, mask=seen == 0), pa.array(when[last], mask=~dated[last]), pa.array(rec[last])]
         yield pa.RecordBatch.from_arrays(cols, names=["grouping", *keys, "n", "n_value", "total", "top", "last_at", "last_rec"])
 

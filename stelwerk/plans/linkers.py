@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stelwerk.functions import text as X
 from stelwerk.operators import detect as D
 from stelwerk.operators import graph
+from stelwerk.operators.scan import find_all, pattern
 from stelwerk.sources.profiles import act_aliases, section
 
 
@@ -65,3 +66,31 @@ def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str
     rules = D.parliament_rules(act_aliases(profile))
     hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", rules, section(profile, "code_aliases"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "tk-article-linker")
+
+
+#: Most words of an act's name that are compared.
+NAME_WORDS = 8
+_NAMED = r"\b(?:artikel|article|art\.)\s+(\d+(?::\d+)*[a-z]?)(?:\s*,\s*lid\s+\d+)?\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?([\p{L}\p{N}]+(?:\s[\p{L}\p{N}]+){0,7})"
+
+
+def act_names(instruments: DataFrame) -> DataFrame:
+    """``name, bwb_id``: titles and short titles (lower-case) that mean one law only."""
+    each = F.explode(F.array("props.title", "props.short_title"))
+    rows = instruments.where("props.bwb_id is not null").select(F.col("props.bwb_id").alias("bwb_id"), each.alias("n"))
+    named = rows.select(F.lower(X.filled(F.col("n"))).alias("name"), "bwb_id").where("name is not null")
+    return named.groupBy("name").agg(F.min("bwb_id").alias("bwb_id"), F.max("bwb_id").alias("other")).where("bwb_id = other").drop("other")
+
+
+def link_by_names(docs: DataFrame, text: str, names: DataFrame, nodes: DataFrame, source: str = "name-linker") -> DataFrame:
+    """Edges for articles cited with an act's name or short title, where the names are a table of any size: the words after
+    the article, 1 to NAME_WORDS of them, are joined to it, and the longest name that is there counts. ``docs``: ``_id`` and
+    the text column."""
+    rx = pattern(_NAMED)
+    found = docs.select(F.col("_id").alias("doc"), F.inline(find_all(F.col(text), rx)))
+    words = F.split(F.lower(F.regexp_extract("text", rx, 2)), r"\s")
+    found = found.select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), words.alias("w"))
+    tries = found.select("doc", "start", "text", "article_number", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(NAME_WORDS)))).alias("n"))
+    tries = tries.select("doc", "start", "text", "article_number", "n", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("n"))).alias("name"))
+    best = tries.join(names, "name").groupBy("doc", "start", "text", "article_number").agg(F.max_by("bwb_id", "n").alias("bwb_id"))
+    hits = best.select("doc", "start", "article_number", "bwb_id", F.col("text").alias("raw_match"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("celex"), F.lit(None).cast("string").alias("snippet"), F.lit(0.95).alias("confidence"))
+    return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, source, ("start", "raw_match"))

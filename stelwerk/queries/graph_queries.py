@@ -232,8 +232,8 @@ def node_neighbors(spark, d):
 
 
 def semi_recent(spark, d):
-    recent = R.scan(table(spark, d, "raw_sources"), "tk", ["tk-documentversie"], SINCE).select("external_id").distinct()
-    return table(spark, d, "publications").select("rec_id", F.col("props.external_id").alias("external_id")).join(recent, "external_id", "left_semi")
+    recent = R.scan(table(spark, d, "raw_sources"), "bwb", ["bwb-toestand-xml"], SINCE).select("external_id").distinct()
+    return table(spark, d, "instruments").select("rec_id", F.col("props.bwb_id").alias("external_id")).join(recent, "external_id", "left_semi")
 
 
 def citations_union(spark, d):
@@ -324,11 +324,19 @@ def link_parliament(spark, d):
     return linkers.link_parliament(docs[0].unionByName(docs[1]), nodes(spark, d), PROFILE).select(*_EDGE)
 
 
+def link_by_names(spark, d):
+    """Publications and articles to the articles they cite by the act's title or short title."""
+    pubs = graph.current(table(spark, d, "publications"), "concat_ws(' ', props.title, get_json_object(props.raw, '$.Tekst')) as text")
+    arts = graph.current(table(spark, d, "instrument_articles"), "props.text as text")
+    names = linkers.act_names(table(spark, d, "instruments"))
+    return linkers.link_by_names(pubs.unionByName(arts), "text", names, table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
+
+
 _LIST = """raw_scan_kind_since raw_count_by_kind raw_split_by_kind raw_json_field raw_latest_per_key raw_first_per_key sources_in_order node_keys article_keys id_parts display_names
 strip_html joined_text keyword_classifier multi_rule_classifier citation_scan citation_snippets citation_first_per_number citation_edge_lastwins overlap_antijoin citation_ranges celex_format
 resolve_targets edge_build_strict edge_build_publications edge_insert_if_absent upsert_merge_nodes seed_summary topic_or_lookup labels_contains instrument_topics mentions_of_article confident_edges
 article_detail document_articles node_neighbors semi_recent citations_union law_versions_latest stream_counts json_text_collect normalize_laws normalize_law_edges normalize_judgments normalize_eu_acts
-normalize_procedures normalize_publications topic_edges link_laws stored_citations link_eu link_judgments link_parliament"""
+normalize_procedures normalize_publications topic_edges link_laws stored_citations link_eu link_judgments link_parliament link_by_names"""
 QUERIES = {name: globals()[name] for name in _LIST.split()}
 
 _FILLED = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -419,7 +427,7 @@ SQL = {
       WITH nodes AS ({_NODES}), e AS (SELECT _from, _to, relation, confidence, strict FROM edges_strict UNION ALL SELECT _from, _to, relation, confidence, strict FROM edges_semantic),
       w AS (SELECT _from AS node_id, _to AS neighbour_id, 'outbound' AS direction, relation, strict, confidence FROM e UNION ALL SELECT _to, _from, 'inbound', relation, strict, confidence FROM e)
       SELECT w.node_id, w.neighbour_id, n.display_name AS neighbour_name, w.relation, w.direction, w.strict, w.confidence FROM w JOIN nodes n ON n._id = w.neighbour_id WHERE w.node_id IS NOT NULL""",
-    "semi_recent": f"SELECT rec_id, props.external_id AS external_id FROM publications WHERE props.external_id IN (SELECT external_id FROM raw_sources WHERE source = 'tk' AND kind = 'tk-documentversie' AND fetched_at >= TIMESTAMP '{SINCE}')",
+    "semi_recent": f"SELECT rec_id, props.bwb_id AS external_id FROM instruments WHERE props.bwb_id IN (SELECT external_id FROM raw_sources WHERE source = 'bwb' AND kind = 'bwb-toestand-xml' AND fetched_at >= TIMESTAMP '{SINCE}')",
     "citations_union": """
       SELECT source_id, target_id, start_pos, end_pos, text, confidence FROM (
         SELECT _from AS source_id, _to AS target_id, meta.start_pos AS start_pos, meta.end_pos AS end_pos, meta.text AS text, confidence,
