@@ -62,17 +62,26 @@ def _fold(ch: str) -> str | None:
     return None
 
 
+def _alone(s: str) -> str:
+    s = unicodedata.normalize("NFD", s)
+    return unicodedata.normalize("NFC", "".join(c if (to := _fold(c)) is None else to for c in s))
+
+
+_segment = lru_cache(maxsize=1 << 16)(_alone)
+
+
 @lru_cache(maxsize=1)
 def _unstable() -> re.Pattern:
     """A pattern for runs of unstable characters."""
     seconds = set()  # characters that may combine with one before them: quick check *maybe*
-    chars = [chr(c) for c in range(0x9, 0x323B0) if not 0xD800 <= c <= 0xDFFF]
+    # Unified ideographs, Hangul syllables and private use are stable throughout.
+    chars = [chr(c) for a, b in ((0x9, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x17000), (0x1AFF0, 0x20000), (0x2F800, 0x2FA20)) for c in range(a, b)]
     for ch in chars:
         form = unicodedata.decomposition(ch)
         if form and form[0] != "<" and " " in form:
             seconds.add(chr(int(form.split()[1], 16)))
     seconds.update(chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])
-    codes = [ord(ch) for ch in chars if ch in seconds or unicodedata.combining(ch) or _fold(ch) is not None or unicodedata.normalize("NFC", ch) != ch]
+    codes = [ord(ch) for ch in chars if ch in seconds or unicodedata.combining(ch) or _alone(ch) != ch]
     codes += range(0xE0000, 0xE1000)
     spans: list[list[int]] = []
     for c in codes:
@@ -83,14 +92,10 @@ def _unstable() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
 
 
-@lru_cache(maxsize=1 << 16)
-def _segment(s: str) -> str:
-    s = unicodedata.normalize("NFD", s.replace("\r\n", "\n"))
-    return unicodedata.normalize("NFC", "".join(c if (to := _fold(c)) is None else to for c in s))
-
-
 def canonical_text(text: str) -> str:
     """The text in its one form: composed, without invisible characters, plain spaces, look-alikes folded, trimmed."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
     parts, done = [], 0
     for m in _unstable().finditer(text):
         start = max(done, m.start() - 1)  # the stable character before is the boundary context

@@ -112,34 +112,55 @@ def _edits(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
+def _beyond(item: list[int], doc: list[int]) -> list[int]:
+    """For k = 0, 1, ...: the fewest edits between the first k words of the item and any beginning of the document."""
+    row = list(range(len(doc) + 1))
+    least = [0]
+    for x, p in enumerate(item, 1):
+        last, row[0] = row[0], x
+        for y, q in enumerate(doc, 1):
+            last, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, last + (p != q or not q))
+        least.append(min(row))
+    return least
+
+
 def in_order(item: np.ndarray, doc: np.ndarray, found: list[tuple[int, int, int]]) -> bool:
     """Whether tiles in order make a passage: a stretch of at least PASSAGE item words with at most one edit in PER_EDIT.
-    A stretch may begin or end with edited words, so a shorter run of tiles may be filled up with edits."""
-    least = min(PASSAGE, len(item) + 1)
+
+    Between tiles the words are compared one by one. A chain of tiles that is too short is filled up at its ends, where
+    words stand that are too few for a tile, or edited ones: a passage may begin or end with them."""
     if len(item) < PASSAGE:
         return False
-
-    def passes(n: int, e: int) -> bool:
-        e += max(0, least - n)
-        return e * PER_EDIT <= max(n, least)
-
     a_list, b_list = item.tolist(), doc.tolist()
-    ways: list[list[tuple[int, int]]] = []  # per tile: (start in the item, edits so far), none worse in both than another
+    allowed = PASSAGE // PER_EDIT
+
+    def passes(s: int, at: int, end: int, until: int, e: int) -> bool:
+        n = end - s
+        if n >= PASSAGE:
+            return e * PER_EDIT <= n
+        need = PASSAGE - n
+        if e > allowed or need > allowed * TILE:  # an edit hides TILE - 1 words beside it at most
+            return False
+        right = _beyond(a_list[end : end + need], b_list[until : until + need + allowed])
+        left = _beyond(a_list[max(0, s - need) : s][::-1], b_list[max(0, at - need - allowed) : at][::-1])
+        return any(k < len(left) and need - k < len(right) and e + left[k] + right[need - k] <= allowed for k in range(need + 1))
+
+    ways: list[list[tuple[int, int, int]]] = []  # per tile: (start in the item, edits so far, start in the document)
     order = sorted(found)
     for t, (a, b, n) in enumerate(order):
-        own = [(a, 0)]
+        own = [(a, 0, b)]
         for (p, q, m), before in zip(order[:t], ways):
             over = max(0, p + m - a, q + m - b)
             if over >= n or a <= p or b <= q or a - p - m > GAP or b - q - m > GAP:
                 continue
             cost = _edits(a_list[p + m : a + over], b_list[q + m : b + over])
-            own += [(s, e + cost) for s, e in before]
+            own += [(s, e + cost, at) for s, e, at in before]
         best, kept = None, []
-        for s, e in sorted(own):
-            if best is None or e < best:
-                best = e
-                kept.append((s, e))
-        if any(passes(a + n - s, e) for s, e in kept):
+        for way in sorted(own):  # none that is worse than another in start and edits
+            if best is None or way[1] < best:
+                best = way[1]
+                kept.append(way)
+        if any(passes(s, at, a + n, b + n, e) for s, e, at in kept):
             return True
         ways.append(kept)
     return False
