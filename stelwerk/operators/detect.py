@@ -101,9 +101,13 @@ def _lookup(c: Column, values: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.upper(c)]
 
 
+def _numbered(found: Column, seq: int) -> Column:
+    return F.transform(found, lambda m: F.struct(F.lit(seq).alias("seq"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("raw_match")))
+
+
 def matches(df: DataFrame, doc: str, text: str, rules: Sequence[Rule], base: int = 0) -> DataFrame:
     """``doc, txt, seq, start, end, raw_match``: every match of every rule; ``seq`` is the rule's number from ``base``."""
-    arrays = [F.transform(find_all(F.col("txt"), pattern(r.regex)), lambda m, i=i: F.struct(F.lit(base + i).alias("seq"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("raw_match"))) for i, r in enumerate(rules)]
+    arrays = [_numbered(find_all(F.col("txt"), pattern(r.regex)), base + i) for i, r in enumerate(rules)]
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("txt")).where("txt is not null")
     return rows.select("doc", "txt", F.inline(F.concat(*arrays)))
 
@@ -149,7 +153,7 @@ def detect_judgment(df: DataFrame, doc: str, text: str, codes: Mapping[str, str]
     with_code = F.concat(*[F.filter(find_all(F.col("txt"), pattern(r.regex)), known(r)) for r in rules])
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("txt")).where("txt is not null").withColumn("spans", with_code)
     free = lambda m: ~F.exists("spans", lambda s: (m["end"] > s["start"]) & (m["start"] < s["end"]))
-    bare = F.concat(*[F.transform(F.filter(find_all(F.col("txt"), pattern(r.regex)), free), lambda m, i=i: F.struct(F.lit(base + i).alias("seq"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("raw_match"))) for i, r in enumerate(BARE_RULES)])
+    bare = F.concat(*[_numbered(F.filter(find_all(F.col("txt"), pattern(r.regex)), free), base + i) for i, r in enumerate(BARE_RULES)])
     extra = targets(rows.select("doc", "txt", F.inline(bare)), BARE_RULES, {}, base)
     extra = extra.withColumn("snippet", X.snippet(F.col("txt"), F.col("start"), F.col("end"))).drop("txt")
     first = first_per_target(extra, ["kind", "celex", "bwb_id", "article_number"])

@@ -50,7 +50,7 @@ def edges(pairs: DataFrame, from_: Column, to: Column, relation: str, strict: bo
 
 def neighbours(edges_: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``_id, neighbour_id, neighbour_name, relation, direction, strict, confidence`` over the edges at a node, both ways.
-    ``of``: the nodes asked for (``_id``), else all. The other end must be a node. An edge to itself shows in both ways."""
+    ``of``: the nodes asked for (``_id``), else every end of an edge. The other end must be a node. An edge to itself shows in both ways."""
     cols = ["relation", "strict", "confidence"]
     both = edges_.select(F.col("_from").alias("_id"), F.col("_to").alias("other"), F.lit("outbound").alias("direction"), *cols).unionByName(edges_.select(F.col("_to").alias("_id"), F.col("_from").alias("other"), F.lit("inbound").alias("direction"), *cols)).where("_id is not null and other is not null")
     if of is not None:

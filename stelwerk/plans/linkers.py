@@ -70,7 +70,9 @@ def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str
 
 #: Most words of an act's name that are compared.
 NAME_WORDS = 8
-_NAMED = r"\b(?:artikel|article|art\.)\s+(\d+(?::\d+)*[a-z]?)(?:\s*,\s*lid\s+\d+)?\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?([\p{L}\p{N}]+(?:\s[\p{L}\p{N}]+){0,7})"
+NAME_CHARS = 400
+_CITED = r"\b(?:artikel|article|art\.)\s+(\d+(?::\d+)*[a-z]?)\b(?:\s*,\s*lid\s+\d+)?"
+_NAME = r"^\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?([\p{L}\p{N}]+(?:\s[\p{L}\p{N}]+){0,7})"
 
 
 def act_names(instruments: DataFrame) -> DataFrame:
@@ -85,10 +87,10 @@ def link_by_names(docs: DataFrame, text: str, names: DataFrame, nodes: DataFrame
     """Edges for articles cited with an act's name or short title, where the names are a table of any size: the words after
     the article, 1 to NAME_WORDS of them, are joined to it, and the longest name that is there counts. ``docs``: ``_id`` and
     the text column."""
-    rx = pattern(_NAMED)
-    found = docs.select(F.col("_id").alias("doc"), F.inline(find_all(F.col(text), rx)))
-    words = F.split(F.lower(F.regexp_extract("text", rx, 2)), r"\s")
-    found = found.select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), words.alias("w"))
+    rx = pattern(_CITED)
+    found = docs.select(F.col("_id").alias("doc"), F.col(text).alias("_all"), F.inline(find_all(F.col(text), rx)))
+    after = F.regexp_extract(F.substring(F.col("_all"), F.col("end") + 1, F.lit(NAME_CHARS)), pattern(_NAME), 1)
+    found = found.select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), F.split(F.lower(after), r"\s").alias("w"))
     tries = found.select("doc", "start", "text", "article_number", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(NAME_WORDS)))).alias("n"))
     tries = tries.select("doc", "start", "text", "article_number", "n", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("n"))).alias("name"))
     best = tries.join(names, "name").groupBy("doc", "start", "text", "article_number").agg(F.max_by("bwb_id", "n").alias("bwb_id"))

@@ -23,8 +23,8 @@ def raw_rows(df: DataFrame, source: str | Column, kind: str | Column, external_i
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Adds rows, partitioned by source and kind; nothing is compared or replaced."""
-    rows.write.mode("append").partitionBy("source", "kind").parquet(path)
+    """Adds rows, partitioned by source and kind, under new keys each time; nothing is compared or replaced."""
+    rows.withColumn("_key", F.expr("uuid()")).write.mode("append").partitionBy("source", "kind").parquet(path)
 
 
 def scan(raw: DataFrame, source: str | None = None, kinds: Iterable[str] = (), since: dt.datetime | str | None = None) -> DataFrame:
