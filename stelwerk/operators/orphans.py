@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from stelwerk.session import written
+
 #: Bits of the Bloom filter: at most 8 MB to broadcast. With more keys it lets more references through to the join.
 MAX_BITS = 1 << 26
 #: A key is hot if it has more than 1 / HOT_PARTS of all references, so there are fewer hot keys than this.
@@ -20,7 +22,8 @@ HOT_PARTS = 200
 
 
 def bloom(parents: DataFrame, key: str, bits: int = MAX_BITS) -> Column:
-    """A scalar subquery: the Bloom filter (bytes) of the hashes of the non-null keys, 8 bits a key up to ``bits``."""
+    """A scalar subquery: the Bloom filter (bytes) of the hashes of the non-null keys, 8 bits a key up to ``bits``. It is
+    built by partial aggregation; the driver gets the one value, at most ``bits`` bits, and hands it to the tasks."""
     n = max(1, parents.count())
     made = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.xxhash64(key), F.expr(f"{n}L"), F.expr(f"{max(64, min(bits, 8 * n))}L"))
     return parents.where(F.col(key).isNotNull()).agg(made.alias("bloom")).scalar()
@@ -51,26 +54,27 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     that had come by t were deleted by t. Repeated parents change nothing; repeated references stay."""
     refs = refs.select("src_table", "rec_id", "key", F.col("t").cast("timestamp_ntz").alias("t")).where(F.trim(F.regexp_replace("key", r"(?U)\s", "")) != "")
     parents = parents.where(F.col("key").isNotNull()).select("key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("ingested_at", "deleted_at")])
-    tried = refs.withColumn("maybe", maybe_in(bloom(parents, "key"), "key"))
-    certain = tried.where(~F.col("maybe")).select("src_table", "rec_id", "t", F.lit("missing").alias("reason"))
+    tried = written(refs.withColumn("maybe", maybe_in(bloom(parents, "key"), "key")), "tried")
+    certain = tried.where("not maybe").select("src_table", "rec_id", "t", F.lit("missing").alias("reason"))
     left = tried.where("maybe").drop("maybe")
 
-    total = refs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    hot = refs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PARTS > total).select("key")
+    # Fewer than HOT_PARTS keys can be this frequent, so both the list and their summaries are small.
+    by_key = left.groupBy("key").agg(F.count("*").alias("n"))
+    least = tried.count() / HOT_PARTS
+    hot = [r["key"] for r in by_key.where(F.col("n") > least).select("key").collect()]
     summary = parent_summary(parents)
-    few = F.broadcast(summary.join(F.broadcast(hot), "key", "left_semi"))
-    of_hot = left.join(F.broadcast(hot), "key", "left_semi").join(few, "key", "left")
-    of_rest = left.join(F.broadcast(hot), "key", "left_anti").join(summary, "key", "left")
-    met = of_hot.unionByName(of_rest)
+    met = left.where(~F.col("key").isin(hot)).join(summary, "key", "left")
+    if hot:
+        few = F.broadcast(summary.where(F.col("key").isin(hot)))
+        met = met.unionByName(left.where(F.col("key").isin(hot)).join(few, "key", "left"))
     plain = F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("t"), "late").when(F.col("t").isNotNull() & (F.col("open_from").isNull() | (F.col("open_from") > F.col("t"))), "open")
     judged = met.withColumn("reason", plain).where(F.col("reason").isNotNull())
 
     # Only keys whose every row by t is deleted some time are left to look at; a key's rows that reach over t save it.
     ended = parents.where(F.col("deleted_at").isNotNull()).select(F.col("key").alias("k"), F.coalesce("ingested_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("came"), F.col("deleted_at").alias("went")).where(F.col("came") < F.col("went")).distinct()
-    alive = (F.col("key") == F.col("k")) & (F.col("came") <= F.col("t")) & (F.col("went") > F.col("t"))
-    deleted = judged.where("reason = 'open'").join(ended, alive, "left_anti").withColumn("reason", F.lit("deleted"))
-    cols = ("src_table", "rec_id", "t", "reason")
-    rows = certain.unionByName(judged.where("reason <> 'open'").select(*cols)).unionByName(deleted.select(*cols))
+    alive = (F.col("reason") == "open") & (F.col("key") == F.col("k")) & (F.col("came") <= F.col("t")) & (F.col("went") > F.col("t"))
+    judged = judged.join(ended, alive, "left_anti").withColumn("reason", F.when(F.col("reason") == "open", "deleted").otherwise(F.col("reason")))
+    rows = certain.unionByName(judged.select("src_table", "rec_id", "t", "reason"))
     return rows.select("src_table", F.date_format("t", "yyyy-MM").alias("in_month"), "rec_id", "reason")
 
 
