@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     from stelwerk.session import session
 
     at = tmp_path_factory.mktemp("shared")
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{at}", "spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(at / "warehouse")}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{at}", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.warehouse.dir": str(at / "warehouse")}
     s = session("tests", "local[4]", **conf)
     s.sparkContext.setLogLevel("OFF")
     yield s
