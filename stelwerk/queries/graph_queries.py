@@ -11,7 +11,7 @@ from stelwerk.functions import keys as K
 from stelwerk.functions import text as X
 from stelwerk.operators import graph, merge
 from stelwerk.operators.scan import find_all
-from stelwerk.plans import linkers, normalize
+from stelwerk.plans import linkers, normalize, serve
 from stelwerk.queries.problems import NODE_TABLES, table
 from stelwerk.session import shared_dir
 from stelwerk.sources import raw as R
@@ -332,11 +332,22 @@ def link_by_names(spark, d):
     return linkers.link_by_names(pubs.unionByName(arts), "text", names, table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
 
 
+def node_payloads(spark, d):
+    """Current instruments as served, without their pages."""
+    acts = graph.current(table(spark, d, "instruments"), "type", "labels", "props")
+    return serve.node_payload(acts, drop=("raw_html",)).withColumnRenamed("_id", "node_id")
+
+
+def edge_confidences(spark, d):
+    edges = table(spark, d, "edges_semantic")
+    return edges.select("rec_id", serve.edge_confidence(edges).alias("confidence"))
+
+
 _LIST = """raw_scan_kind_since raw_count_by_kind raw_split_by_kind raw_json_field raw_latest_per_key raw_first_per_key sources_in_order node_keys article_keys id_parts display_names
 strip_html joined_text keyword_classifier multi_rule_classifier citation_scan citation_snippets citation_first_per_number citation_edge_lastwins overlap_antijoin citation_ranges celex_format
 resolve_targets edge_build_strict edge_build_publications edge_insert_if_absent upsert_merge_nodes seed_summary topic_or_lookup labels_contains instrument_topics mentions_of_article confident_edges
 article_detail document_articles node_neighbors semi_recent citations_union law_versions_latest stream_counts json_text_collect normalize_laws normalize_law_edges normalize_judgments normalize_eu_acts
-normalize_procedures normalize_publications topic_edges link_laws stored_citations link_eu link_judgments link_parliament link_by_names"""
+normalize_procedures normalize_publications topic_edges link_laws stored_citations link_eu link_judgments link_parliament link_by_names node_payloads edge_confidences"""
 QUERIES = {name: globals()[name] for name in _LIST.split()}
 
 _FILLED = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -412,6 +423,7 @@ SQL = {
     "labels_contains": "SELECT rec_id, _key FROM instruments WHERE list_contains(labels, 'EU')",
     "instrument_topics": f"SELECT DISTINCT i._id, i.celex, e._to AS topic_id FROM {_current('instruments', 'props.celex AS celex')} i JOIN edges_semantic e ON e._from = i._id WHERE e.relation = 'RELATED_TOPIC' AND i.celex IS NOT NULL",
     "mentions_of_article": "SELECT DISTINCT _to AS article_id, _from AS source_id FROM edges_semantic WHERE relation = 'MENTIONS_ARTICLE' AND _to IS NOT NULL",
+    "edge_confidences": "SELECT rec_id, confidence FROM edges_semantic",
     "confident_edges": "SELECT rec_id, _from, _to, confidence FROM edges_semantic WHERE confidence >= 0.8",
     "article_detail": f"""
       WITH nodes AS ({_NODES}), {_PART_OF},

@@ -45,6 +45,19 @@ def test_neighbours_name_the_other_end(spark, rows):
     assert G.neighbours(edges, nodes, nodes.where("_id = 'a/1'")).count() == 1
 
 
+def test_served_neighbourhood(spark):
+    import json
+
+    from stelwerk.plans import serve
+
+    cols = "_from string, _to string, relation string, strict boolean, confidence double"
+    strict, semantic = spark.createDataFrame([("a/1", "b/1", "R", True, None)], cols), spark.createDataFrame([("b/1", "a/1", "S", False, 0.5)], cols)
+    view = spark.createDataFrame([("a/1", "A"), ("b/1", "B")], "_id string, display_name string")
+    asked = spark.createDataFrame([("a/1",), ("c/1",)], "_id string")
+    got = {r._id: (r.n_strict, r.n_semantic, [x["direction"] for x in json.loads(r.neighbours)]) for r in serve.neighbourhood(asked, strict, semantic, view).collect()}
+    assert got == {"a/1": (1, 1, ["inbound", "outbound"]), "c/1": (0, 0, [])}
+
+
 def test_article_detail_in_both_directions(spark, rows):
     articles = spark.createDataFrame([("instrument_articles/x_1", "Art. 1"), ("instrument_articles/x_2", "Art. 2"), ("instrument_articles/x_3", "Art. 3")], "_id string, display_name string")
     strict = spark.createDataFrame([("instrument_articles/x_1", "instruments/x", "PART_OF_INSTRUMENT"), ("instruments/x", "instrument_articles/x_2", "PART_OF_INSTRUMENT")], "_from string, _to string, relation string")

@@ -152,6 +152,60 @@ def test_paged_source(spark):
     server.shutdown()
 
 
+def test_retrieval_from_a_local_service(spark, rows, monkeypatch):
+    import datetime as dt
+
+    from stelwerk.plans import retrieve
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            path, base = self.path, f"http://127.0.0.1:{self.server.server_port}"
+            listing = f"<r><record><bwb-id>B1</bwb-id><locatie_toestand>{base}/doc</locatie_toestand><geldigheidsperiode_einddatum>9999-12-31</geldigheidsperiode_einddatum></record></r>"
+            bodies = {"/Zaak": json.dumps({"value": [{"Id": "Z1", "Titel": "straf"}, {"Id": "Z2"}]}), "/DocumentVersie": json.dumps({"value": [{"Id": "D1"}]}), "/uitspraken/content?id=E1": "<e/>", "/uitspraken/zoeken": "<index/>", "/legal-content/NL/TXT/": "<p/>", "/sru?operation": listing, "/doc": "<wet/>"}
+            body = next((b for p, b in bodies.items() if path.startswith(p)), None)
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write((body or "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    cols = ("kind", "external_id", "payload_json", "payload_text")
+    since = dt.datetime(2020, 1, 1)
+    tk = retrieve.parliament(spark, since, cases=retrieve.parliament_filter({"title_contains": ["Straf"]}), base=base)
+    assert rows(tk.select(*cols[:2])) == [("tk-documentversie", "D1"), ("tk-zaak", "Z1")] and tk.where("payload_text is not null").count() == 0
+    rs = retrieve.judgments(spark, ["E1", "weg", "E1"], since, base=base)
+    assert rows(rs.select(*cols[:2])) == [("rs-content", "E1"), ("rs-index", None)] and rs.where("payload_json is not null").count() == 0
+    assert rows(retrieve.acts(spark, ["C1"], base=base).select("external_id", "meta")) == [("C1", {"celex": "C1", "lang": "NL"})]
+    assert rows(retrieve.laws(spark, ["B1"], base + "sru").select("external_id", "payload_text")) == [("B1", "<wet/>")]
+    assert retrieve.laws(spark, []).count() == retrieve.acts(spark, []).count() == retrieve.judgments(spark, []).count() == 0
+    server.shutdown()
+
+
+def test_served_documents(spark):
+    from stelwerk.plans import serve
+
+    df = spark.createDataFrame([("judgments/a", "judgment", ["x"], ("E", "<x/>", "profiel", "A")), ("judgments/b", None, None, (None, "<x/>", None, None))], "_id string, type string, labels array<string>, props struct<ecli:string,raw_xml:string,strafrecht_profile:string,display_name:string>")
+    got = {r._id: json.loads(r.payload) for r in serve.node_payload(df).collect()}
+    assert got["judgments/a"]["key"] == "a" and "raw_xml" not in got["judgments/a"]["props"]
+    assert "props" not in got["judgments/b"] and got["judgments/b"]["type"] == ""
+    assert [r.summary for r in serve.judgment_summary(df).collect()] == ["profiel", None]
+    assert json.loads(serve.schemas({"t": df})["t"])["type"] == "struct"
+    edges = spark.createDataFrame([(None, (0.5,)), (0.9, (0.5,))], "confidence double, meta struct<confidence:double>")
+    assert [r[0] for r in edges.select(serve.edge_confidence(edges)).collect()] == [0.5, 0.9]
+
+
+def test_stages_skipped_by_environment(monkeypatch):
+    from stelwerk.__main__ import skipped_by_environment
+
+    monkeypatch.setenv("STELWERK_SKIP_SEED", "true")
+    monkeypatch.setenv("STELWERK_SKIP_LAWS", "0")
+    assert skipped_by_environment() == {"seed"}
+
+
 def test_landing_table_and_scan(spark, tmp_path):
     df = spark.createDataFrame([("Z1", "{}")], "i string, j string")
     rows_ = raw.raw_rows(df, "tk", "tk-zaak", df.i, df.j)
