@@ -25,6 +25,15 @@ def _since(docs: DataFrame, since, column: str = "ingested_at") -> DataFrame:
     return docs if since is None else docs.where(F.col(column) >= F.lit(str(since)).cast(docs.schema[column].dataType))
 
 
+def codes_of(profile: Mapping[str, Any], own: tuple[str, ...], strict: bool = False) -> list[str]:
+    """The codes a detector looks for: its own and the profile's; ``strict``: its own only."""
+    return list(dict.fromkeys([*own, *([] if strict else _profile_codes(profile))]))
+
+
+def _profile_codes(profile: Mapping[str, Any]) -> list[str]:
+    return [str(k).strip() for k in section(profile, "code_aliases") if str(k).strip()]
+
+
 def link_laws(articles: DataFrame, nodes: DataFrame, laws: list[str] | None = None) -> DataFrame:
     """Edges between articles of one law that name each other. ``laws``: only these; self-references stay."""
     docs = articles.where("props.text is not null")
@@ -45,25 +54,25 @@ def stored_citations(articles: DataFrame) -> DataFrame:
     return docs.select("_id").join(got, "_id", "left").select("_id", F.coalesce("citations", empty).alias("citations"))
 
 
-def link_eu(instruments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, max_chars: int | None = None) -> DataFrame:
+def link_eu(instruments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, max_chars: int | None = None, strict: bool = False) -> DataFrame:
     docs = _since(instruments.where(F.array_contains("labels", "EU")), since)
     text = joined_text([F.col("props.title"), F.col("props.display_name"), X.strip_html(F.col("props.raw_html"))], max_chars)
-    hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", D.eu_rules(), section(profile, "code_aliases"))
+    hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", D.eu_rules(codes_of(profile, D.CODES["eu"], strict)), section(profile, "code_aliases"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "eu-article-linker")
 
 
-def link_judgments(judgments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], eclis: DataFrame | None = None) -> DataFrame:
+def link_judgments(judgments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], eclis: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """``eclis``: only judgments with these (``ecli``); an empty frame means none."""
     docs = judgments if eclis is None else judgments.join(eclis.select(F.col("ecli").alias("_e")).distinct(), F.col("props.ecli") == F.col("_e"), "left_semi")
     codes = section(profile, "code_aliases")
-    hits = D.detect_judgment(docs.select("_id", F.col("props.raw_xml").alias("t")), "_id", "t", codes).where(F.col("bwb_id").isNotNull())
+    hits = D.detect_judgment(docs.select("_id", F.col("props.raw_xml").alias("t")), "_id", "t", codes, D.judgment_rules(codes_of(profile, D.CODES["judgment"], strict))).where(F.col("bwb_id").isNotNull())
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "rechtspraak-article-linker")
 
 
-def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None) -> DataFrame:
+def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, strict: bool = False) -> DataFrame:
     docs = _since(documents.where(F.array_contains("labels", "TK")), since)
     text = joined_text([F.col("props.title"), X.json_strings(F.col("props.raw"))])
-    rules = D.parliament_rules(act_aliases(profile))
+    rules = D.parliament_rules(act_aliases(profile), codes_of(profile, D.CODES["parliament"], strict), codes_of(profile, D.CODES["parliament_short"], strict))
     hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", rules, section(profile, "code_aliases"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "tk-article-linker")
 

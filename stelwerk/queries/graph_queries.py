@@ -21,8 +21,8 @@ from stelwerk.streaming import ingest
 #: A profile with the names the driver tables use.
 PROFILE = {
     "topic": {"id": "topic:handhavingsrecht", "slug": "handhavingsrecht"},
-    "code_aliases": {"Sr": "BWBR0190417", "Sv": "BWBR0190478", "WVW": "BWBR0190539", "BW": "BWBR0190600"},
-    "instrument_aliases": {"Wet havenvoorwaarde": "BWBR0190417", "Wetboek van getuigenvoorwaarde": "BWBR0190478", "Besluit onderwijskaart": "BWBR0190539", "Rijkswet netwerkcommissie": "BWBR0190600"},
+    "code_aliases": {"RsiIV": "BWBR0206810", "WheIV": "BWBR0207092", "VvrIV": "BWBR0207389", "RegIV": "BWBR0206396", "VsiIV": "BWBR0205511", "VhaII": "BWBR0202263", "Bac": "BWBR0201993", "WhrIV": "BWBR0201178"},
+    "instrument_aliases": {"Regeling wapenwijze 2003": "BWBR0201173", "Wet onherroepelijke rioolcommissie": "BWBR0200057", "Besluit tijdelijke afvalmelding 1990": "BWBR0204202", "Wet vervoersfonds 1983": "BWBR0200256", "Wet brugvordering 2010": "BWBR0207411"},
     "filters": {"tk": {"title_contains": ["handhaving"], "dossier_keywords": ["straf"]}, "rechtspraak": {"search_terms": ["handhaving"], "ecli_prefixes": ["ECLI:NL:XQD"]}, "eurlex": {"subject_keywords": ["handhaving"]}},
 }
 KEYWORDS = ["subsidie", "visserij", "tariff", "pensioen"]
@@ -325,11 +325,17 @@ def link_parliament(spark, d):
 
 
 def link_by_names(spark, d):
-    """Publications and articles to the articles they cite by the act's title or short title."""
-    pubs = graph.current(table(spark, d, "publications"), "concat_ws(' ', props.title, get_json_object(props.raw, '$.Tekst')) as text")
-    arts = graph.current(table(spark, d, "instrument_articles"), "props.text as text")
+    """Publications, articles, EU pages and judgments to the articles they cite by an act's title or short title."""
+    docs = [
+        graph.current(table(spark, d, "publications"), "concat_ws(' ', props.title, get_json_object(props.raw, '$.Tekst')) as text"),
+        graph.current(table(spark, d, "instrument_articles"), "props.text as text"),
+        graph.current(table(spark, d, "instruments").where(F.array_contains("labels", "EU")), "props.raw_html as text").select("_id", X.strip_html(F.col("text")).alias("text")),
+        normalize.judgments(_raw(spark, d), PROFILE)["judgments"].select("_id", X.strip_html(F.col("props.raw_xml")).alias("text")),
+    ]
+    for x in docs[1:]:
+        docs[0] = docs[0].unionByName(x)
     names = linkers.act_names(table(spark, d, "instruments"))
-    return linkers.link_by_names(pubs.unionByName(arts), "text", names, table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
+    return linkers.link_by_names(docs[0], "text", names, table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
 
 
 def node_payloads(spark, d):
