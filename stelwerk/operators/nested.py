@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stelwerk.session import spread
+
 ROOT = "root"
 
 #: One row per object. ``node`` and ``parent`` are paths of positions in the payload, unique within it; ``depth`` counts
@@ -159,7 +161,7 @@ def flatten(df: DataFrame, key: str = "_key", json_col: str | None = "payload_js
         if held:
             yield _batch(held)
 
-    return rows.where("j is not null or x is not null").mapInArrow(run, NODE_SCHEMA)
+    return spread(rows.where("j is not null or x is not null")).mapInArrow(run, NODE_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from stelwerk.operators import graph, merge
 from stelwerk.operators.scan import find_all
 from stelwerk.plans import linkers, normalize, serve
 from stelwerk.queries.problems import NODE_TABLES, table
-from stelwerk.session import shared_dir
+from stelwerk.session import shared_dir, spread
 from stelwerk.sources import raw as R
 from stelwerk.sources import versions
 from stelwerk.streaming import ingest
@@ -111,7 +111,7 @@ def multi_rule_classifier(spark, d):
 
 
 def _cited(spark, d, regex=CITED):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "bwb_id", "text", F.inline(find_all(F.col("text"), regex)).alias("at", "until", "raw_match"))
+    return spread(table(spark, d, "documents").select("doc_id", "bwb_id", "text").where("text is not null")).select("doc_id", "bwb_id", "text", F.inline(find_all(F.col("text"), regex)).alias("at", "until", "raw_match"))
 
 
 def citation_scan(spark, d):
@@ -134,7 +134,7 @@ def citation_edge_lastwins(spark, d):
 
 def overlap_antijoin(spark, d):
     taken = find_all(F.col("text"), CITED_IN_ACT)
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", find_all(F.col("text"), CITED).alias("all"), taken.alias("taken"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", find_all(F.col("text"), CITED).alias("all"), taken.alias("taken"))
     free = F.filter("all", lambda m: ~F.exists("taken", lambda s: (m["end"] > s["start"]) & (m["start"] < s["end"])))
     return rows.select("doc_id", F.inline(free).alias("start_pos", "end_pos", "raw_match"))
 

@@ -50,6 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all of them; anything else as it is. For work that
+    takes much longer than moving its rows. Large inputs have more partitions than cores and are never moved. Only the
+    plan is looked at: a frame that needs a shuffle already is left alone."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Adaptive" in plan.getClass().getSimpleName():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
