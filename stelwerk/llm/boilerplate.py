@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelwerk.llm.dom import INLINE, Node, page_title, parse
+from stelwerk.session import spread
 
 #: A block is mostly links from this share of link characters.
 LINKS = 0.5
@@ -140,4 +141,4 @@ def main_text(df: DataFrame, rec: str = "rec_id", page: str = "raw_html") -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["rec_id", "position", "block_id", "text"])
 
-    return rows.mapInArrow(run, "rec_id bigint, position int, block_id string, text string")
+    return spread(rows).mapInArrow(run, "rec_id bigint, position int, block_id string, text string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stelwerk.session import written
+from stelwerk.session import spread, written
 
 CAPACITY = 2048
 #: Texts a block: the unit within which places of equal length are numbered.
@@ -59,7 +59,7 @@ def token_counts(df: DataFrame, doc: str, text: str, path: str) -> DataFrame:
             n = pa.array([len(encode(t)) for t in b["t"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], n], names=["doc_id", "n_tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)[doc]}, n_tokens bigint")
+    return spread(rows).mapInArrow(run, f"doc_id {dict(df.dtypes)[doc]}, n_tokens bigint")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelwerk.llm.leakage import _plain
+from stelwerk.session import spread
 
 #: Running text has at least this share of function words; a page with less than RUNNING of its words in it is flagged
 #: if its TOP most frequent other shapes hold at least DOMINANT of its other words.
@@ -110,4 +111,4 @@ def pages(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["doc_id", "n_words", "running_words", "top_shape", "top_words", "is_spam"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, running_words bigint, top_shape string, top_words bigint, is_spam boolean")
+    return spread(rows).mapInArrow(run, "doc_id bigint, n_words bigint, running_words bigint, top_shape string, top_words bigint, is_spam boolean")
