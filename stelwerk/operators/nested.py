@@ -1,10 +1,10 @@
 """Flat tables with parent links from nested records.
 
-One pass turns each payload into rows, one per object: JSON objects (also those inside strings) and XML elements. A row
-has a surrogate key, its parent's surrogate key, the name of the field that holds it, its position in that field, and
-its scalar fields. A second pass over those rows infers the merged schema of each kind of object; entity_table then
-reads any kind as a table with typed columns. A payload never leaves its task and a document's depth is bounded only
-by the parsers.
+One pass turns each payload into rows, one per object: JSON objects (also those inside strings), the plain values in
+JSON lists, and XML elements. A row has a surrogate key, its parent's surrogate key, the name of the field that holds it,
+its position in that field, and its scalar fields. A second pass over those rows infers the merged schema of each kind of
+object; entity_table then reads any kind as a table with typed columns. A payload never leaves its task and a document's
+depth is bounded only by the parsers.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from stelwerk.session import spread
 
 ROOT = "root"
+#: The field of a list element that is no object or list.
+VALUE = "#value"
 
 #: One row per object. ``node`` and ``parent`` are paths of positions in the payload, unique within it; ``depth`` counts
 #: objects; ``anchor`` is the id of the nearest identified object around it, null if there is none.
@@ -83,8 +85,10 @@ def _text(value) -> tuple[str | None, str]:
     return str(value), "string"
 
 
-def json_nodes(raw_key: str | None, text: str) -> Iterator[tuple]:
-    """Rows (NODE_SCHEMA) of all objects in a JSON text, in document order; none if it isn't well-formed."""
+def json_nodes(raw_key: str | None, text: str, values: bool = True) -> Iterator[tuple]:
+    """Rows (NODE_SCHEMA) of all objects in a JSON text, in document order; none if it isn't well-formed. An element of a
+    list that is no object or list has a row too, with its value as ``#value`` (none if it is null), unless ``values`` is
+    false."""
     top = _inner(_json(text))
     if not isinstance(top, list):
         return
@@ -109,11 +113,12 @@ def json_nodes(raw_key: str | None, text: str) -> Iterator[tuple]:
             yield raw_key, "json", entity, path, parent, ordinal, depth, own, anchor, list(dict(fields).items()), list(dict(kinds).items())
             near = own if own is not None else anchor
             below = [(v, n, p, at, o, d, near) for v, n, p, at, o, d, _ in below]
-        else:
-            for i, v in enumerate(value):
-                v = _inner(v)
-                if isinstance(v, list):
-                    below.append((v, entity, parent, f"{path}.{i}", i, depth, anchor))
+        elif isinstance(value, list):
+            below = [(_inner(v), entity, parent, f"{path}.{i}", i, depth, anchor) for i, v in enumerate(value)]
+        elif values:
+            shown, kind = _text(value)
+            found = kind != "null"
+            yield raw_key, "json", entity, path, parent, ordinal, depth, None, anchor, [(VALUE, shown)] * found, [(VALUE, kind)] * found
         todo.extend(reversed(below))
 
 
@@ -140,8 +145,9 @@ def xml_nodes(raw_key: str | None, text: str) -> Iterator[tuple]:
         todo.extend(reversed([(c, path, f"{path}.{i}", i, depth + 1, near) for i, c in enumerate(e) if isinstance(c.tag, str)]))
 
 
-def flatten(df: DataFrame, key: str = "_key", json_col: str | None = "payload_json", xml_col: str | None = "payload_text", xml_where: str = "true") -> DataFrame:
-    """One row per object of the payloads (NODE_SCHEMA). A row's XML counts only where ``xml_where`` holds; a row may have
+def flatten(df: DataFrame, key: str = "_key", json_col: str | None = "payload_json", xml_col: str | None = "payload_text", xml_where: str = "true", values: bool = False) -> DataFrame:
+    """One row per object of the payloads (NODE_SCHEMA), with ``values`` also one per plain value in a list: a whole set of
+    tables or schema needs them, a search for ids doesn't. A row's XML counts only where ``xml_where`` holds; a row may have
     both payloads. Null, empty and malformed payloads yield no rows, each on its own; a null key stays null; repeated
     payloads yield their rows again; other columns are not read. An object in a list has its position as ``ordinal``."""
     none = F.lit(None).cast("string")
@@ -152,7 +158,7 @@ def flatten(df: DataFrame, key: str = "_key", json_col: str | None = "payload_js
         for b in batches:
             for k, j, x in zip(*(c.to_pylist() for c in b.columns)):
                 if j:
-                    held.extend(json_nodes(k, j))
+                    held.extend(json_nodes(k, j, values))
                 if x:
                     held.extend(xml_nodes(k, x))
                 if len(held) >= 4096:

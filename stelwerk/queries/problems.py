@@ -59,12 +59,12 @@ def p5_orphan_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten(table(spark, d, "raw_sources"), xml_where="not (kind <=> 'eu-celex-html')")
+def _nodes(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
+    return nested.flatten(table(spark, d, "raw_sources"), xml_where="not (kind <=> 'eu-celex-html')", values=values)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.identified(_nodes(spark, d))
+    return nested.identified(_nodes(spark, d, values=False))
 
 
 def p6_merged_schema(spark: SparkSession, d: str) -> DataFrame:

@@ -31,6 +31,19 @@ def test_positions_link_children_to_parents():
     assert [(r[2], r[5], r[6]) for r in nodes.values()] == [("root", 0, 0), ("L", 0, 1), ("M", 0, 2), ("M", 1, 2), ("L", 1, 1), ("M", 0, 2)]
 
 
+def test_plain_values_in_lists_are_rows(spark, rows):
+    text = '{"Id": "p", "T": ["a", "b"], "M": [1, {"Id": "c"}, null, [true, 2.5], "[\\"s\\"]"]}'
+    got = [(r[2], r[3], r[4], r[5], r[6], r[8], dict(r[9]).get("#value"), dict(r[10]).get("#value")) for r in N.json_nodes("K", text) if r[7] is None]
+    assert got == [
+        ("T", "0.0.0", "0", 0, 1, "p", "a", "string"), ("T", "0.0.1", "0", 1, 1, "p", "b", "string"), ("M", "0.1.0", "0", 0, 1, "p", "1", "bigint"), ("M", "0.1.2", "0", 2, 1, "p", None, None),
+        ("M", "0.1.3.0", "0", 0, 1, "p", "true", "boolean"), ("M", "0.1.3.1", "0", 1, 1, "p", "2.5", "double"), ("M", "0.1.4.0", "0", 0, 1, "p", "s", "string"),
+    ]
+    nodes = N.flatten(spark.createDataFrame([("1", "k", text, None, None, None), ("2", "k", '["x"]', None, None, None)], SCHEMA), values=True)
+    assert rows(N.merged_schema(nodes).where("field = '#value'").select("entity", "kind", "n")) == [("M", "string", 4), ("T", "string", 2), ("root", "string", 1)]
+    assert rows(N.entity_table(nodes, "T", {"#value": "string"}).select("parent", "ordinal", "`#value`")) == [("0", 0, "a"), ("0", 1, "b")]
+    assert rows(N.identified(nodes)) == [("1", "M", "c", "p"), ("1", "root", "p", "1")]
+
+
 def test_xml_elements():
     text = '<?xml version="1.0" encoding="UTF-8"?><a xmlns:x="u" x:id="1" bwb-id="no"><!-- c --><b>t<c id="2"/></b><x:d id=""/></a>'
     assert ids(text, N.xml_nodes) == [("a", "1", None), ("b", None, "1"), ("c", "2", "1"), ("d", "", "1")]
