@@ -128,7 +128,9 @@ def local_name(tag: str) -> str:
 
 def xml_nodes(raw_key: str | None, text: str) -> Iterator[tuple]:
     """Rows (NODE_SCHEMA) of all elements of an XML text, in document order; none if it isn't well-formed. Fields are
-    the attributes by local name and, as ``#text``, the element's own stripped text. The id is the attribute ``id``."""
+    the attributes by local name and, as ``#text`` and ``#tail``, the stripped text before the element's first child and
+    between its end and the next tag. A tail belongs to the text of the element around it: ``#text`` and the ``#tail`` of
+    the children by ``ordinal`` are all of that. The id is the attribute ``id``."""
     try:
         top = ElementTree.fromstring(text)
     except (ElementTree.ParseError, ValueError, RecursionError):
@@ -140,6 +142,8 @@ def xml_nodes(raw_key: str | None, text: str) -> Iterator[tuple]:
         own = fields.get("id")
         if e.text and e.text.strip():
             fields["#text"] = e.text.strip()
+        if e.tail and e.tail.strip():
+            fields["#tail"] = e.tail.strip()
         yield raw_key, "xml", local_name(e.tag), path, parent, ordinal, depth, own, anchor, list(fields.items()), [(k, "string") for k in fields]
         near = own if own is not None else anchor
         todo.extend(reversed([(c, path, f"{path}.{i}", i, depth + 1, near) for i, c in enumerate(e) if isinstance(c.tag, str)]))

@@ -51,6 +51,16 @@ def test_xml_elements():
         assert ids(bad, N.xml_nodes) == []
 
 
+def test_mixed_xml_keeps_all_text():
+    text = '<lid id="1"><al>Artikel <nadruk>5</nadruk> geldt <!-- c -->niet <nadruk>a<sup>2</sup>b</nadruk>\n<br/> hier.</al>\n</lid>'
+    got = [(r[2], r[4], r[5], {k: v for k, v in r[9] if k[0] == "#"}, {k: v for k, v in r[10] if k[0] == "#"}) for r in N.xml_nodes("K", text)]
+    assert [x[:4] for x in got] == [
+        ("lid", None, 0, {}), ("al", "0", 0, {"#text": "Artikel"}), ("nadruk", "0.0", 0, {"#text": "5", "#tail": "geldt niet"}), ("nadruk", "0.0", 1, {"#text": "a"}),
+        ("sup", "0.0.1", 0, {"#text": "2", "#tail": "b"}), ("br", "0.0", 2, {"#tail": "hier."}),
+    ]
+    assert all(kinds == dict.fromkeys(fields, "string") for *_, fields, kinds in got)
+
+
 def test_tables_schema_and_edges_of_input(spark, rows):
     data = [
         ("1", "k", '{"Id": "p", "n": 1, "L": [{"Id": "c", "n": 2.5, "node": "q"}, {"Id": "d", "n": "z"}]}', None),
