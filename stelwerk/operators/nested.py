@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stelwerk.session import spread
+from stelwerk.session import spread, written
 
 ROOT = "root"
 #: The field of a list element that is no object or list.
@@ -187,14 +187,47 @@ def identified(nodes: DataFrame) -> DataFrame:
 def merged_schema(nodes: DataFrame) -> DataFrame:
     """``form, entity, field, kind, n``: every scalar field seen in a kind of object, the narrowest type that holds all
     its values (bigint, double, boolean or string), and how many objects have it."""
-    seen = nodes.select("form", "entity", F.explode("kinds").alias("field", "kind")).groupBy("form", "entity", "field").agg(F.count("*").alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-    kind = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when((F.col("lo") == "bigint") & (F.col("hi") == "double"), "double").otherwise("string")
+    sums = [F.count("*").alias("n"), F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.bool_or(F.col("kind") == "boolean").alias("truth")]
+    seen = nodes.select("form", "entity", F.explode("kinds").alias("field", "kind")).groupBy("form", "entity", "field").agg(*sums)
+    kind = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when((F.col("lo") == "bigint") & (F.col("hi") == "double") & ~F.col("truth"), "double").otherwise("string")
     return seen.select("form", "entity", "field", kind.alias("kind"), "n")
 
 
-def entity_table(nodes: DataFrame, entity: str, schema: dict[str, str]) -> DataFrame:
-    """The objects of one kind as a table: surrogate keys, position and a typed column per field of ``schema``
-    (field to type, as from merged_schema). Values that don't fit are null; columns named like a key get a ``_``."""
-    keys = ["raw_key", "node", "parent", "ordinal", "depth", "id"]
-    cols = [F.col("fields")[f].try_cast(t).alias(f + "_" * (f in keys)) for f, t in schema.items()]
-    return nodes.where(F.col("entity") == entity).select(*keys, *cols)
+_KEYS = ["raw_key", "node", "parent", "ordinal", "depth", "id"]
+
+
+def entity_table(nodes: DataFrame, entity: str, schema: dict[str, str], form: str | None = None) -> DataFrame:
+    """The objects of one kind (and ``form``, if given) as a table: surrogate keys, position and a typed column per field
+    of ``schema`` (field to type, as from merged_schema). Values that don't fit are null; columns named like a key or an
+    earlier column, but for case, get a ``_``."""
+    cols, taken = [], set(_KEYS)
+    for f, t in schema.items():
+        name = f
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        cols.append(F.col("fields")[f].try_cast(t).alias(name))
+    rows = nodes.where(F.col("entity") == entity)
+    return (rows if form is None else rows.where(F.col("form") == form)).select(*_KEYS, *cols)
+
+
+def entity_tables(nodes: DataFrame) -> dict[tuple[str, str], DataFrame]:
+    """By form and kind, a table (entity_table) with every field of the merged schema, for every kind of object there is,
+    those without fields too. The nodes are written once for all of them; the driver gets the schema. An XML table's
+    ``id`` is the attribute ``id``, which has no column of its own."""
+    nodes = written(nodes, "nodes")
+    schemas: dict[tuple[str, str], dict[str, str]] = {(r.form, r.entity): {} for r in nodes.select("form", "entity").distinct().collect()}
+    for r in sorted(merged_schema(nodes).collect()):
+        if (r.form, r.field) != ("xml", "id"):
+            schemas[r.form, r.entity][r.field] = r.kind
+    return {(form, entity): entity_table(nodes, entity, schema, form) for (form, entity), schema in sorted(schemas.items())}
+
+
+def all_tables(nodes: DataFrame) -> DataFrame:
+    """The tables of all kinds in one: a row per object and field, with the object's keys, the field's type from the merged
+    schema, the value as text and, for other types than string, in a column of its type. An object without fields has one
+    row without a field."""
+    nodes = written(nodes, "nodes")
+    rows = nodes.select("form", "entity", *_KEYS, F.explode_outer("fields").alias("field", "value"))
+    typed = [F.when(F.col("kind") == t, F.col("value").try_cast(t)).alias(f"{t}_value") for t in ("bigint", "double", "boolean")]
+    return rows.join(F.broadcast(merged_schema(nodes)), ["form", "entity", "field"], "left").select("form", "entity", *_KEYS, "field", "kind", "value", *typed)

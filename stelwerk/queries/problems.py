@@ -71,17 +71,28 @@ def p6_merged_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(_nodes(spark, d))
 
 
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of object with all fields of its merged schema, in one table with typed values."""
+    return nested.all_tables(_nodes(spark, d))
+
+
+def _table(spark: SparkSession, d: str, form: str, entity: str) -> DataFrame:
+    nodes = _nodes(spark, d).where((F.col("form") == form) & (F.col("entity") == entity))
+    return nested.entity_tables(nodes).get((form, entity), nested.entity_table(nodes, entity, {}, form))
+
+
 def p6_table_documentversie(spark: SparkSession, d: str) -> DataFrame:
-    """Document versions as a typed table, linked to the documents that hold them."""
-    return nested.entity_table(_nodes(spark, d), "DocumentVersie", {"Titel": "string", "Naam": "string", "Soort": "string", "Volgorde": "bigint"})
+    """Document versions as a typed table with all their fields, linked to the documents that hold them."""
+    return _table(spark, d, "json", "DocumentVersie")
 
 
 def p6_table_lid(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs of BWB articles as a table, linked to their articles."""
-    return nested.entity_table(_nodes(spark, d), "lid", {"id": "string"})
+    """Paragraphs of BWB articles as a table with all their fields, linked to their articles. Their numbers and texts are
+    elements inside them, rows of lidnr, al and others in p6_tables with the paragraph's ``node`` as ``parent``."""
+    return _table(spark, d, "xml", "lid")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p3_found, p3_key_report, p5_found, p5_orphan_report, p6_found, p6_merged_schema, p6_table_documentversie, p6_table_lid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p3_found, p3_key_report, p5_found, p5_orphan_report, p6_found, p6_merged_schema, p6_tables, p6_table_documentversie, p6_table_lid)}
 
 _DAY = """
   cast(CASE

@@ -76,6 +76,27 @@ def test_tables_schema_and_edges_of_input(spark, rows):
     assert N.identified(N.flatten(df.limit(0))).count() == 0
 
 
+def test_tables_of_every_kind_have_all_fields(spark, rows, tmp_path):
+    data = [
+        ("1", "k", '{"Id": "p", "x": 1, "lid": [{"Id": "c", "id": "C", "Onderwerp": "o", "n": 1}, {"n": 2.5, "T": ["t", "u"], "E": {}}], "m": [{"v": 1}, {"v": true}, {"v": 0.5}]}', None, None, None),
+        ("2", "k", None, '<a><lid id="y" status="s"><lidnr>1.</lidnr><al>t <b>u</b> v</al></lid></a>', None, None),
+    ]
+    nodes = N.flatten(spark.createDataFrame(data, SCHEMA), values=True)
+    got = N.entity_tables(nodes)
+    assert set(got) == {("json", e) for e in ("root", "lid", "T", "E", "m")} | {("xml", e) for e in ("a", "lid", "lidnr", "al", "b")}
+    for k, df in enumerate(got.values()):
+        df.write.parquet(f"{tmp_path}/{k}")
+    assert rows(got["json", "lid"].select("id", "Id_", "id__", "Onderwerp", "n", "ordinal")) == [("c", "c", "C", "o", 1.0, 0), (None, None, None, None, 2.5, 1)]
+    assert got["xml", "lid"].columns == ["raw_key", "node", "parent", "ordinal", "depth", "id", "status"]
+    assert rows(got["json", "m"].select("v")) == [("0.5",), ("1",), ("true",)]
+    flat = N.all_tables(nodes)
+    assert rows(flat.where("entity in ('T', 'E', 'lidnr', 'b')").select("entity", "parent", "ordinal", "field", "kind", "value")) == [
+        ("E", "0.0.1", 0, None, None, None), ("T", "0.0.1", 0, "#value", "string", "t"), ("T", "0.0.1", 1, "#value", "string", "u"),
+        ("b", "0.0.1", 0, "#tail", "string", "v"), ("b", "0.0.1", 0, "#text", "string", "u"), ("lidnr", "0.0", 0, "#text", "string", "1."),
+    ]
+    assert rows(flat.where("field in ('x', 'n')").select("field", "value", "bigint_value", "double_value", "boolean_value")) == [("n", "1", None, 1.0, None), ("n", "2.5", None, 2.5, None), ("x", "1", 1, None, None)]
+
+
 def test_long_and_deep_payloads(spark):
     deep = "x"
     for _ in range(200):
