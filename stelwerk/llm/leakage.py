@@ -9,6 +9,7 @@ between them, decides whether a passage stands there. The corpus is scanned once
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
@@ -70,30 +71,44 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item position, document position, length) of common runs of at least ``least`` words, the
-    longest first, ties by document then item position; no word of either side is in two of them."""
-    i, j = np.nonzero((item[:, None] == doc[None, :]) & (doc[None, :] != 0))
+def _common(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The longest common runs of at least ``least`` words: (minus length, document position, item position). Takes memory
+    for the places where ``least`` words are equal, not for all pairs of places."""
+    h, g = rolling(item, least), rolling(doc, least)
+    order = np.argsort(h, kind="stable")
+    lo, hi = np.searchsorted(h[order], g, "left"), np.searchsorted(h[order], g, "right")
+    n = hi - lo
+    j = np.repeat(np.arange(len(g)), n)
+    i = order[np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    same = np.ones(len(j), dtype=bool)
+    for k in range(least):
+        same &= (item[i + k] == doc[j + k]) & (doc[j + k] != 0)
+    i, j = i[same], j[same]
     if not len(i):
         return []
     order = np.lexsort((i, j - i))
     i, j = i[order], j[order]
-    cut = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
-    start = np.concatenate(([0], cut))
-    size = np.diff(np.concatenate((start, [len(i)])))
-    keep = size >= least
-    runs = sorted(zip((-size[keep]).tolist(), j[start][keep].tolist(), i[start][keep].tolist()), reverse=True)
+    start = np.concatenate(([0], np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1))
+    size = np.diff(np.concatenate((start, [len(i)]))) + least - 1
+    return list(zip((-size).tolist(), j[start].tolist(), i[start].tolist()))
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (item position, document position, length) of common runs of at least ``least`` words, the
+    longest first, ties by document then item position; no word of either side is in two of them."""
+    runs = _common(item, doc, least)
+    heapq.heapify(runs)
     used_i, used_j = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
     found = []
     while runs:
-        n, b, a = runs.pop()
+        n, b, a = heapq.heappop(runs)
         n = -n
         taken = used_i[a : a + n] | used_j[b : b + n]
         if taken.any():  # the free parts of a run compete again
             edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
-            parts = [(-int(e - s), b + int(s), a + int(s)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= least]
-            if parts:
-                runs = sorted([*runs, *parts], reverse=True)
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if e - s >= least:
+                    heapq.heappush(runs, (s - e, b + s, a + s))
             continue
         used_i[a : a + n] = True
         used_j[b : b + n] = True
@@ -201,6 +216,15 @@ def _continues(item: np.ndarray, doc: np.ndarray, p: int, at: int, n: int) -> bo
     return int((met[PASSAGE:] - met[: len(met) - PASSAGE]).max() if len(met) > PASSAGE else met[-1]) >= 12
 
 
+def _slack(item: np.ndarray) -> int:
+    return GAP + len(item) // PER_EDIT
+
+
+def _window(item: np.ndarray, doc: np.ndarray, at: int, p: int) -> tuple[int, int]:
+    """Where in the document the whole item may stand if its word ``p`` stands at ``at``, with words put in."""
+    return max(0, at - p - _slack(item)), min(len(doc), at + len(item) - p + _slack(item))
+
+
 class Items:
     """A block of items: numbered words, seeds by hash."""
 
@@ -221,9 +245,9 @@ class Items:
         self.seed = h[order]
         self.where = np.concatenate([np.zeros((0, 2), int), *where])[order]
 
-    def matches(self, texts: list[str], everything: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
-        """For each window of a text around a seed shared with an item: index of the text, index of the item, the words
-        of both, the tiles. Unless ``everything``, seeds no passage can pass through are left out (_continues)."""
+    def _near(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """For each text and item that share a seed: index of the text, index of the item, the words of both, the runs of
+        seeds (_merged)."""
         if not len(self.seed):
             return
         get = self.number.get
@@ -243,17 +267,33 @@ class Items:
                 for i, p in self.where[lo[k] : hi[k]].tolist():
                     near[d, i].append((at, p))
         for (d, i), seeds in near.items():
-            item, doc, done = self.texts[i], docs[d], -1
-            for at, p, n in _merged(seeds):
+            yield d, i, self.texts[i], docs[d], _merged(seeds)
+
+    def matches(self, texts: list[str], everything: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """For each window of a text around a seed shared with an item: index of the text, index of the item, the words
+        of both, the tiles. Unless ``everything``, seeds no passage can pass through are left out (_continues)."""
+        for d, i, item, doc, runs in self._near(texts):
+            done = -1
+            for at, p, n in runs:
                 if at < done or not (everything or _continues(item, doc, p, at, n)):
                     continue
-                slack = GAP + len(item) // PER_EDIT
-                a, b = max(0, at - p - slack), min(len(doc), at + len(item) - p + slack)
-                done = b - slack
+                a, b = _window(item, doc, at, p)
+                done = b - _slack(item)
                 found = tiles(item, doc[a:b])
                 if found:
                     yield d, i, item, doc[a:b], found
 
+    def covers(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int]]]]:
+        """For each text and item that share a seed: index of the text, index of the item, the item's words, the tiles of
+        all windows around the seeds together, no word of either side in two of them."""
+        for d, i, item, doc, runs in self._near(texts):
+            inside = np.zeros(len(doc) + 1, dtype=np.int64)
+            for at, p, _ in runs:
+                a, b = _window(item, doc, at, p)
+                inside[a] += 1
+                inside[b] -= 1
+            yield d, i, item, tiles(item, np.where(np.cumsum(inside[:-1]) > 0, doc, 0))
+
 
 def _blocks(items: DataFrame, item: str, text: str, chars: int) -> Iterator[list[tuple[int, str]]]:
     rows, size = [], 0
@@ -309,11 +349,12 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
 
 def coverage(docs: DataFrame, items: DataFrame, least: float = 0.5, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, covered, longest, coverage``: pairs whose tiles, in any order, cover at least the share
-    ``least`` of the item's words, so reordered passages too; the fullest window of a document counts."""
+    ``least`` of the item's words, so reordered and scattered passages too: the tiles around all seeds of a document count
+    together. Of documents with one id the fullest counts."""
 
     def judge(known: Items, ids: list[int], texts: list[str]) -> list[tuple]:
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, a, b, marks in known.matches(texts, everything=True):
+        for d, i, a, marks in known.covers(texts):
             n = sum(m for _, _, m in marks)
             if n >= least * len(a):
                 key = (ids[d], known.ids[i])

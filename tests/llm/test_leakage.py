@@ -76,6 +76,17 @@ def test_reordered_items_show_in_the_coverage(spark):
     assert len(r) == 1 and r[0].coverage > 0.9 and L.leaked(d, i).count() == 0
 
 
+def test_scattered_items_show_in_the_coverage(spark):
+    rnd = random.Random(5)
+    w = text(rnd, 60)
+    parts = [w[j : j + 10] for j in range(0, 60, 10)]
+    far = lambda parts: " ".join(x for k, p in enumerate(parts) for x in [*p, *(f"ander{k}x{j}" for j in range(60))])
+    docs = [(1, far(parts)), (2, far(parts[::-1])), (3, far(parts[:3])), (4, far(parts[:2])), (5, far([parts[0]] * 6))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    got = {r.doc_id: (r.covered, r.coverage) for r in L.coverage(d, i).collect()}
+    assert got == {1: (60, 1.0), 2: (60, 1.0), 3: (30, 0.5)}
+
+
 def test_tiles_are_the_longest_first_and_disjoint():
     import numpy as np
 
