@@ -4,7 +4,7 @@ The words of an item block are numbered; a document becomes the numbers of its w
 runs of SEED words shared by an item and the document, are found by Karp-Rabin hashes over whole batches of documents
 at once. Around each seed greedy string tiling marks the longest non-overlapping common runs first. Tiles give an
 item's coverage in whatever order they stand; an exact check of the tiles in order, with the edit distance of the words
-between them, decides whether a passage stands there. The corpus is scanned once per block and never shuffled.
+between them, decides whether a passage stands there; where it finds none, each run of seeds is judged by itself. The corpus is scanned once per block and never shuffled.
 """
 
 from __future__ import annotations
@@ -225,6 +225,34 @@ def _window(item: np.ndarray, doc: np.ndarray, at: int, p: int) -> tuple[int, in
     return max(0, at - p - _slack(item)), min(len(doc), at + len(item) - p + _slack(item))
 
 
+def windows(item: np.ndarray, doc: np.ndarray, runs: list[tuple[int, int, int]], everything: bool = False) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """The document's words in each window around the runs of seeds, and the tiles there."""
+    done = -1
+    for at, p, n in runs:
+        if at < done or not (everything or _continues(item, doc, p, at, n)):
+            continue
+        a, b = _window(item, doc, at, p)
+        done = b - _slack(item)
+        found = tiles(item, doc[a:b])
+        if found:
+            yield doc[a:b], found
+
+
+def alone(item: np.ndarray, doc: np.ndarray, p: int, at: int, n: int) -> bool:
+    """Whether a passage passes through a run of ``n`` words (item position ``p``, document position ``at``), whatever
+    else the document holds: the run is extended to both sides with the edit distance of the words there.
+
+    Twice PASSAGE words to each side are enough: a longer passage can be cut into parts of PASSAGE to twice that, one of
+    which has no more edits than its length allows, and that part has a run of SEED words."""
+    if n >= PASSAGE:
+        return True
+    reach = 2 * PASSAGE
+    more = reach + reach // PER_EDIT
+    right = _beyond(item[p + n : p + n + reach].tolist(), doc[at + n : at + n + more].tolist())
+    left = _beyond(item[max(0, p - reach) : p][::-1].tolist(), doc[max(0, at - more) : at][::-1].tolist())
+    return any(n + k + m >= PASSAGE and (x + y) * PER_EDIT <= n + k + m for k, x in enumerate(left) for m, y in enumerate(right))
+
+
 class Items:
     """A block of items: numbered words, seeds by hash."""
 
@@ -245,7 +273,7 @@ class Items:
         self.seed = h[order]
         self.where = np.concatenate([np.zeros((0, 2), int), *where])[order]
 
-    def _near(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    def near(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
         """For each text and item that share a seed: index of the text, index of the item, the words of both, the runs of
         seeds (_merged)."""
         if not len(self.seed):
@@ -272,21 +300,14 @@ class Items:
     def matches(self, texts: list[str], everything: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
         """For each window of a text around a seed shared with an item: index of the text, index of the item, the words
         of both, the tiles. Unless ``everything``, seeds no passage can pass through are left out (_continues)."""
-        for d, i, item, doc, runs in self._near(texts):
-            done = -1
-            for at, p, n in runs:
-                if at < done or not (everything or _continues(item, doc, p, at, n)):
-                    continue
-                a, b = _window(item, doc, at, p)
-                done = b - _slack(item)
-                found = tiles(item, doc[a:b])
-                if found:
-                    yield d, i, item, doc[a:b], found
+        for d, i, item, doc, runs in self.near(texts):
+            for part, found in windows(item, doc, runs, everything):
+                yield d, i, item, part, found
 
     def covers(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int]]]]:
         """For each text and item that share a seed: index of the text, index of the item, the item's words, the tiles of
         all windows around the seeds together, no word of either side in two of them."""
-        for d, i, item, doc, runs in self._near(texts):
+        for d, i, item, doc, runs in self.near(texts):
             inside = np.zeros(len(doc) + 1, dtype=np.int64)
             for at, p, _ in runs:
                 a, b = _window(item, doc, at, p)
@@ -339,9 +360,11 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
 
     def judge(known: Items, ids: list[int], texts: list[str]) -> list[tuple[int, int]]:
         found = set()
-        for d, i, a, b, marks in known.matches(texts):
-            if (ids[d], known.ids[i]) not in found and in_order(a, b, marks):
-                found.add((ids[d], known.ids[i]))
+        for d, i, a, t, runs in known.near(texts):
+            key = (ids[d], known.ids[i])
+            # a copy of some of the words nearby can take them from the passage's tiles, so no pair is given up by them
+            if key not in found and (any(in_order(a, b, marks) for b, marks in windows(a, t, runs)) or any(_continues(a, t, p, at, n) and alone(a, t, p, at, n) for at, p, n in runs)):
+                found.add(key)
         return sorted(found)
 
     return _scan(docs, items, doc, text, item, item_text, judge, "doc_id bigint, item_id bigint", block_chars).distinct()

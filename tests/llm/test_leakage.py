@@ -47,6 +47,14 @@ def test_passages_and_what_is_none(spark):
     assert found(spark, [(k, " ".join(w)) for k, w in docs], [(i, " ".join(w)) for i, w in items]) == want
 
 
+def test_copies_nearby_hide_no_passage(spark):
+    w = [f"woord{k}" for k in range(40)]
+    others = ["een", "twee", "drie"]
+    hidden = w[10:25] + others + w[:15] + ["fout"] + w[16:26]
+    twice = w[10:25] + others + w[:15]
+    assert found(spark, [(1, " ".join(hidden)), (2, " ".join(twice)), (3, " ".join(hidden[:-8]))], [(1, " ".join(w))]) == {(1, 1), (3, 1)}
+
+
 def test_form_does_not_matter(spark):
     item = "De bevoegde instantie verstrekt de gegevens binnen dertig dagen na de aanvraag, één maal per jaar en zonder kosten, tenzij anders bepaald."
     styled = item.upper().replace("E", "Е", 3).replace(", ", " ;\n").replace("GEGEVENS", "<b>GEGE­VENS</b>").replace("ÉÉN", "ÉÉN")
