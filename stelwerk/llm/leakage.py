@@ -37,7 +37,8 @@ GAP = 24
 #: Characters of item texts a block; a block with its seeds is sent to all tasks (under 100 MB at this size).
 BLOCK_CHARS = 4_000_000
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,2000}?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*+>")
+_MARKUP = re.compile(_TAG.pattern + r"|<!--.*?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[^\x00-\x7f]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,12 +50,19 @@ def _plain(run: str) -> str:
     return "".join(c for c in run if unicodedata.category(c) not in ("Mn", "Cf", "Me")).casefold()
 
 
+def without_markup(text: str) -> str:
+    """Tags and comments of any length as spaces. Behind the last ``-->`` no comment ends, so none is looked for there:
+    the time taken is in proportion to the text."""
+    end = text.rfind("-->") + 3
+    return _TAG.sub(" ", text) if end < 3 else _MARKUP.sub(" ", text[:end]) + _TAG.sub(" ", text[end:])
+
+
 def words(text: str) -> list[str]:
     """Words without case, accents, punctuation, spacing, markup and look-alike characters."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = without_markup(text)
     if not text.isascii():
         text = _OTHER.sub(lambda m: _plain(m.group()), text)
     return _WORD.findall(text.lower())

@@ -38,7 +38,7 @@ FUNCTION_WORDS = {
 _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,10}/[^\s<>\"')\]]*", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*+>")
 _CUT = re.compile(r"\n+|(?<=[.!?;])\s+|\s[|•·»>/–-]+\s|\t+")
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"[#|•·»>,;:/€$£()\[\]–-]")

@@ -63,6 +63,13 @@ def test_form_does_not_matter(spark):
     assert found(spark, docs, [(9, item), (10, item), (11, None), (12, "kort")]) == {(d, i) for d in (1, 2, 6) for i in (9, 10)}
 
 
+def test_markup_of_any_length_is_left_out():
+    url = "x y " * 1000
+    assert L.words(f'een <a href="{url}">twee</a> <!-- {url} <b> \n -->drie <!-- vier <i>vijf</i>') == ["een", "twee", "drie", "vier", "vijf"]
+    assert L.words("a <!--> b --> c <!--> d < e") == ["a", "c", "d", "e"]
+    assert L.words("<!--" * 200000 + "a" + "<b" * 200000) == ["a", *["b"] * 200000]
+
+
 def test_empty_tables_blocks_and_long_texts(spark):
     rnd = random.Random(1)
     item = " ".join(text(rnd, 40))

@@ -43,3 +43,8 @@ def test_operator_nulls_ties_and_long_texts(spark, rows):
     got = rows(S.pages(df).select("doc_id", "is_spam"))
     assert got == [(2, False), (3, False), (4, True), (4, True), (5, False), (6, True), (7, False)]
     assert S.pages(df.limit(0)).count() == 0
+
+
+def test_long_tags_are_no_words():
+    text = "De aanvraag wordt door het bestuur behandeld en is niet openbaar."
+    assert S.page(f'<a href="{"x y " * 200}">{text}</a>') == S.page(f"<a>{text}</a>")
