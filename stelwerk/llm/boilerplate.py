@@ -1,34 +1,29 @@
-"""The main text of a web page without menus, notices, boxes and footers.
-
-Composite text density: an element's characters per tag, weighted by how little of it is links. The element whose
-children's densities sum up highest holds the main text; it is looked for among the elements that hold the block with the
-page's own title, if there is one, and must not be less dense than the thinnest element on its way up to the body.
-Inside it, the same measure tells parts that interrupt the text: blocks that are mostly links, boxes whose density is
-under the threshold of that way, and notices that belong to buttons. Pages don't depend on each other: one pass, no shuffle.
+"""The main text of a web page without menus, notices, boxes and footers, by composite text density.
+
+An element's density is its characters per tag, weighted by how little of them is links and compared with the page's body.
+The densities of an element's children add up to its sum. The way from the body to an element gives two thresholds: its
+least density is what the element itself must reach to be a candidate, and the candidate with the greatest sum holds the
+main text; its greatest density, the element's own included, is what a box inside must reach not to interrupt the text. The
+share of links tells the blocks that only point elsewhere. Neither words nor names of elements decide, so any language will
+do. Pages don't depend on each other: one pass, no shuffle; a page is read by loops over its elements, however deep they
+are nested.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stelwerk.llm.dom import INLINE, Node, page_title, parse
-from stelwerk.session import spread
+from stelwerk.llm.dom import INLINE, Node, parse
 
-#: A block is mostly links from this share of link characters.
+#: A block with more than this share of its characters in links, but not all of them, points elsewhere.
 LINKS = 0.5
-#: Boxes of prose in a page's text; lists and tables are no boxes.
-_BOX = {"div", "section", "aside", "nav", "header", "footer", "form", "article", "main", "center", "fieldset"}
-_CONTROL = {"button", "input", "select", "option", "label"}
-# How a numbered article is called in Dutch, English, German and French.
-_ARTICLE = re.compile(r"(?:artikel|article|art\.?|§)\s*\d+\w*\b", re.I)
-_HEADING = re.compile(r"(?:artikel|article|art\.?|§)\s*\d+\w*\s*\.?", re.I)
-_PATH = re.compile(r"\S\s+[>»›]\s+\S")
+#: Parts of lists and tables: they are judged by what holds them, a row or an item has too few characters of its own.
+_PARTS = {"ul", "ol", "dl", "menu", "li", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
 
 
 def density(n: Node, body_ratio: float) -> float:
@@ -44,92 +39,65 @@ def block_text(n: Node) -> str:
     return " ".join("".join(n.text).split())
 
 
-def main_element(nodes: list[Node], title: str) -> tuple[Node, float, dict[int, float]]:
-    """The element with the main text, the threshold of its way up, all densities by document order."""
+def main_element(nodes: list[Node]) -> tuple[Node, float, list[float]]:
+    """The element with the main text, the greatest density on the way from the body to it, all densities by document order.
+
+    Elements without children, inline ones and what stands before the body are no candidates; of equal sums the last in
+    the page, so the innermost, counts. A body without candidates is its own main element."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     ratio = body.link_chars / max(1, body.chars)
-    dense = {n.order: density(n, ratio) for n in nodes}
-    holds_title: set[int] = set()
-    if title:
-        for n in nodes:
-            if n.id is not None and not n.hidden and block_text(n) == title:
-                up = n.parent
-                while up:
-                    holds_title.add(up.order)
-                    up = up.parent
-    able = [n for n in nodes if n.children and n.order >= body.order and n.tag not in INLINE and (not holds_title or n.order in holds_title)]
-    best = max(able, key=lambda n: (sum(dense[c.order] for c in n.children), n.order), default=body)
-    while inner := _tighter(best, holds_title):
-        best = inner
-    least, up = dense[best.order], best
-    while up.parent and up is not body:
-        up = up.parent
-        least = min(least, dense[up.order])
-    return best, least, dense
-
-
-def _headings(n: Node) -> int:
-    return sum(_headings(c) for c in n.children) + (n.id is not None and bool(_HEADING.fullmatch(block_text(n))))
-
-
-def _tighter(n: Node, holds_title: set[int]) -> Node | None:
-    """The child with the title, if it has all numbered headings of the element and half of its text outside links."""
-    for c in n.children:
-        if c.order in holds_title and (c.chars - c.link_chars) * 2 >= n.chars - n.link_chars and _headings(c) == _headings(n):
-            return c
-    return None
+    dense = [density(n, ratio) for n in nodes]
+    sums = [0.0] * len(nodes)
+    least = [math.inf] * len(nodes)  # over the elements around each, up to the body
+    most = [dense[body.order]] * len(nodes)  # the same with its own
+    inside = [False] * len(nodes)
+    inside[body.order] = True
+    best, best_sum = body, -1.0
+    for n in nodes:
+        if n.parent:
+            up = n.parent.order
+            sums[up] += dense[n.order]
+            if inside[up]:
+                inside[n.order] = True
+                least[n.order] = min(least[up], dense[up])
+                most[n.order] = max(most[up], dense[n.order])
+    for n in nodes:
+        k = n.order
+        if inside[k] and n.children and n.tag not in INLINE and (n is body or dense[k] >= least[k]) and sums[k] >= best_sum:
+            best, best_sum = n, sums[k]
+    return best, most[best.order], dense
+
+
+def points_elsewhere(n: Node) -> bool:
+    """Whether a block is links with a label, or links that follow one another from its start. A block that is one link as
+    a whole is an entry, as lists of cited works have them, and a sentence may hold as many links as it likes."""
+    return LINKS * n.chars < n.link_chars < n.chars or n.links > 1 and n.lead == 0
 
 
 def main_blocks(page: str) -> list[tuple[str, str]]:
     """(id, text) of the visible blocks of a page's main text, in document order; a block is an element with an id that
     holds visible text itself. An empty page has none."""
     nodes = parse(page)
-    best, least, dense = main_element(nodes, title := page_title(page))
+    best, threshold, dense = main_element(nodes)
     kept: list[tuple[str, str]] = []
-
-    def walk(n: Node) -> None:
-        for k, c in enumerate(n.children):
-            if c.hidden or c.tag in _CONTROL or c.tag in ("nav", "aside", "footer", "form"):
-                continue
-            text = block_text(c) if c.id is not None else ""
-            after = n.children[k + 1] if k + 1 < len(n.children) else None
-            if after is not None and after.tag in ("button", "form"):
-                continue  # the notice its buttons answer
-            if text:
-                linked = c.link_chars > LINKS * c.chars
-                crumbs = c.link_chars and _PATH.search(text) and not text.rstrip().endswith((".", ";"))
-                if not crumbs and (not linked or _ARTICLE.match(text)):
-                    kept.append((c.id, text))
-            if c.children:
-                if c.tag in _BOX and c.id is None and not _act_box(c, best, least, dense, title):
-                    continue
-                walk(c)
-
-    walk(best)
-    return kept
-
-
-def _act_box(box: Node, main: Node, least: float, dense: dict[int, float], title: str) -> bool:
-    """Whether a box inside the main text belongs to it: it has an article's heading or the title, or it holds a quarter of
-    the main text at least, as dense as the threshold and without links or small headings of its own."""
-    todo, links, small = [box], False, False
+    todo = [best]
     while todo:
         n = todo.pop()
-        todo += n.children
-        if n.id is not None and not n.hidden:
-            text = block_text(n)
-            if _HEADING.fullmatch(text) or title and text == title:
-                return True
-            small = small or n.tag in ("h4", "h5", "h6", "button")
-            links = links or n.link_chars > LINKS * max(1, n.chars)
-    return not links and not small and dense[box.order] >= least and box.chars * 4 >= main.chars
+        if n.hidden:
+            continue
+        if n.id is not None and n.text and (text := block_text(n)) and not points_elsewhere(n):
+            kept.append((n.id, text))
+        if n.children and (n is best or n.id is not None or n.tag in _PARTS or n.tag in INLINE or dense[n.order] >= threshold):
+            todo += n.children[::-1]
+    return kept
 
 
 def main_text(df: DataFrame, rec: str = "rec_id", page: str = "raw_html") -> DataFrame:
     """``rec_id, position, block_id, text``: the blocks of each page's main text in their order.
 
     ``page`` is an expression. Null, empty and blank pages and pages without text give no rows; repeated pages give theirs
-    each; ids that repeat within a page are kept as they stand; pages are read whole, other columns aren't read."""
+    each; ids that repeat within a page are kept as they stand; pages are read whole, at any depth; other columns aren't
+    read."""
     rows = df.select(F.col(rec).cast("bigint").alias("rec_id"), F.expr(page).alias("h")).where("trim(h) <> ''")
     types = (pa.int64(), pa.int32(), pa.string(), pa.string())
 
@@ -141,4 +109,4 @@ def main_text(df: DataFrame, rec: str = "rec_id", page: str = "raw_html") -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["rec_id", "position", "block_id", "text"])
 
-    return spread(rows).mapInArrow(run, "rec_id bigint, position int, block_id string, text string")
+    return rows.mapInArrow(run, "rec_id bigint, position int, block_id string, text string")

@@ -17,22 +17,19 @@ INLINE = {"a", "b", "i", "em", "strong", "span", "small", "sub", "sup", "u", "fo
 
 
 class Node:
-    __slots__ = ("tag", "id", "cls", "parent", "children", "text", "chars", "link_chars", "tags", "link_tags", "hidden", "order", "in_link")
+    __slots__ = ("tag", "id", "parent", "children", "text", "chars", "link_chars", "tags", "link_tags", "hidden", "order", "link", "links", "last", "words", "lead")
 
     def __init__(self, tag: str, parent: "Node | None", order: int):
         self.tag, self.parent, self.order = tag, parent, order
-        self.id = self.cls = None
+        self.id: str | None = None
         self.children: list[Node] = []
         self.text: list[str] = []  # visible text of the element and of its inline elements without an id
         self.hidden = bool(parent and parent.hidden)
-        self.in_link = tag == "a" or bool(parent and parent.in_link)
+        self.link: Node | None = self if tag == "a" else parent.link if parent else None  # the link it stands in
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-
-
-def page_title(page: str) -> str:
-    """The words of the page's title element, joined by single spaces; empty if there is none."""
-    m = re.search(r"<title[^>]*>(.*?)</title", page, re.S | re.I)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+        # Of the text: its links, the last of them, letters and digits outside links so far and before the last link.
+        self.links = self.words = self.lead = 0
+        self.last: Node | None = None
 
 
 def parse(page: str) -> list[Node]:
@@ -40,6 +37,7 @@ def parse(page: str) -> list[Node]:
     end tags are made up as browsers do for lists, tables and paragraphs; other stray end tags are left out."""
     root = Node("#root", None, 0)
     nodes, open_ = [root], [root]
+    known: set[str] = set()  # tags that were opened: an end tag without one is passed over at once
     skip = None
     for m in _TOKEN.finditer(page):
         end, tag, attrs, text = m.groups()
@@ -54,17 +52,23 @@ def parse(page: str) -> list[Node]:
                 if not here.hidden:
                     n = len("".join(shown.split()))
                     here.chars += n
-                    if here.in_link:
+                    if here.link:
                         here.link_chars += n
                     at = here
                     while at.id is None and at.tag in INLINE and at.parent:
                         at = at.parent
                     at.text.append(shown)
+                    if here.link is None:
+                        at.words += sum(map(str.isalnum, shown))
+                    elif at.last is not here.link:
+                        at.last, at.lead, at.links = here.link, at.words, at.links + 1
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if end:
+            if tag not in known:
+                continue
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == tag:
                     del open_[k:]
@@ -96,14 +100,13 @@ def parse(page: str) -> list[Node]:
                 name = name.lower()
                 if name == "id":
                     node.id = html.unescape(a or b or c)
-                elif name == "class":
-                    node.cls = a or b or c
                 elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c, re.I):
                     node.hidden = True
         open_[-1].children.append(node)
         nodes.append(node)
         if tag not in VOID and not attrs.rstrip().endswith("/"):
             open_.append(node)
+            known.add(tag)
     for node in reversed(nodes[1:]):
         up = node.parent
         up.chars += node.chars
