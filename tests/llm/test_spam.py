@@ -1,4 +1,8 @@
 import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stelwerk.llm import spam as S
 
@@ -23,17 +27,90 @@ def texts(seed):
     return spam, good
 
 
-def test_spam_and_acts():
-    for seed in range(20):
+def flagged(text):
+    return S.judge([text])[0][4]
+
+
+def test_spam_and_acts(capsys):
+    hit = got = want = 0
+    for seed in range(40):
         spam, good = texts(seed)
-        assert [t for t in spam if not S.judged(*S.page(t))] == []
-        assert [t for t in good if S.judged(*S.page(t))] == []
+        assert [t for t in good if flagged(t)] == []
+        found = sum(map(flagged, spam))
+        hit, got, want = hit + found, got + found, want + len(spam)
+    with capsys.disabled():
+        print(f"\nplanted spam pages: recall {hit / want:.4f}, precision {hit / got:.4f}")
+    assert hit == want
+
+
+PROSE = {
+    "es": "El titular de la autorización comunicará los datos en un plazo de treinta días. Cuando no se presente la solicitud, la autoridad podrá revocar el permiso. La decisión se publicará en el boletín y surtirá efecto a partir de su notificación. ",
+    "it": "Il titolare comunica i dati entro trenta giorni dalla domanda. Se la domanda non viene presentata, l'autorità può revocare il permesso. La decisione è pubblicata nel bollettino e ha effetto dal giorno della notifica alle parti. ",
+    "pl": "Posiadacz zezwolenia przekazuje dane w terminie trzydziestu dni od złożenia wniosku. Jeżeli wniosek nie zostanie złożony, organ może cofnąć zezwolenie. Decyzję ogłasza się w dzienniku i staje się ona skuteczna z dniem doręczenia. ",
+    "sv": "Innehavaren ska lämna uppgifterna inom trettio dagar från ansökan. Om ingen ansökan görs får myndigheten återkalla tillståndet. Beslutet ska offentliggöras och gälla från den dag då det delgavs parterna. ",
+    "zh": "许可证持有人应当在提出申请之日起三十日内提供资料。未提出申请的，主管机关可以撤销许可。决定应当公布，并自送达之日起生效。",
+}
+
+
+def test_prose_of_other_languages():
+    assert [k for k, t in PROSE.items() if flagged(t * 4)] == []
+    assert flagged(" | ".join(w for w in PROSE["es"].split() if len(w) > 6) + " | " + " | ".join(["permiso autoridad"] * 20))
 
 
 def test_shapes_tell_kinds_of_lines_apart():
-    shape = lambda t: S.page(t)[2].most_common(1)[0][0]
+    shape = lambda t: S.judge([t])[0][2]
     assert shape("#haven #dijk #zorg") == shape("#markt #pacht #sluis") != shape("haven dijk zorg")
-    assert "L" in shape("https://x.example/a").split()[-1] and "d" in shape("fonds 12 € 3,50")
+    assert shape("https://x.example/a") == "0 words, capitals none, link"
+    assert shape("fonds haven fonds: fonds") == "3-5 words, capitals none, :, repeated"
+    assert shape("Zaak Haven - Dijk") == "3-5 words, capitals most, -"
+
+
+def _brute(text):
+    """The lines of a text by the definition, character by character."""
+    text = S._plain(text)
+    cut, line = [], ""
+    for i, ch in enumerate(text):
+        if ch in "\n\t\r" or ch == " " and i and text[i - 1] in ".!?":
+            cut.append(line)
+            line = ""
+        else:
+            line += ch
+    out = []
+    for line in [*cut, line]:
+        units = list(re.finditer(r"[^\W\d_]+|\x01", line))
+        owner = {}
+        for i, ch in enumerate(line):
+            if ch in S._SEPARATORS and (ch != "-" or i == 0 or line[i - 1] == " "):
+                near = [k for k, u in enumerate(units) if u.start() < i]
+                owner.setdefault((near[-1] if near else 0) // S.LINE, []).append(ch)
+        for k in range(0, len(units), S.LINE):
+            own = [u[0] for u in units[k : k + S.LINE]]
+            words = [w for w in own if w != "\x01"]
+            low = [w.lower() for w in words]
+            links, seps = len(own) - len(words), len(owner.get(k // S.LINE, []))
+            repeats = sum(len(w) > S.SHORT and low.count(w) > 1 for w in low)
+            fine = len(words) >= S.LEAST and any(len(w) <= S.SHORT for w in words) and links * S.LINKED <= len(words) and seps * S.SEPARATED <= len(words) and repeats <= S.REPEATED * len(words)
+            out.append((len(own), fine))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["de", "Haven", "haven", "dijkraad", "Één", "en", "x1", ",", " - ", "-", "#", ". ", "!", "\n", " ", "  ", "|", "https://x.example/a ", "<p>", "<a href=1>", "12", "€"]), max_size=60), st.integers(0, 3))
+def test_lines_equal_brute_force(tokens, spaced):
+    text = (" " if spaced else "").join(tokens)
+    own, words, fine, _ = S.lines(["", S._plain(text), "een en twee"])
+    assert list(zip(words[own == 1].tolist(), fine[own == 1].tolist())) == _brute(text)
+    assert words[own == 2].tolist() == [3]
+
+
+def test_invisible_characters_and_parts():
+    spam, good = texts(3)
+    assert [S.judge([t])[0] for t in good] == [S.judge([t.replace("e", "e\u200b")])[0] for t in good]
+    long = good[0] * (2 * S.PART // len(good[0]) + 5)
+    assert len(list(S._parts(long))) == 3 and "".join(S._parts(long)) == long
+    assert not flagged(long) and flagged(spam[3] * 4000) and S.judge([]) == []
+    assert [r[0] for r in S.judge([good[0], long, good[0]])][::2] == [S.judge([good[0]])[0][0]] * 2
+    assert "".join(S._parts("x" * (S.PART + 9))) == "x" * (S.PART + 9)
 
 
 def test_operator_nulls_ties_and_long_texts(spark, rows):
@@ -47,4 +124,4 @@ def test_operator_nulls_ties_and_long_texts(spark, rows):
 
 def test_long_tags_are_no_words():
     text = "De aanvraag wordt door het bestuur behandeld en is niet openbaar."
-    assert S.page(f'<a href="{"x y " * 200}">{text}</a>') == S.page(f"<a>{text}</a>")
+    assert S.judge([f'<a href="{"x y " * 200}">{text}</a>']) == S.judge([f"<a>{text}</a>"])
