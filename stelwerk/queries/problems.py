@@ -59,40 +59,52 @@ def p5_orphan_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d))
 
 
-def _nodes(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
-    return nested.flatten(table(spark, d, "raw_sources"), xml_where="not (kind <=> 'eu-celex-html')", values=values)
+def _tables(spark: SparkSession, d: str) -> nested.Tables:
+    return nested.Tables(nested.flatten(table(spark, d, "raw_sources"), xml_where="not (kind <=> 'eu-celex-html')", values=True))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.identified(_nodes(spark, d, values=False))
+    return _tables(spark, d).identified()
+
+
+def p6_json_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of the JSON payloads, with an id or without, by its surrogate key's length: per payload and kind of
+    object, how many there are, how many with an id, and how deep they stand."""
+    nodes = nested.flatten(table(spark, d, "raw_sources"), xml_col=None, values=False)
+    return nodes.groupBy("raw_key", "entity").agg(F.count("*").alias("n_objects"), F.count("id").alias("n_ids"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+
+
+def p6_json_ids(spark: SparkSession, d: str) -> DataFrame:
+    """p6_found of the JSON payloads alone."""
+    return nested.Tables(nested.flatten(table(spark, d, "raw_sources"), xml_col=None)).identified()
 
 
 def p6_merged_schema(spark: SparkSession, d: str) -> DataFrame:
-    return nested.merged_schema(_nodes(spark, d))
+    return _tables(spark, d).schema
 
 
-def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Every kind of object with all fields of its merged schema, in one table with typed values."""
-    return nested.all_tables(_nodes(spark, d))
+def p6_table_links(spark: SparkSession, d: str) -> DataFrame:
+    """Which kinds of object hold which: the parent and child tables of the merged schema."""
+    return _tables(spark, d).children()
 
 
-def _table(spark: SparkSession, d: str, form: str, entity: str) -> DataFrame:
-    nodes = _nodes(spark, d).where((F.col("form") == form) & (F.col("entity") == entity))
-    return nested.entity_tables(nodes).get((form, entity), nested.entity_table(nodes, entity, {}, form))
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of object with all fields of its merged schema, in one table with typed values."""
+    return _tables(spark, d).in_one()
 
 
 def p6_table_documentversie(spark: SparkSession, d: str) -> DataFrame:
     """Document versions as a typed table with all their fields, linked to the documents that hold them."""
-    return _table(spark, d, "json", "DocumentVersie")
+    return _tables(spark, d).of_kind("json", "DocumentVersie")
 
 
 def p6_table_lid(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of BWB articles as a table with all their fields, linked to their articles. Their numbers and texts are
     elements inside them, rows of lidnr, al and others in p6_tables with the paragraph's ``node`` as ``parent``."""
-    return _table(spark, d, "xml", "lid")
+    return _tables(spark, d).of_kind("xml", "lid")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p3_found, p3_key_report, p5_found, p5_orphan_report, p6_found, p6_merged_schema, p6_tables, p6_table_documentversie, p6_table_lid)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p3_found, p3_key_report, p5_found, p5_orphan_report, p6_found, p6_json_ids, p6_json_objects, p6_merged_schema, p6_table_links, p6_tables, p6_table_documentversie, p6_table_lid)}
 
 _DAY = """
   cast(CASE
@@ -133,7 +145,36 @@ found AS (
   SELECT src_table, strftime(t, '%Y-%m') AS in_month, rec_id, CASE WHEN n = 0 THEN 'missing' WHEN n_by = 0 THEN 'late' WHEN n_there = 0 THEN 'deleted' END AS reason FROM met)
 """
 
+_INNER = "CASE WHEN json_type({0}) = 'VARCHAR' AND CASE WHEN json_valid({0} ->> '$') THEN json_type({0} ->> '$') END IN ('OBJECT', 'ARRAY') THEN ({0} ->> '$')::JSON ELSE {0} END"
+_AT = "json_extract({0}, concat('$.\"', k, '\"'))"
+_OWN_ID = f"""list_filter(list_transform(list_filter(CASE WHEN json_type({{0}}) = 'OBJECT' THEN json_keys({{0}}) ELSE [] END, lambda k: lower(k) = 'id'),
+  lambda k: CASE WHEN json_type({_AT}) IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') AND regexp_matches({_AT} ->> '$', '\\S')
+    AND coalesce(CASE WHEN json_valid({_AT} ->> '$') THEN json_type({_AT} ->> '$') END, '') NOT IN ('OBJECT', 'ARRAY') THEN {_AT} ->> '$' END), lambda x: x IS NOT NULL)[1]"""
+_JSON_IDS = f"""
+WITH RECURSIVE top AS (SELECT _key AS raw_key, payload_json::JSON AS j FROM raw_sources WHERE json_valid(payload_json)),
+node AS (
+  SELECT raw_key, 'root' AS entity, j, {_OWN_ID.format('j')} AS own, raw_key AS anchor FROM (SELECT raw_key, {_INNER.format('j')} AS j FROM top)
+  UNION ALL
+  SELECT raw_key, entity, j, {_OWN_ID.format('j')} AS own, anchor FROM (
+    SELECT n.raw_key, CASE WHEN json_type(n.j) = 'OBJECT' THEN c.key ELSE n.entity END AS entity, {_INNER.format('c.value')} AS j, coalesce(n.own, n.anchor) AS anchor FROM node n, json_each(n.j) c
+    WHERE json_type(n.j) IN ('OBJECT', 'ARRAY')))
+"""
+_OBJECTS = f"""
+WITH RECURSIVE top AS (SELECT _key AS raw_key, payload_json::JSON AS j FROM raw_sources WHERE json_valid(payload_json)),
+node AS (
+  SELECT raw_key, 'root' AS entity, {_INNER.format('j')} AS j, 0 AS depth FROM top
+  UNION ALL
+  SELECT raw_key, entity, {_INNER.format('value')} AS j, depth FROM (
+    SELECT n.raw_key, CASE WHEN json_type(n.j) = 'OBJECT' THEN c.key ELSE n.entity END AS entity, c.value AS value, n.depth + (json_type(n.j) = 'OBJECT')::INT AS depth FROM node n, json_each(n.j) c
+    WHERE json_type(n.j) IN ('OBJECT', 'ARRAY'))),
+objects AS (SELECT row_number() OVER () AS n, * FROM node WHERE json_type(j) = 'OBJECT'),
+named AS (
+  SELECT DISTINCT n FROM objects, json_each(j) c WHERE lower(c.key) = 'id' AND json_type(c.value) NOT IN ('BOOLEAN', 'NULL') AND json_type({_INNER.format('c.value')}) NOT IN ('OBJECT', 'ARRAY') AND regexp_matches(c.value ->> '$', '\\S'))
+"""
+
 SQL = {
+    "p6_json_ids": _JSON_IDS + "SELECT DISTINCT raw_key, entity, own AS child_id, anchor AS parent_id FROM node WHERE own IS NOT NULL",
+    "p6_json_objects": _OBJECTS + "SELECT raw_key, entity, count(*) AS n_objects, count(named.n) AS n_ids, min(depth) AS min_depth, max(depth) AS max_depth FROM objects LEFT JOIN named USING (n) GROUP BY raw_key, entity",
     "p2_found": _PERIODS + "SELECT bwb_id, kind, strftime(a, '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS end_date FROM rows_",
     "p2_coverage": _PERIODS + """SELECT bwb_id, count(*) FILTER (kind = 'period') AS n_periods, count(*) FILTER (kind = 'gap') AS n_gaps,
       cast(coalesce(sum(b - a + 1) FILTER (kind = 'period'), 0) AS BIGINT) AS covered_days, cast(coalesce(sum(b - a + 1) FILTER (kind = 'gap'), 0) AS BIGINT) AS gap_days FROM rows_ GROUP BY bwb_id""",
