@@ -30,7 +30,7 @@ def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges_semantic")
-    found = hotkeys.heavy_keys(edges, ["_to", "relation"], HEAVY_PERCENT, "confidence", "created_at", "rec_id")
+    found = hotkeys.heavy_keys(edges, ["_to", "relation"], HEAVY_PERCENT)
     return found.select(F.col("_to").alias("to_id"), "relation")
 
 

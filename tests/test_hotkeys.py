@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from stelwerk.operators import hotkeys as H
 
 SCHEMA = "k string, r string, v double, at timestamp_ntz, rec bigint, m string, n int, total string"
@@ -32,12 +34,24 @@ def test_splits_don_t_matter(spark, rows):
     df = table(spark, data)
     whole = rows(H.dense_aggregate(df, [["k"]], "v", "at", "rec"))
     assert whole == rows(H.dense_aggregate(df, [["k"]], "v", "at", "rec", split=7)) and len(whole) == 2
+    many = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 500 as string)) as k", "cast(id % 7 as string) as r", "id * 0.5 as v", "timestamp_micros(id) as at", "id as rec")
+    want = rows(many.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"), F.max("rec").alias("rec")))
+    for split, blocks in ((10, 1), (64, 7), (1 << 17, 1024)):
+        got = H.dense_aggregate(many, [["k"], ["k", "r"]], "v", "at", "rec", split, blocks)
+        assert rows(got.where("grouping = 0").select("k", "n", "top", F.col("last_rec").alias("rec"))) == want
+        assert got.where("grouping = 1").agg(F.sum("n"), F.count("*")).collect()[0] == (3000, many.select("k", "r").distinct().count())
+    assert rows(H.dense_aggregate(many, [["k"]]).select("k", "n")) == [w[:2] for w in want]
+
+
+def test_arrays_move_in_blocks(spark):
+    plan = H.dense_aggregate(spark.range(10).selectExpr("cast(id as string) as k"), [["k"]])._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [grouping" in plan and ", block" in plan
 
 
 def test_heavy_keys_count_repeats_and_leave_null_out(spark, rows):
     data = [("a", "R", None, None, 1, None)] * 3 + [("b", None, None, None, 1, None)] * 47 + [(None, "R", None, None, 1, None)] * 50
     df = table(spark, data)
-    assert rows(H.heavy_keys(df, ["k", "r"], 3, "v", "at", "rec")) == [("a", "R", 3), ("b", None, 47)]
-    assert rows(H.heavy_keys(df, ["k", "r"], 3.5, "v", "at", "rec")) == [("b", None, 47)]
-    assert H.heavy_keys(df.limit(0), ["k", "r"], 3, "v", "at", "rec").count() == 0
+    assert rows(H.heavy_keys(df, ["k", "r"], 3)) == [("a", "R", 3), ("b", None, 47)]
+    assert rows(H.heavy_keys(df, ["k", "r"], 3.5)) == [("b", None, 47)]
+    assert H.heavy_keys(df.limit(0), ["k", "r"], 3).count() == 0
     assert H.key_report(df.limit(0), [["k"]], "v", "at", "rec", "m").count() == 0
