@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelwerk.llm.canonical import LOOK_ALIKES
-from stelwerk.session import spread
 
 #: A passage has at least this many words of the item, and at most one edit to PER_EDIT of them.
 PASSAGE = 18
@@ -339,7 +338,6 @@ def _blocks(items: DataFrame, item: str, text: str, chars: int) -> Iterator[list
 def _scan(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, judge, schema: str, chars: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null")
-    rows = spread(rows)
     names = [p.split()[0] for p in schema.split(", ")]
     result = spark.createDataFrame([], schema)
     for block in _blocks(items, item, item_text, chars):

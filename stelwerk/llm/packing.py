@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stelwerk.session import spread, written
+from stelwerk.session import written
 
 CAPACITY = 2048
 #: Texts a block: the unit within which places of equal length are numbered.
 BLOCK = 20_000
+#: Blocks whose counts are added up together.
+STRIDE = 1024
 
 
 def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -59,7 +61,7 @@ def token_counts(df: DataFrame, doc: str, text: str, path: str) -> DataFrame:
             n = pa.array([len(encode(t)) for t in b["t"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], n], names=["doc_id", "n_tokens"])
 
-    return spread(rows).mapInArrow(run, f"doc_id {dict(df.dtypes)[doc]}, n_tokens bigint")
+    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)[doc]}, n_tokens bigint")
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -125,6 +127,16 @@ def _places(bins: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, np.ndar
     return tuple(np.array(x, dtype=np.int64)[order] for x in (starts, firsts, each)) + (np.int64(container),)
 
 
+def _running(counts: DataFrame) -> DataFrame:
+    """``block, before``: the sum of ``n`` over all blocks before each. Blocks are added up in groups of STRIDE; only the
+    groups' sums, one row per STRIDE * BLOCK texts, meet in one task."""
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = counts.withColumn("stride", F.expr(f"block div {STRIDE}"))
+    bases = grouped.groupBy("stride").agg(F.sum("n").alias("n")).select("stride", earlier(Window.orderBy("stride")).alias("base"))
+    within = grouped.select("stride", "block", earlier(Window.partitionBy("stride").orderBy("block")).alias("within"))
+    return within.join(bases, "stride").select("block", (F.col("base") + F.col("within")).alias("before"))
+
+
 def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """``doc_id, part, n_tokens, container``: every text with tokens once, in one container if it fits.
 
@@ -163,7 +175,7 @@ def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
     # Full parts have a container each: numbered behind the packed ones, by block.
     long = keyed.where(whole > 0)
     full = long.groupBy("block").agg(F.sum(whole).alias("n"))
-    base = full.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = _running(full).select("block", F.col("before").alias("base"))
     inner = F.coalesce(F.sum(whole).over(Window.partitionBy("block").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = long.withColumn("inner", inner).join(base, "block")
     parts = numbered.select("doc_id", F.posexplode(F.sequence(F.lit(0), whole - 1)).alias("pos", "part"), (F.col("base") + F.col("inner")).alias("at"))

@@ -65,3 +65,10 @@ def test_blocks_share_one_numbering(spark, monkeypatch):
     got = P.pack(df, capacity=16).collect()
     n = got[0].n_tokens
     assert len({r.doc_id for r in got}) == 97 and len({r.container for r in got}) == -(-97 // (16 // n))
+
+
+def test_running_sums_over_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(P, "STRIDE", 3)
+    data = [(b, b % 5) for b in range(0, 40, 2)]
+    got = dict(map(tuple, P._running(spark.createDataFrame(data, "block int, n bigint")).collect()))
+    assert got == {b: sum(n for c, n in data if c < b) for b, _ in data}
