@@ -13,7 +13,7 @@ import heapq
 import html
 import re
 import unicodedata
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -203,24 +203,36 @@ def _merged(seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return runs
 
 
-def _continues(item: np.ndarray, doc: np.ndarray, p: int, at: int, n: int) -> bool:
-    """Whether a passage may pass through a run of ``n`` words (item position ``p``, document position ``at``).
-
-    A passage without a run of PASSAGE - 2 words has, around one of its seeds, PASSAGE item words of which at least 12
-    stand in pairs on the run's diagonal or one up to four words from it: edits in stretches of five and more, or
-    more of them, would be too many for the passage's length."""
-    if n >= PASSAGE - 2:
-        return True
-    lo, hi = max(0, p - PASSAGE + 1), min(len(item), p + n + PASSAGE - 1)
-    first = at - p + lo - 4
-    last = at - p + hi + 4
-    part = doc[max(0, first) : last]
-    part = np.concatenate((np.zeros(max(0, -first), dtype=doc.dtype), part))
-    part = np.concatenate((part, np.zeros(last - first - len(part), dtype=doc.dtype)))
-    same = np.lib.stride_tricks.sliding_window_view(part, hi - lo) == item[lo:hi]
-    pair = (same[:, :-1] & same[:, 1:]).any(axis=0)
-    met = np.cumsum(np.concatenate(([0], pair, [0])) | np.concatenate(([0, 0], pair)))
-    return int((met[PASSAGE:] - met[: len(met) - PASSAGE]).max() if len(met) > PASSAGE else met[-1]) >= 12
+def _possible(items: np.ndarray, ip: np.ndarray, docs: np.ndarray, dp: np.ndarray) -> np.ndarray:
+    """For each seed (its places in the items' and the documents' words, both padded with zeros): whether a passage may pass
+    through it. All seeds of a batch are judged at once, so a phrase that thousands of items share costs no work of its own.
+
+    No passage is lost. One of 2 * PASSAGE words or more can be cut into parts of PASSAGE to 2 * PASSAGE - 1, of which one has
+    no more edits than its own length allows, at most (2 * PASSAGE - 1) / PER_EDIT = 4. Take that part, with e edits allowed
+    at its length; its other words stand in at most e + 1 runs, all on diagonals at most e from one another. The longest run
+    has SEED words, so at most e runs are single words. Of any w item words of the part, then, at most 2 * e are edited or
+    single, and the other w - 2 * e stand in pairs on a diagonal at most e from the seed's. That is asked of some stretch of w
+    item words around the seed, for each e, with w the shortest part that allows e edits (_STRETCHES)."""
+    reach, most = _STRETCHES[-1][0] - 1, (2 * PASSAGE - 1) // PER_EDIT
+    width = SEED + 2 * reach
+    ok = np.zeros(len(ip), dtype=bool)
+    for k in range(0, len(ip), 4096):
+        a = items[ip[k : k + 4096, None] + np.arange(-reach, width - reach)]
+        b = docs[dp[k : k + 4096, None] + np.arange(-reach - most, width - reach + most)]
+        met = np.zeros(a.shape, dtype=bool)
+        for s in range(2 * most + 1):
+            same = (a == b[:, s : s + width]) & (a != 0)
+            pair = same[:, :-1] & same[:, 1:]
+            met[:, :-1] |= pair
+            met[:, 1:] |= pair
+        sums = np.cumsum(np.pad(met, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        for w, least in _STRETCHES:
+            ok[k : k + 4096] |= (sums[:, w:] - sums[:, :-w]).max(axis=1) >= least
+    return ok
+
+
+#: For e = 2, 3, 4: the shortest part of a passage with e edits, and its words that must stand in pairs.
+_STRETCHES = [(max(PASSAGE, e * PER_EDIT), max(PASSAGE, e * PER_EDIT) - 2 * e) for e in range(PASSAGE // PER_EDIT, (2 * PASSAGE - 1) // PER_EDIT + 1)]
 
 
 def _slack(item: np.ndarray) -> int:
@@ -232,11 +244,11 @@ def _window(item: np.ndarray, doc: np.ndarray, at: int, p: int) -> tuple[int, in
     return max(0, at - p - _slack(item)), min(len(doc), at + len(item) - p + _slack(item))
 
 
-def windows(item: np.ndarray, doc: np.ndarray, runs: list[tuple[int, int, int]], everything: bool = False) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+def windows(item: np.ndarray, doc: np.ndarray, runs: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
     """The document's words in each window around the runs of seeds, and the tiles there."""
     done = -1
-    for at, p, n in runs:
-        if at < done or not (everything or _continues(item, doc, p, at, n)):
+    for at, p, _ in runs:
+        if at < done:
             continue
         a, b = _window(item, doc, at, p)
         done = b - _slack(item)
@@ -261,60 +273,78 @@ def alone(item: np.ndarray, doc: np.ndarray, p: int, at: int, n: int) -> bool:
 
 
 class Items:
-    """A block of items: numbered words, seeds by hash."""
+    """A block of items: numbered words, seeds by hash. The words of all items stand in one array with PAD zeros between."""
+
+    PAD = SEED + 4 * PASSAGE
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
         self.ids: list[int] = []
         self.texts: list[np.ndarray] = []
-        seeds, where = [], []
         for item_id, text in rows:
-            w = np.array([self.number.setdefault(x, len(self.number) + 1) for x in words(text)], dtype=np.int64)
-            h = rolling(w, SEED)
-            seeds.append(h)
-            where.append(np.stack([np.full(len(h), len(self.ids)), np.arange(len(h))], axis=1))
+            self.texts.append(np.array([self.number.setdefault(x, len(self.number) + 1) for x in words(text)], dtype=np.int32))
             self.ids.append(item_id)
-            self.texts.append(w)
-        h = np.concatenate([np.zeros(0, np.uint64), *seeds])
+        self.flat, self.start = self._padded(self.texts)
+        h, at = self._seeds(self.flat)
         order = np.argsort(h, kind="stable")
-        self.seed = h[order]
-        self.where = np.concatenate([np.zeros((0, 2), int), *where])[order]
+        self.seed, self.where = h[order], at[order]
+
+    def _padded(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All words in one array, and where each text begins in it."""
+        pad = np.zeros(self.PAD, dtype=np.int32)
+        sizes = np.array([len(t) + self.PAD for t in texts], dtype=np.int64)
+        return np.concatenate([pad, *(x for t in texts for x in (t, pad))]), self.PAD + np.cumsum(sizes) - sizes
+
+    @staticmethod
+    def _seeds(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of each SEED known words that follow one another."""
+        known = np.flatnonzero(np.convolve(flat != 0, np.ones(SEED, dtype=np.int32), "valid") == SEED)
+        return rolling(flat, SEED)[known], known
 
-    def near(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    def near(self, texts: list[str], everything: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
         """For each text and item that share a seed: index of the text, index of the item, the words of both, the runs of
-        seeds (_merged)."""
+        seeds (_merged). Unless ``everything``, seeds no passage can pass through are left out (_possible)."""
         if not len(self.seed):
             return
         get = self.number.get
-        docs = [np.array([get(w, 0) for w in words(t)], dtype=np.int64) for t in texts]
-        starts = np.cumsum([0] + [len(d) for d in docs])
-        flat = np.concatenate([np.zeros(0, np.int64), *docs])
-        h = rolling(flat, SEED)
-        known = np.flatnonzero(np.convolve(flat != 0, np.ones(SEED, dtype=int), "valid") == SEED) if len(h) else np.zeros(0, int)
-        h = h[known]
+        docs = [np.array([get(w, 0) for w in words(t)], dtype=np.int32) for t in texts]
+        flat, start = self._padded(docs)
+        h, at = self._seeds(flat)
         lo, hi = np.searchsorted(self.seed, h, "left"), np.searchsorted(self.seed, h, "right")
         hit = np.flatnonzero(hi > lo)
-        of = np.searchsorted(starts, known[hit], "right") - 1
-        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for k, d in zip(hit.tolist(), of.tolist()):
-            at = int(known[k] - starts[d])
-            if at + SEED <= len(docs[d]):
-                for i, p in self.where[lo[k] : hi[k]].tolist():
-                    near[d, i].append((at, p))
-        for (d, i), seeds in near.items():
-            yield d, i, self.texts[i], docs[d], _merged(seeds)
+        n = (hi - lo)[hit]
+        dp = np.repeat(at[hit], n)
+        ip = self.where[np.arange(len(dp)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)]
+        if not everything:
+            ok = _possible(self.flat, ip, flat, dp)
+            dp, ip = dp[ok], ip[ok]
+        d, i = np.searchsorted(start, dp, "right") - 1, np.searchsorted(self.start, ip, "right") - 1
+        order = np.lexsort((ip, dp, i, d))
+        d, i, dp, ip = d[order], i[order], (dp - start[d])[order], (ip - self.start[i])[order]
+        cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 0)) + 1
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(d)]):
+            if e > s:
+                yield int(d[s]), int(i[s]), self.texts[i[s]], docs[d[s]], _merged(list(zip(dp[s:e].tolist(), ip[s:e].tolist())))
 
     def matches(self, texts: list[str], everything: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
-        """For each window of a text around a seed shared with an item: index of the text, index of the item, the words
-        of both, the tiles. Unless ``everything``, seeds no passage can pass through are left out (_continues)."""
-        for d, i, item, doc, runs in self.near(texts):
-            for part, found in windows(item, doc, runs, everything):
+        """For each window of a text around a seed shared with an item (near): index of the text, index of the item, the
+        words of both, the tiles."""
+        for d, i, item, doc, runs in self.near(texts, everything):
+            for part, found in windows(item, doc, runs):
                 yield d, i, item, part, found
 
-    def covers(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int]]]]:
+    def covers(self, texts: list[str], least: float = 0.0) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, int, int]]]]:
         """For each text and item that share a seed: index of the text, index of the item, the item's words, the tiles of
-        all windows around the seeds together, no word of either side in two of them."""
-        for d, i, item, doc, runs in self.near(texts):
+        all windows around the seeds together, no word of either side in two of them. Pairs are left out if less than the
+        share ``least`` of the item's words is in the text at all."""
+        last, there = -1, np.zeros(len(self.number) + 1, dtype=bool)
+        for d, i, item, doc, runs in self.near(texts, everything=True):
+            if d != last:
+                there[:] = False
+                there[doc] = True
+                last = d
+            if there[item].sum() < least * len(item):
+                continue
             inside = np.zeros(len(doc) + 1, dtype=np.int64)
             for at, p, _ in runs:
                 a, b = _window(item, doc, at, p)
@@ -335,16 +365,27 @@ def _blocks(items: DataFrame, item: str, text: str, chars: int) -> Iterator[list
         yield rows
 
 
+_INDEXES: dict[str, Items] = {}
+
+
+def _index(name: str, sent) -> Items:
+    """The index of a block, made once a process; the block before it goes."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Items(sent.value)
+    return _INDEXES[name]
+
+
 def _scan(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, judge, schema: str, chars: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null")
     names = [p.split()[0] for p in schema.split(", ")]
     result = spark.createDataFrame([], schema)
     for block in _blocks(items, item, item_text, chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            known = _index(name, sent)
             for b in batches:
                 for k in range(0, b.num_rows, 512):
                     part = b.slice(k, 512)
@@ -369,7 +410,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
         for d, i, a, t, runs in known.near(texts):
             key = (ids[d], known.ids[i])
             # a copy of some of the words nearby can take them from the passage's tiles, so no pair is given up by them
-            if key not in found and (any(in_order(a, b, marks) for b, marks in windows(a, t, runs)) or any(_continues(a, t, p, at, n) and alone(a, t, p, at, n) for at, p, n in runs)):
+            if key not in found and (any(alone(a, t, p, at, n) for at, p, n in runs) or any(in_order(a, b, marks) for b, marks in windows(a, t, runs))):
                 found.add(key)
         return sorted(found)
 
@@ -383,7 +424,7 @@ def coverage(docs: DataFrame, items: DataFrame, least: float = 0.5, doc: str = "
 
     def judge(known: Items, ids: list[int], texts: list[str]) -> list[tuple]:
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, a, marks in known.covers(texts):
+        for d, i, a, marks in known.covers(texts, least):
             n = sum(m for _, _, m in marks)
             if n >= least * len(a):
                 key = (ids[d], known.ids[i])

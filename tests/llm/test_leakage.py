@@ -122,11 +122,25 @@ def test_tiles_are_the_longest_first_and_disjoint():
         assert not any(fa[i : i + L.TILE] == fb[j : j + L.TILE] for i in range(len(fa) - L.TILE + 1) for j in range(len(fb) - L.TILE + 1))
 
 
+def test_a_stock_phrase_of_many_items_costs_no_work_of_its_own():
+    import time
+
+    rnd = random.Random(12)
+    phrase = [f"vast{k}" for k in range(10)]
+    items = L.Items([(i, " ".join(text(rnd, 40) + phrase + text(rnd, 40))) for i in range(3000)])
+    docs = [" ".join(text(rnd, 200) + phrase + text(rnd, 200)) for _ in range(20)]
+    list(items.near(docs[:1]))
+    began = time.perf_counter()
+    left = len(list(items.near(docs)))
+    took = time.perf_counter() - began
+    assert left < 100 and len(list(items.near(docs, everything=True))) >= 60000 and took < 5
+
+
 def test_pre_check_loses_no_passage():
     import numpy as np
 
     rnd = random.Random(11)
-    for _ in range(600):
+    for _ in range(1500):
         w = text(rnd, 70)
         n = rnd.randint(18, 70)
         at = rnd.randint(0, 70 - n)
