@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts cost far more than their bytes: a scan is cut into more parts than Spark's 128 MB would give.
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -42,25 +45,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary
+    one; on a cluster that would be another folder on each machine, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="stelwerk-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        at = tempfile.mkdtemp(prefix="stelwerk-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        at = f"file://{at}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out to all of them; anything else as it is. For work that
-    takes much longer than moving its rows. Large inputs have more partitions than cores and are never moved. Only the
-    plan is looked at: a frame that needs a shuffle already is left alone."""
-    plan = df._jdf.queryExecution().executedPlan()
-    if "Adaptive" in plan.getClass().getSimpleName():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
