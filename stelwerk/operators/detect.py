@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from stelwerk.functions import text as X
 from stelwerk.operators.scan import find_all, pattern
 
-#: Widest range of article numbers that is spelled out; wider ones are no ranges of articles.
-WIDEST_RANGE = 100_000
+#: Numbers of a range that are spelled out in one array; longer ranges are cut into such stretches first.
+STRETCH = 10_000
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,20 @@ def judgment_rules(codes: Sequence[str] = CODES["judgment"]) -> list[Rule]:
 #: Articles named without a law, for judgments: kept only outside the spans of the rules above.
 BARE_RULES = [Rule(rf"\bartikel\s+{_NO}\b", "article", 0.35, article=1), Rule(rf"\bart\.\s*{_NO}\b", "article", 0.35, article=1)]
 
-LAW_BLOCK = r"\b(?:de\s+)?(?:artikel(?:en)?|art\.?)\s+(\d+[a-zA-Z]{0,4}(?:\s*(?:tot\s+en\s+met|tot|en|,|&|-)\s*\d+[a-zA-Z]{0,4})*)"
+# How a law's text names its own articles, and the confidences.
+LAW_BLOCK = r"\b(?:de\s+)?(?:artikel(?:en)?|art(?:ikel)?\.?)\s+(\d+[a-zA-Z]{0,4}(?:\s*(?:tot\s+en\s+met|tot|en|,|&|-)\s*\d+[a-zA-Z]{0,4})*)"
 LAW_NUMBER = r"\d+[a-zA-Z]{0,4}"
 NUMBER_CONFIDENCE, RANGE_CONFIDENCE = 0.95, 0.8
 
 
+def confidence_of(section: Mapping[str, object], name: str, default: float) -> float:
+    """A confidence from a profile's section, the default where it is missing or no number."""
+    try:
+        return float(section[name])  # type: ignore[arg-type]
+    except (KeyError, TypeError, ValueError):
+        return default
+
+
 def code_map(aliases: Mapping[str, str]) -> dict[str, str]:
     """Aliases and ids stripped, aliases upper-case, blanks left out."""
     return {str(k).strip().upper(): str(v).strip() for k, v in aliases.items() if k and v and str(k).strip() and str(v).strip()}
@@ -172,7 +181,7 @@ def detect_law(df: DataFrame, doc: str, text: str, law: str, number_confidence:
 
     Each number of a block (``artikelen 1, 2 en 5``) is a hit; numbers joined by ``tot`` also stand for the whole numbers
     between them, with the block's span. Offsets are those of the stripped text. Rows without text or law have none; the
-    first of equal (start, end, number) wins; ranges wider than WIDEST_RANGE are not spelled out."""
+    first of equal (start, end, number) wins; a range is spelled out however wide it is, by stretches."""
     rows = df.select(F.col(doc).alias("doc"), X.filled(F.col(text)).alias("txt"), F.nullif(F.col(law), F.lit("")).alias("bwb_id")).dropna()
     blocks = rows.select("doc", "bwb_id", F.inline(find_all(F.col("txt"), pattern(LAW_BLOCK))))
     numbers = F.regexp_extract("text", pattern(LAW_BLOCK), 1)
@@ -184,8 +193,10 @@ def detect_law(df: DataFrame, doc: str, text: str, law: str, number_confidence:
     pairs = parts.select("doc", "bwb_id", "at", "end", "block", F.inline(F.arrays_zip(F.slice("n", 1, F.greatest(F.size("n") - 1, F.lit(0))).alias("a"), F.slice("n", 2, F.size("n")).alias("b"))))
     between = F.substring(F.col("block"), F.col("a.end") + 1, F.col("b.start") - F.col("a.end"))
     ends = pairs.where(F.contains(F.lower(between), F.lit("tot"))).select("*", X.leading_int(F.col("a.text")).alias("x"), X.leading_int(F.col("b.text")).alias("y"))
-    wide = ends.select("*", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where(f"hi - lo > 1 and hi - lo <= {WIDEST_RANGE}")
-    ranged = wide.select("doc", F.col("at").alias("start"), "end", F.col("block").alias("text"), "bwb_id", F.explode(F.transform(F.sequence(F.col("lo") + 1, F.col("hi") - 1), lambda n: n.cast("string"))).alias("article_number"), F.lit(range_confidence).alias("confidence"))
+    wide = ends.select("*", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("hi - lo > 1")
+    begins = F.sequence(F.col("lo") + 1, F.col("hi") - 1, F.lit(STRETCH).cast("bigint"))
+    wide = wide.select("*", F.explode(begins).alias("from")).withColumn("until", F.least(F.col("from") + STRETCH - 1, F.col("hi") - 1))
+    ranged = wide.select("doc", F.col("at").alias("start"), "end", F.col("block").alias("text"), "bwb_id", F.explode(F.transform(F.sequence("from", "until"), lambda n: n.cast("string"))).alias("article_number"), F.lit(range_confidence).alias("confidence"))
 
     hits = single.unionByName(ranged).withColumn("lower", F.lower("article_number"))
     best = hits.groupBy("doc", "start", "end", "lower").agg(F.max(F.struct("confidence", "article_number", "text", "bwb_id")).alias("b"))

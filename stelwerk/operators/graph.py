@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stelwerk.functions import keys as K
+from stelwerk.functions import text as X
 from stelwerk.operators.merge import first_per_key, last_per_key
 
 COLLECTIONS = ("instruments", "instrument_articles", "procedures", "publications", "judgments", "topics")
@@ -69,6 +70,68 @@ def instrument_of(articles: DataFrame, strict: DataFrame) -> DataFrame:
     return articles.select("_id").join(one, "_id", "left")
 
 
+def find_topic(topics: DataFrame, id_: str | None, slug: str | None) -> DataFrame:
+    """The topic with this id or this slug; of several the one with the least key."""
+    return topics.where((F.col("props.id") == id_) | (F.col("props.slug") == slug)).orderBy("_key").limit(1)
+
+
+def find_instrument(instruments: DataFrame, config_id: str) -> DataFrame:
+    """The instrument of a profile's entry; of several the one with the least key."""
+    return instruments.where(F.col("props.config_id") == config_id).orderBy("_key").limit(1)
+
+
+def find_judgments(judgments: DataFrame, asked: DataFrame) -> DataFrame:
+    """``ecli, _id``: for each ECLI asked for the judgment with its key, else the one with that ECLI (the least id)."""
+    want = asked.select("ecli").where("ecli is not null").distinct().withColumn("_k", K.node_key(F.col("ecli")))
+    by_key = want.join(judgments.select(F.col("_key").alias("_k"), F.col("_id").alias("by_key")).distinct(), "_k", "left")
+    by_ecli = judgments.where("props.ecli is not null").groupBy(F.col("props.ecli").alias("ecli")).agg(F.min("_id").alias("by_ecli"))
+    return by_key.join(by_ecli, "ecli", "left").select("ecli", F.coalesce("by_key", "by_ecli").alias("_id")).where("_id is not null")
+
+
+def with_key(nodes: DataFrame, collection: str, key: Column) -> DataFrame:
+    """The nodes under another key; rows whose key is null or empty go."""
+    named = nodes.withColumns({"_key": F.nullif(key, F.lit("")), "_id": K.node_id(collection, F.nullif(key, F.lit("")))})
+    return named.where("_key is not null")
+
+
+def edge_citations(semantic: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``source_id, target_id, start, end, text, confidence`` of the edges by which articles refer to others. The target must
+    be a node; the span is the edge's own, its text stripped."""
+    meta = semantic.schema["meta"].dataType.fieldNames() if "meta" in semantic.columns else []
+    span = lambda *names: F.coalesce(*[F.col(f"meta.{n}").try_cast("bigint") for n in names if n in meta], F.lit(None).cast("bigint"))
+    text = X.filled(F.col("meta.text")) if "text" in meta else F.lit(None).cast("string")
+    rows = semantic.where((F.col("relation") == REFERS_TO_ARTICLE) & F.col("_from").isNotNull())
+    rows = rows.select(F.col("_from").alias("source_id"), F.col("_to").alias("target_id"), span("start_pos", "start").alias("start"), span("end_pos", "end").alias("end"), text.alias("text"), F.col("confidence").try_cast("double").alias("confidence"))
+    return rows.join(nodes.select(F.col("_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id", "start", "end", "text", "confidence")
+
+
+def embedded_citations(articles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same of the citations that articles hold themselves (``_id, citations``). An entry needs a law and a number, and
+    the article these make must be a node."""
+    rows = articles.select(F.col("_id").alias("source_id"), F.explode("citations").alias("c"))
+    rows = rows.where((X.filled(F.col("c.target_bwb_id")).isNotNull()) & (X.filled(F.col("c.target_article_number")).isNotNull()))
+    target = K.node_id("instrument_articles", K.node_key(F.col("c.target_bwb_id"), F.col("c.target_article_number")))
+    rows = rows.select("source_id", target.alias("target_id"), F.col("c.start").cast("bigint").alias("start"), F.col("c.end").cast("bigint").alias("end"), X.filled(F.col("c.text")).alias("text"), F.col("c.confidence").cast("double").alias("confidence"))
+    return rows.join(nodes.select(F.col("_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id", "start", "end", "text", "confidence")
+
+
+def article_citations(articles: DataFrame, semantic: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``source_id, target_id, target_name, start, end, text, confidence``: what each article (``_id, citations``) refers to,
+    by its edges and by its own citations, each span once (merged_citations)."""
+    own = edge_citations(semantic, nodes).join(articles.select(F.col("_id").alias("source_id")), "source_id", "left_semi")
+    both = merged_citations(own, embedded_citations(articles, nodes))
+    return both.join(nodes.select(F.col("_id").alias("target_id"), F.col("display_name").alias("target_name")), "target_id").select("source_id", "target_id", "target_name", "start", "end", "text", "confidence")
+
+
+def judgment_detail(asked: DataFrame, judgments: DataFrame, strict: DataFrame, semantic: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``ecli, judgment_id, article_id, article_name, instrument_id, article_count``: the articles each judgment asked for
+    mentions, with their instruments. A judgment without any has one row with a count of 0; one there is not has none."""
+    found = find_judgments(judgments, asked)
+    met = document_articles(found.select("_id").distinct(), strict, semantic, nodes)
+    rows = found.join(met, "_id", "left")
+    return rows.select("ecli", F.col("_id").alias("judgment_id"), "article_id", "article_name", "instrument_id", F.coalesce("article_count", F.lit(0)).cast("bigint").alias("article_count"))
+
+
 def mentions(semantic: DataFrame, relation: str = MENTIONS_ARTICLE) -> DataFrame:
     """``_id, source_id``: who mentions a node, distinct."""
     return semantic.where((F.col("relation") == relation) & F.col("_to").isNotNull()).select(F.col("_to").alias("_id"), F.col("_from").alias("source_id")).distinct()

@@ -21,6 +21,23 @@ def joined_text(fragments: list[Column], max_chars: int | None = None) -> Column
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
+def capped_text(fragments: list[Column], more: Column, max_chars: int) -> Column:
+    """As joined_text, with the lines of ``more`` after the fragments as long as fewer than ``max_chars`` characters came
+    before; no line is cut."""
+    size = F.lit(0)
+    for f in fragments:
+        size = size + F.coalesce(F.length(X.filled(f)), F.lit(0))
+    start = F.struct(size.cast("int").alias("n"), F.lit(0).alias("lines"))
+    lines = F.split(more, "\n")
+    fits = F.aggregate(lines, start, lambda a, x: F.struct(F.when(a["n"] < max_chars, a["n"] + F.length(x)).otherwise(a["n"]).cast("int").alias("n"), (a["lines"] + (a["n"] < max_chars).cast("int")).alias("lines")))
+    return joined_text([*fragments, F.concat_ws("\n", F.slice(lines, F.lit(1), fits["lines"]))])
+
+
+def prop(df: DataFrame, name: str) -> Column:
+    """A field of ``props``, null where the table has none of that name."""
+    return F.col(f"props.{name}") if name in df.schema["props"].dataType.fieldNames() else F.lit(None).cast("string")
+
+
 def _since(docs: DataFrame, since, column: str = "ingested_at") -> DataFrame:
     return docs if since is None else docs.where(F.col(column) >= F.lit(str(since)).cast(docs.schema[column].dataType))
 
@@ -34,16 +51,27 @@ def _profile_codes(profile: Mapping[str, Any]) -> list[str]:
     return [str(k).strip() for k in section(profile, "code_aliases") if str(k).strip()]
 
 
-def link_laws(articles: DataFrame, nodes: DataFrame, laws: list[str] | None = None) -> DataFrame:
-    """Edges between articles of one law that name each other. ``laws``: only these; self-references stay."""
+def link_laws(articles: DataFrame, nodes: DataFrame, laws: list[str] | None = None, profile: Mapping[str, Any] | None = None) -> DataFrame:
+    """Edges between articles of one law that name each other. ``laws``: only these; self-references stay. A profile's
+    section ``bwb`` may set ``confidence_default`` and ``confidence_range``."""
     docs = articles.where("props.text is not null")
     if laws is not None:
         docs = docs.where(F.col("props.bwb_id").isin(laws))
-    hits = D.detect_law(docs.select(F.col("_id"), F.col("props.text").alias("t"), F.col("props.bwb_id").alias("law")), "_id", "t", "law")
+    hits = D.detect_law(docs.select(F.col("_id"), F.col("props.text").alias("t"), F.col("props.bwb_id").alias("law")), "_id", "t", "law", *_confidences(profile))
     hits = hits.withColumns({"seq": F.lit(0), "celex": F.lit(None).cast("string"), "raw_match": F.col("text"), "snippet": F.lit(None).cast("string")})
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.REFERS_TO_ARTICLE, "bwb-article-linker", ("start", "article_number"))
 
 
+def _confidences(profile: Mapping[str, Any] | None) -> tuple[float, float]:
+    own = section(profile or {}, "bwb")
+    return D.confidence_of(own, "confidence_default", D.NUMBER_CONFIDENCE), D.confidence_of(own, "confidence_range", D.RANGE_CONFIDENCE)
+
+
+def with_citations(articles: DataFrame) -> DataFrame:
+    """Node rows of the articles whose props are their citations, to be merged into the stored ones."""
+    return stored_citations(articles).select(F.regexp_replace("_id", "^[^/]*/", "").alias("_key"), "_id", F.struct("citations").alias("props"))
+
+
 def stored_citations(articles: DataFrame) -> DataFrame:
     """``_id, citations``: an article's own citations in order, an empty list where there are none."""
     docs = articles.select("_id", F.col("props.text").alias("t"), F.col("props.bwb_id").alias("law"))
@@ -56,52 +84,86 @@ def stored_citations(articles: DataFrame) -> DataFrame:
 
 def link_eu(instruments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, max_chars: int | None = None, strict: bool = False) -> DataFrame:
     docs = _since(instruments.where(F.array_contains("labels", "EU")), since)
-    text = joined_text([F.col("props.title"), F.col("props.display_name"), X.strip_html(F.col("props.raw_html"))], max_chars)
+    text = joined_text([prop(docs, "title"), prop(docs, "official_title"), prop(docs, "display_name"), X.strip_html(prop(docs, "raw_html"))], max_chars)
     hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", D.eu_rules(codes_of(profile, D.CODES["eu"], strict)), section(profile, "code_aliases"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "eu-article-linker")
 
 
+def recent_eclis(raw: DataFrame, since) -> DataFrame:
+    """``ecli``: of the judgments whose contents were fetched at ``since`` or later, distinct."""
+    rows = _since(raw.where((F.col("source") == "rechtspraak") & (F.col("kind") == "rs-content")), since, "fetched_at")
+    return rows.select(F.col("meta")["ecli"].alias("ecli")).where("ecli is not null").distinct()
+
+
+def judgment_text(docs: DataFrame) -> Column:
+    """The document as it is, tags included, if it isn't blank; else the text."""
+    own, other = prop(docs, "raw_xml"), prop(docs, "text")
+    return F.when(X.filled(own).isNotNull(), own).when(X.filled(other).isNotNull(), other)
+
+
 def link_judgments(judgments: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], eclis: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """``eclis``: only judgments with these (``ecli``); an empty frame means none."""
     docs = judgments if eclis is None else judgments.join(eclis.select(F.col("ecli").alias("_e")).distinct(), F.col("props.ecli") == F.col("_e"), "left_semi")
     codes = section(profile, "code_aliases")
-    hits = D.detect_judgment(docs.select("_id", F.col("props.raw_xml").alias("t")), "_id", "t", codes, D.judgment_rules(codes_of(profile, D.CODES["judgment"], strict))).where(F.col("bwb_id").isNotNull())
+    hits = D.detect_judgment(docs.select("_id", judgment_text(docs).alias("t")), "_id", "t", codes, D.judgment_rules(codes_of(profile, D.CODES["judgment"], strict))).where(F.col("bwb_id").isNotNull())
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "rechtspraak-article-linker")
 
 
-def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, strict: bool = False) -> DataFrame:
+def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str, Any], since=None, strict: bool = False, max_chars: int | None = None) -> DataFrame:
+    """``max_chars``: no more strings of the raw record are added once the text has that many characters."""
     docs = _since(documents.where(F.array_contains("labels", "TK")), since)
-    text = joined_text([F.col("props.title"), X.json_strings(F.col("props.raw"))])
+    own, more = [prop(docs, n) for n in ("title", "summary", "body", "text")], X.json_strings(prop(docs, "raw"))
+    text = joined_text([*own, more]) if max_chars is None else capped_text(own, more, max_chars)
     rules = D.parliament_rules(act_aliases(profile), codes_of(profile, D.CODES["parliament"], strict), codes_of(profile, D.CODES["parliament_short"], strict))
     hits = D.detect(docs.select("_id", text.alias("t")), "_id", "t", rules, section(profile, "code_aliases"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "tk-article-linker")
 
 
-#: Most words of an act's name that are compared.
-NAME_WORDS = 8
-NAME_CHARS = 400
 _CITED = r"\b(?:artikel|article|art\.)\s+(\d+(?::\d+)*[a-z]?)\b(?:\s*,\s*lid\s+\d+)?"
-_NAME = r"^\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?([\p{L}\p{N}]+(?:\s[\p{L}\p{N}]+){0,7})"
+_LEAD = r"^\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?"
+#: Characters behind a citation that are looked at first; where the words asked for go beyond them, the whole text is.
+REACH = 256
+_STOP = r"[.!?:]\s|[;\n]"
+_GAPS = r"[^\p{L}\p{N}]+"
+
+
+def name_form(c: Column) -> Column:
+    """The words of a name in lower case with single blanks, whatever signs stand between them."""
+    return F.trim(F.regexp_replace(F.lower(c), _GAPS, " "))
 
 
 def act_names(instruments: DataFrame) -> DataFrame:
-    """``name, bwb_id``: titles and short titles (lower-case) that mean one law only."""
+    """``name, bwb_id, n_words``: titles and short titles (name_form) that mean one law only."""
     each = F.explode(F.array("props.title", "props.short_title"))
     rows = instruments.where("props.bwb_id is not null").select(F.col("props.bwb_id").alias("bwb_id"), each.alias("n"))
-    named = rows.select(F.lower(X.filled(F.col("n"))).alias("name"), "bwb_id").where("name is not null")
-    return named.groupBy("name").agg(F.min("bwb_id").alias("bwb_id"), F.max("bwb_id").alias("other")).where("bwb_id = other").drop("other")
+    named = rows.select(name_form(F.col("n")).alias("name"), "bwb_id").where("name <> ''")
+    one = named.groupBy("name").agg(F.min("bwb_id").alias("bwb_id"), F.max("bwb_id").alias("other")).where("bwb_id = other")
+    return one.select("name", "bwb_id", F.size(F.split("name", " ")).alias("n_words"))
 
 
 def link_by_names(docs: DataFrame, text: str, names: DataFrame, nodes: DataFrame, source: str = "name-linker") -> DataFrame:
     """Edges for articles cited with an act's name or short title, where the names are a table of any size: the words after
-    the article, 1 to NAME_WORDS of them, are joined to it, and the longest name that is there counts. ``docs``: ``_id`` and
-    the text column."""
+    the article are joined to it, and the longest name that is there counts. ``docs``: ``_id`` and the text column.
+
+    As many words are looked at as the longest name has, and names are told apart by their words, not by the signs between
+    them. Names meet the texts by their first word first, so only words that begin a name go on; a text stays where it is,
+    what moves of it are the words after its citations."""
     rx = pattern(_CITED)
-    found = docs.select(F.col("_id").alias("doc"), F.col(text).alias("_all"), F.inline(find_all(F.col(text), rx)))
-    after = F.regexp_extract(F.substring(F.col("_all"), F.col("end") + 1, F.lit(NAME_CHARS)), pattern(_NAME), 1)
-    found = found.select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), F.split(F.lower(after), r"\s").alias("w"))
-    tries = found.select("doc", "start", "text", "article_number", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(NAME_WORDS)))).alias("n"))
-    tries = tries.select("doc", "start", "text", "article_number", "n", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("n"))).alias("name"))
+    longest = names.agg(F.max("n_words").alias("n")).scalar()
+    longest = F.coalesce(longest, F.lit(0))
+    # The characters behind each match, cut beside the text, so that no row holds a text twice.
+    behind = F.transform(find_all(F.col(text), rx), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.substring(F.col(text), m["end"] + 1, F.lit(REACH)).alias("after")))
+    found = docs.select(F.col("_id").alias("doc"), F.col(text).alias("_all"), F.inline(behind))
+    lead = lambda c: F.length(F.regexp_extract(c, pattern(_LEAD), 0))
+    words = lambda c: F.split(name_form(F.split(F.substring(c, lead(c) + 1, F.length(c)), _STOP)[0]), " ")
+    near = words(F.col("after"))
+    # Only where very long words fill the reach is the rest of the text looked at.
+    cut = (F.length("after") >= REACH) & (F.size(near) <= longest)
+    near = F.when(cut, words(F.substring(F.col("_all"), F.col("end") + 1, F.length("_all")))).otherwise(near)
+    found = found.where(lead(F.col("after")) > 0).select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), F.slice(near, F.lit(1), longest).alias("w"))
+    first = names.select(F.split("name", " ")[0].alias("first")).distinct()
+    found = found.withColumn("first", F.col("w")[0]).join(first, "first", "left_semi")
+    tries = found.select("doc", "start", "text", "article_number", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.concat_ws(" ", F.slice("w", F.lit(1), n)))).alias("n", "name"))
     best = tries.join(names, "name").groupBy("doc", "start", "text", "article_number").agg(F.max_by("bwb_id", "n").alias("bwb_id"))
     hits = best.select("doc", "start", "article_number", "bwb_id", F.col("text").alias("raw_match"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("celex"), F.lit(None).cast("string").alias("snippet"), F.lit(0.95).alias("confidence"))
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, source, ("start", "raw_match"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from typing import Any
 from xml.etree import ElementTree
@@ -21,12 +24,48 @@ from stelwerk.sources.profiles import section
 ARTICLE_SCHEMA = "bwb_id string, seq int, article_number string, text string"
 
 
-def _words(e: ElementTree.Element) -> str:
-    return "".join(e.itertext()).strip()
-
-
-def _below(e: ElementTree.Element, name: str) -> ElementTree.Element | None:
-    return next((x for x in e.iter() if x is not e and isinstance(x.tag, str) and local_name(x.tag) == name), None)
+class _Parts:
+    """A document's elements as tables by name: rows in document order, each with the number of its parent and of its last
+    descendant. What stands inside an element are rows of a table between two numbers."""
+
+    def __init__(self, xml: str):
+        top = ElementTree.fromstring(xml)
+        self.elements: list[ElementTree.Element] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.tables: dict[str, list[int]] = defaultdict(list)
+        todo = [(top, -1)]
+        while todo:
+            e, up = todo.pop()
+            if up == -2:  # everything inside has been numbered
+                self.last[e] = len(self.elements) - 1
+                continue
+            at = len(self.elements)
+            self.elements.append(e)
+            self.parent.append(up)
+            self.last.append(at)
+            self.tables[local_name(e.tag)].append(at)
+            todo.append((at, -2))
+            todo += [(c, at) for c in reversed(e) if isinstance(c.tag, str)]
+
+    def inside(self, at: int, name: str, itself: bool = False) -> list[int]:
+        rows = self.tables.get(name, [])
+        return rows[bisect_right(rows, at - itself) : bisect_right(rows, self.last[at])]
+
+    def first(self, at: int, *names: str) -> int | None:
+        """The first element of the first name inside, then of the next name inside that."""
+        for name in names:
+            rows = self.inside(at, name)
+            if not rows:
+                return None
+            at = rows[0]
+        return at
+
+    def text(self, at: int | None) -> str:
+        return "" if at is None else "".join(self.elements[at].itertext()).strip()
+
+
+_LABEL = re.compile(r"\s*artikel[:.\s]*(.*?)\s*$", re.I | re.S)
 
 
 def article_rows(xml: str | None) -> Iterator[tuple[int, str, str]]:
@@ -35,31 +74,20 @@ def article_rows(xml: str | None) -> Iterator[tuple[int, str, str]]:
     An article is an element of that name or with a label that begins with it. Its number stands in its heading, else in
     the label. Its text is its paragraphs, each with its number before it; without paragraphs, all its lines."""
     try:
-        top = ElementTree.fromstring(xml or "")
+        doc = _Parts(xml or "")
     except (ElementTree.ParseError, ValueError, RecursionError):
         return
-    n = 0
-    for e in top.iter():
-        if not isinstance(e.tag, str):
-            continue
-        label = (e.attrib.get("label") or "").strip()
-        labelled = label.lower().startswith("artikel")
-        if local_name(e.tag) != "artikel" and not labelled:
-            continue
-        head = _below(e, "kop")
-        mark = _below(head, "nr") if head is not None else None
-        number = (_words(mark) if mark is not None else "") or (label[len("artikel") :].lstrip(":. ").strip() if labelled else "")
-        inside = [x for x in e.iter() if isinstance(x.tag, str)]
-        lines = []
-        for part in (x for x in inside if local_name(x.tag) == "lid"):
-            own = [w for c in part if isinstance(c.tag, str) and local_name(c.tag) == "al" and (w := _words(c))]
-            if own:
-                no = _below(part, "lidnr")
-                lines.append((f"{_words(no)}. " if no is not None and _words(no) else "") + " ".join(own))
-        text = "\n".join(lines or [w for x in inside if local_name(x.tag) == "al" and (w := _words(x))]).strip()
+    labels = {at: m[1] for at, e in enumerate(doc.elements) if (m := _LABEL.match(e.get("label") or ""))}
+    lines: dict[int, list[str]] = defaultdict(list)  # by paragraph, the lines directly in it
+    for at in doc.tables.get("al", []):
+        if words := doc.text(at):
+            lines[doc.parent[at]].append(words)
+    for n, at in enumerate(sorted({*doc.tables.get("artikel", []), *labels})):
+        number = doc.text(doc.first(at, "kop", "nr")) or labels.get(at, "")
+        paragraphs = [f"{no}. {own}" if (no := doc.text(doc.first(p, "lidnr"))) else own for p in doc.inside(at, "lid", itself=True) if (own := " ".join(lines.get(p, [])))]
+        text = "\n".join(paragraphs or filter(None, map(doc.text, doc.inside(at, "al", itself=True))))
         if number and text:
             yield n, number, text
-        n += 1
 
 
 def law_articles(laws: DataFrame) -> DataFrame:
@@ -103,7 +131,7 @@ def laws(raw: DataFrame, since=None) -> dict[str, DataFrame]:
     return {"instruments": _last(instruments), "instrument_articles": articles, "edges_strict": part}
 
 
-def eu_acts(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[str, DataFrame]:
+def eu_acts(raw: DataFrame, profile: Mapping[str, Any], since=None, topics: DataFrame | None = None) -> dict[str, DataFrame]:
     """Instruments from EU pages; acts of the profile's domain bear its label and an edge to its topic."""
     rows = R.scan(raw, "eurlex", ["eu-celex-html"], since).withColumnRenamed("_key", "raw_key")
     rows = rows.withColumn("celex", F.nullif(F.coalesce(F.col("meta")["celex"], F.col("external_id")), F.lit(""))).where("celex is not null")
@@ -112,10 +140,10 @@ def eu_acts(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[str,
     slug = str(section(profile, "topic", "slug") or "")
     nodes = _node(rows, "instruments", "instrument", K.node_key(F.col("celex")), _labels("EU", own, slug.capitalize()), {"celex": F.col("celex"), "raw_html": F.col("payload_text"), "lang": F.col("meta")["lang"]})
     last = _last(nodes)
-    return {"instruments": last, "edges_semantic": topic_edges(last, profile, "eurlex-normalize")}
+    return {"instruments": last, "edges_semantic": topic_edges(last, profile, "eurlex-normalize", topics)}
 
 
-def judgments(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[str, DataFrame]:
+def judgments(raw: DataFrame, profile: Mapping[str, Any], since=None, topics: DataFrame | None = None) -> dict[str, DataFrame]:
     """Judgments from content records that name their ECLI."""
     rows = R.scan(raw, "rechtspraak", ["rs-content"], since).withColumnRenamed("_key", "raw_key")
     rows = rows.withColumn("ecli", F.nullif(F.coalesce(F.col("meta")["ecli"], F.col("external_id")), F.lit(""))).where("ecli is not null")
@@ -125,10 +153,10 @@ def judgments(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[st
     slug = str(section(profile, "topic", "slug") or "")
     nodes = _node(rows, "judgments", "judgment", K.node_key(F.col("ecli")), _labels("Rechtspraak", own, slug.capitalize()), {"ecli": F.col("ecli"), "raw_xml": F.col("payload_text"), "source_kind": F.col("kind")})
     last = _last(nodes)
-    return {"judgments": last, "edges_semantic": topic_edges(last, profile, "rechtspraak-normalize")}
+    return {"judgments": last, "edges_semantic": topic_edges(last, profile, "rechtspraak-normalize", topics)}
 
 
-def parliament(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[str, DataFrame]:
+def parliament(raw: DataFrame, profile: Mapping[str, Any], since=None, topics: DataFrame | None = None) -> dict[str, DataFrame]:
     """Procedures and publications from parliament's cases and document versions, with the edges between them."""
     both = R.scan(raw, "tk", ["tk-zaak", "tk-documentversie"], since).withColumnRenamed("_key", "raw_key").where("payload_json is not null")
     rules = section(profile, "filters", "tk")
@@ -148,7 +176,7 @@ def parliament(raw: DataFrame, profile: Mapping[str, Any], since=None) -> dict[s
     known = procedures.select(F.col("props.external_id").alias("ref"), F.col("_id").alias("procedure_id"))
     met = publications.select("_id", F.col("props.procedure_external_id").alias("ref")).join(known, "ref")
     part = graph.edges(met, F.col("_id"), F.col("procedure_id"), graph.PART_OF_PROCEDURE, True, "tk-normalize")
-    topics = topic_edges(procedures, profile, "tk-normalize").unionByName(topic_edges(publications, profile, "tk-normalize"))
+    topics = topic_edges(procedures, profile, "tk-normalize", topics).unionByName(topic_edges(publications, profile, "tk-normalize", topics))
     return {"procedures": procedures, "publications": publications, "edges_strict": part, "edges_semantic": topics}
 
 
@@ -156,8 +184,12 @@ def topic_key(profile: Mapping[str, Any]) -> Column:
     return K.node_key(F.lit(str(section(profile, "topic", "slug") or section(profile, "topic", "id") or "")), fold=False)
 
 
-def topic_edges(nodes: DataFrame, profile: Mapping[str, Any], source: str) -> DataFrame:
-    """Edges to the profile's topic from the nodes that bear its label; none without a topic."""
+def topic_edges(nodes: DataFrame, profile: Mapping[str, Any], source: str, topics: DataFrame | None = None) -> DataFrame:
+    """Edges to the profile's topic from the nodes that bear its label; none without a topic. ``topics``: the stored ones; of
+    those with the profile's id or slug the one with the least key is meant, else a key is made of the slug."""
     slug = str(section(profile, "topic", "slug") or "")
     chosen = nodes.where(F.array_contains("labels", slug.capitalize()) & F.lit(bool(slug)))
-    return graph.edges(chosen, F.col("_id"), K.node_id("topics", topic_key(profile)), graph.RELATED_TOPIC, False, source)
+    target = K.node_id("topics", topic_key(profile))
+    if topics is not None:
+        target = F.coalesce(graph.find_topic(topics, section(profile, "topic", "id") or None, slug or None).select("_id").scalar(), target)
+    return graph.edges(chosen, F.col("_id"), target, graph.RELATED_TOPIC, False, source)

@@ -46,6 +46,31 @@ def neighbourhood(nodes: DataFrame, strict: DataFrame, semantic: DataFrame, view
     return nodes.select("_id").join(got, "_id", "left").select("_id", zero("n_strict"), zero("n_semantic"), F.coalesce("neighbours", F.lit("[]")).alias("neighbours"))
 
 
+def article_document(asked: DataFrame, articles: DataFrame, strict: DataFrame, semantic: DataFrame, nodes: DataFrame, citations: DataFrame) -> DataFrame:
+    """``_id, payload``: for each article asked for (``_id``) one JSON document with its name and instrument, the documents that
+    mention it, its citations in order, and their counts. Articles there are not have none. An article's lists are one
+    value, so ask for articles by name. ``citations``: graph.article_citations."""
+    own = articles.join(asked.select("_id").distinct(), "_id", "left_semi")
+    names = nodes.select(F.col("_id").alias("source_id"), F.col("display_name").alias("name"))
+    listed = lambda df, key, name, *cols: df.groupBy(F.col(key).alias("_id")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    said = graph.mentions(semantic).join(own.select("_id"), "_id", "left_semi").join(names, "source_id")
+    said = listed(said, "_id", "mentioned_by", F.col("source_id").alias("id"), "name")
+    cited = listed(citations.join(own.select(F.col("_id").alias("source_id")), "source_id", "left_semi"), "source_id", "citations", "start", "end", F.col("target_id").alias("target"), "target_name", "text", "confidence")
+    home = graph.instrument_of(own, strict).join(nodes.select(F.col("_id").alias("instrument_id"), F.col("display_name").alias("instrument_name")), "instrument_id", "left")
+    rows = own.select("_id", "display_name").join(home, "_id", "left").join(said, "_id", "left").join(cited, "_id", "left")
+    judged = F.coalesce(F.size(F.filter("mentioned_by", lambda x: F.startswith(x["id"], F.lit("judgments/")))), F.lit(0))
+    sized = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    fields = F.struct(F.col("_id").alias("id"), "display_name", "instrument_id", "instrument_name", "mentioned_by", "citations", sized("mentioned_by").alias("mention_count"), judged.alias("judgment_count"), sized("citations").alias("citation_count"))
+    return rows.select("_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def descriptor() -> dict[str, object]:
+    """What this engine serves, for callers that ask it."""
+    from stelwerk.plans.engine import STAGES
+
+    return {"name": "stelwerk", "collections": list(graph.COLLECTIONS), "stages": list(STAGES), "answers": ["article_document", "judgment_detail", "neighbourhood", "node_payload"]}
+
+
 def schemas(tables: dict[str, DataFrame]) -> dict[str, str]:
     """The schema of each table as JSON."""
     return {name: df.schema.json() for name, df in tables.items()}

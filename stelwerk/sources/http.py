@@ -1,7 +1,8 @@
 """Paged and single HTTP scans as a Spark data source, and the requests of the four public services.
 
 ``spark.dataSource.register(PagedJson)``, then ``spark.read.format("paged_json").option("url", ...)``. Each url is read
-by one task; pages follow their next links there. A url that fails is a row with ``error``, it doesn't end the job.
+by one task; pages follow their next links there. A paged url that fails fails its task, which Spark tries again: half a walk
+must not look like a whole one. A single url that fails is a row with ``error``; it doesn't end the job.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from collections.abc import Callable, Iterator, Mapping
 from urllib.parse import urlencode, urljoin
 from urllib.request import Request, urlopen
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 TIMEOUT = 30
 # The public services and the environment variables that replace them.
@@ -44,9 +48,10 @@ def odata_time(value: dt.datetime) -> str:
     return value.replace(microsecond=0, tzinfo=None).isoformat() + "Z"
 
 
-def modified_since(entity: str, since: dt.datetime, top: int = 100) -> tuple[str, dict[str, str]]:
-    """Path and parameters of an OData entity changed since a time. ``top`` is the page size, not a limit."""
-    return entity, {"$filter": f"ApiGewijzigdOp ge {odata_time(since)}", "$top": str(top)}
+def modified_since(entity: str, since: dt.datetime, top: int = 100, before: dt.datetime | None = None) -> tuple[str, dict[str, str]]:
+    """Path and parameters of an OData entity changed since a time and before another. ``top`` is the page size, not a limit."""
+    end = f" and ApiGewijzigdOp lt {odata_time(before)}" if before else ""
+    return entity, {"$filter": f"ApiGewijzigdOp ge {odata_time(since)}{end}", "$top": str(top)}
 
 
 def ecli_index(modified: dt.datetime | None = None, extra: Mapping[str, str] | None = None) -> tuple[str, dict[str, str]]:
@@ -116,15 +121,32 @@ class _Reader(DataSourceReader):
         return [_Url(u) for u in self.urls]
 
     def read(self, partition: _Url) -> Iterator[tuple]:
-        get = lambda u: fetch(u, self.timeout)
-        try:
-            if self.paged:
-                for x in pages(partition.url, get, self.key, self.link):
-                    yield partition.url, json.dumps(x, ensure_ascii=False), None
-            else:
-                yield partition.url, get(partition.url), None
-        except (OSError, ValueError) as e:
-            yield partition.url, None, f"{type(e).__name__}: {e}"[:500]
+        if self.paged:
+            get = lambda u: fetch(u, self.timeout)
+            for x in pages(partition.url, get, self.key, self.link):
+                yield partition.url, json.dumps(x, ensure_ascii=False), None
+        else:
+            yield (partition.url, *attempt(partition.url, self.timeout))
+
+
+def attempt(url: str, timeout: int = TIMEOUT) -> tuple[str | None, str | None]:
+    """(body, None), or (None, what went wrong)."""
+    try:
+        return fetch(url, timeout), None
+    except (OSError, ValueError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
+def fetched(df: DataFrame, url: str, timeout: int = TIMEOUT) -> DataFrame:
+    """The rows with ``payload`` and ``error`` of the document at their url, fetched in their tasks; each row once, so make
+    urls distinct. Null urls have an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [attempt(u, timeout) if u else (None, "no url") for u in b[url].to_pylist()]
+            yield b.append_column("payload", pa.array([g[0] for g in got], pa.string())).append_column("error", pa.array([g[1] for g in got], pa.string()))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("payload", StringType()), StructField("error", StringType())]))
 
 
 class PagedJson(DataSource):

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 SCHEMA = "_key string, source string, kind string, external_id string, fetched_at timestamp, payload_json string, payload_text string, meta map<string,string>"
 
 
-def raw_rows(df: DataFrame, source: str | Column, kind: str | Column, external_id: Column | None = None, payload_json: Column | None = None, payload_text: Column | None = None, meta: Column | None = None) -> DataFrame:
-    """Rows for the landing table, with a random key and the time of writing in whole seconds. ``meta`` is never null."""
+def raw_rows(df: DataFrame, source: str | Column, kind: str | Column, external_id: Column | None = None, payload_json: Column | None = None, payload_text: Column | None = None, meta: Column | None = None, **more: Column) -> DataFrame:
+    """Rows for the landing table, with a random key and the time of writing in whole seconds. ``meta`` is never null.
+    ``more``: further columns behind them."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     text = lambda c: (c if c is not None else F.lit(None)).cast("string")
     none = F.create_map().cast("map<string,string>")
     return df.select(
         F.expr("uuid()").alias("_key"), lit(source).alias("source"), lit(kind).alias("kind"), text(external_id).alias("external_id"), F.date_trunc("second", F.current_timestamp()).alias("fetched_at"),
         text(payload_json).alias("payload_json"), text(payload_text).alias("payload_text"), (none if meta is None else F.coalesce(meta, none)).alias("meta"),
+        *[c.alias(n) for n, c in more.items()],
     )
 
 

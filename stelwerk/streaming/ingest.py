@@ -31,15 +31,13 @@ def counts(raw: DataFrame, window: str = "1 day", lateness: str = "7 days") -> D
 
 
 def into_store(raw: DataFrame, store: Store, plan: Callable[[DataFrame], Mapping[str, DataFrame]], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Runs a normalizer over each micro-batch and merges what it makes into the store. Merging is by key, so a batch that
-    is tried again changes nothing. ``checkpoint`` must be a shared folder."""
+    """Runs a normalizer over each micro-batch and upserts what it makes into the store, one delta a table and batch (compact
+    them when the stream is done). Merging is by key, so a batch that is tried again changes nothing. ``checkpoint`` must be
+    a shared folder."""
 
     def merge(batch: DataFrame, _: int) -> None:
         for table, df in plan(batch).items():
-            if table.startswith("edges"):
-                store.append_new(table, df, ["_key"])
-            else:
-                store.upsert(table, df, "_key", ["_id"])
+            store.upsert(table, df)
 
     writer = raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

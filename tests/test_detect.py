@@ -31,16 +31,26 @@ def law(spark, *texts):
 
 
 def test_articles_of_the_own_law(spark):
-    t = "Artikel 24c van het Wetboek staat centraal."
-    assert law(spark, t) == [(0, 8, 11, "24c", 0.95)]
-    assert [x[3] for x in law(spark, "De artikelen 57 en 58 vormen een hoofdstuk.")] == ["57", "58"]
-    got = law(spark, "Artikel 57 tot en met 60 beschrijft.")
-    assert [(x[3], x[4]) for x in got] == [("57", 0.95), ("58", 0.8), ("59", 0.8), ("60", 0.95)] and got[1][1:3] == (8, 24)
-    assert [x[3] for x in law(spark, "art. 60 tot 57")] == ["57", "58", "59", "60"] or {x[3] for x in law(spark, "art. 60 tot 57")} == {"57", "58", "59", "60"}
-    assert {x[3] for x in law(spark, "artikelen 1-3, 5 & 7")} == {"1", "3", "5", "7"}
+    assert law(spark, "Onverminderd artikel 7bis geldt een vergunning.") == [(0, 21, 25, "7bis", 0.95)]
+    assert [x[3] for x in law(spark, "Op grond van art. 12a en 30 wordt geheven.")] == ["12a", "30"]
+    got = law(spark, "De artikelen 8 tot en met 11 gelden niet.")
+    assert [(x[3], x[4]) for x in got] == [("8", 0.95), ("10", 0.8), ("9", 0.8), ("11", 0.95)] and {x[1:3] for x in got if x[4] == 0.8} == {(13, 28)}
+    assert {(x[3], x[4]) for x in law(spark, "artikel 33 tot 30")} == {("30", 0.95), ("31", 0.8), ("32", 0.8), ("33", 0.95)}
+    assert {x[3] for x in law(spark, "artikelen 21-24, 26 & 28")} == {"21", "24", "26", "28"}
+    assert [x[1:4] for x in law(spark, "Zie artikel. 5 en art 6.")] == [(13, 14, "5"), (22, 23, "6")]
     assert law(spark, None, "", " niets ", "partikel 5") == []
 
 
+def test_ranges_of_any_width(spark):
+    hits_ = D.detect_law(docs(spark, "artikel 5 tot 250007"), "id", "t", "law")
+    assert hits_.count() == 250003 and hits_.where("confidence = 0.8").agg(F.min(F.col("article_number").cast("int")), F.max(F.col("article_number").cast("int"))).first() == (6, 250006)
+
+
+def test_confidences_of_a_profile(spark):
+    assert D.confidence_of({"a": "0.5", "b": None, "c": "x"}, "a", 1.0) == 0.5
+    assert [D.confidence_of({"b": None, "c": "x"}, n, 1.0) for n in "bcd"] == [1.0, 1.0, 1.0]
+
+
 def hits(df):
     return sorted(((r.kind, r.celex, r.bwb_id, r.article_number, r.confidence, r.raw_match) for r in df.collect()), key=str)
 

@@ -70,6 +70,32 @@ def test_engine_twice_and_skips(spark, rows, tmp_path):
         engine.seed_rows(spark, {"topic": {"id": "x"}})
 
 
+def test_edges_and_citations_change_with_their_sources(spark, rows, tmp_path):
+    root = f"file://{tmp_path}/store"
+    engine.run(spark, landing(spark), root, PROFILE)
+    engine.run(spark, landing(spark), root, PROFILE | {"bwb": {"confidence_default": "0.5"}}, stages=("link_laws", "store_citations"))
+    store = engine.Store(spark, root)
+    assert rows(store.read("edges_semantic").where("relation = 'REFERS_TO_ARTICLE'").select("confidence")) == [(0.5,)]
+    articles = {r._key: r.props for r in store.read("instrument_articles").collect()}
+    assert [c.target_article_number for c in articles["bwbr0001854_1"].citations] == ["2", "3"] and articles["bwbr0001854_9a"].citations == []
+    assert articles["bwbr0001854_1"].text.startswith("1. Zie") and articles["bwbr0001854_1"].display_name == "Art. 1"
+    moved = {**PROFILE, "nl_instruments": [{"id": "nl:Sr", "bwb_id": "BWBR777", "title": "Ander nummer"}], "topic": {"id": "topic:strafrecht", "slug": "recht"}}
+    assert engine.run(spark, landing(spark), root, moved, stages=("seed",))["seed"] == {"topics": 0, "instruments": 0, "edges_semantic": 0}
+    assert store.read("instruments").where("props.config_id = 'nl:Sr'").select("_key", "props.bwb_id").collect() == [("bwbr0001854", "BWBR777")]
+
+
+def test_texts_to_search(spark):
+    df = spark.createDataFrame([("a", " een ", None, "tekst", '{"x": ["aa", "bb"], "y": "cc"}'), ("b", None, None, None, "{}")], "k string, title string, summary string, text string, raw string")
+    docs = df.select("k", __import__("pyspark.sql.functions", fromlist=["x"]).struct("title", "summary", "text", "raw").alias("props"))
+    own = [linkers.prop(docs, n) for n in ("title", "summary", "body", "text")]
+    full = docs.select(linkers.capped_text(own, linkers.X.json_strings(linkers.prop(docs, "raw")), 40000).alias("t")).collect()
+    assert [r.t for r in full] == ["een\ntekst\naa\nbb\ncc", None]
+    assert docs.select(linkers.capped_text(own, linkers.X.json_strings(linkers.prop(docs, "raw")), 11).alias("t")).first().t == "een\ntekst\naa\nbb"
+    j = spark.createDataFrame([((" ", "tekst"),), (("<x/>", "tekst"),), ((None, " "),)], "props struct<raw_xml:string,text:string>")
+    assert [r.t for r in j.select(linkers.judgment_text(j).alias("t")).collect()] == ["tekst", "<x/>", None]
+    assert [r.ecli for r in linkers.recent_eclis(landing(spark), "2019-01-01").collect()] == ["ECLI:NL:HR:2019:1"] and linkers.recent_eclis(landing(spark), "2031-01-01").count() == 0
+
+
 def test_citations_are_stored_even_if_none(spark):
     df = spark.createDataFrame([("instrument_articles/x_1", ("Zie artikel 15.", "BWBR1")), ("instrument_articles/x_2", (None, "BWBR1"))], "_id string, props struct<text:string,bwb_id:string>")
     got = {r._id: r.citations for r in linkers.stored_citations(df).collect()}
@@ -78,10 +104,12 @@ def test_citations_are_stored_even_if_none(spark):
 
 def test_links_by_names(spark, rows):
     docs = spark.createDataFrame([("publications/p", "Zie artikel 5 van de Wet zware lasten en art. 7a Wzl; artikel 9 Onbekend"), ("publications/q", None)], "_id string, t string")
-    acts = spark.createDataFrame([(("BWBR1", "Wet zware", None),), (("BWBR2", "Wet zware lasten", "Wzl"),), (("BWBR3", "Dubbel", None),), (("BWBR4", "Dubbel", None),)], "props struct<bwb_id:string,title:string,short_title:string>")
-    nodes = spark.createDataFrame([("instrument_articles/bwbr2_5",), ("instrument_articles/bwbr2_7a",)], "_id string")
+    docs = docs.unionByName(spark.createDataFrame([("publications/r", "Artikel 5 van de Regeling, houdende (nadere) regels over het lange en brede vervoer te water. Artikel 7 " + "van" + " " * 300 + "de Wzl"), ("publications/s", "art. 5 Wet zware; lasten en art. 5 xWzl")], "_id string, t string"))
+    acts = spark.createDataFrame([(("BWBR8", "Regeling houdende nadere regels over het lange en brede vervoer te water", None),), (("BWBR1", "Wet zware", None),), (("BWBR2", "Wet zware lasten", "Wzl"),), (("BWBR3", "Dubbel", None),), (("BWBR4", "Dubbel", None),)], "props struct<bwb_id:string,title:string,short_title:string>")
+    nodes = spark.createDataFrame([(f"instrument_articles/{k}",) for k in ("bwbr2_5", "bwbr2_7a", "bwbr8_5", "bwbr2_7", "bwbr1_5")], "_id string")
     got = linkers.link_by_names(docs, "t", linkers.act_names(acts), nodes)
-    assert rows(got.select("_to")) == [("instrument_articles/bwbr2_5",), ("instrument_articles/bwbr2_7a",)]
+    assert rows(got.select("_from", "_to")) == [(f"publications/{a}", f"instrument_articles/{b}") for a, b in (("p", "bwbr2_5"), ("p", "bwbr2_7a"), ("r", "bwbr2_7"), ("r", "bwbr8_5"), ("s", "bwbr1_5"))]
+    assert linkers.link_by_names(docs, "t", linkers.act_names(acts).limit(0), nodes).count() == 0
 
 
 def test_judgments_of_no_ecli_are_none(spark):
@@ -104,7 +132,7 @@ def test_versions(spark):
 
 
 def test_profiles(tmp_path, monkeypatch):
-    assert "strafrecht" in profiles.names() and profiles.load("strafrecht")["topic"]["slug"] == "strafrecht"
+    assert "visserij" in profiles.names() and profiles.load("visserij")["topic"]["slug"] == "visserij"
     (tmp_path / "bad.yml").write_text("- 1")
     with pytest.raises(ValueError):
         profiles.load(path=tmp_path / "bad.yml")
@@ -114,6 +142,10 @@ def test_profiles(tmp_path, monkeypatch):
     assert profiles.act_aliases(PROFILE) == {"Wetboek van Strafrecht": ("BWBR0001854", None), "Akte": (None, "32010L0013")}
     monkeypatch.setenv("X_LIST", " a, ,b ")
     assert profiles.env_list("X_LIST") == ["a", "b"] and profiles.env_list("X_NONE", ("c",)) == ["c"]
+    monkeypatch.setenv("X_LIST", "")
+    assert profiles.env_list("X_LIST", ("c",)) == ["c"]
+    monkeypatch.setenv("X_LIST", " een twee,x")
+    assert profiles.env_list("X_LIST", ("c",)) == ["een twee", "x"]
     assert profiles.unique(["b", "a"], ["b", " c ", ""]) == ["b", "a", "c"]
 
 
@@ -152,7 +184,7 @@ def test_paged_source(spark):
     server.shutdown()
 
 
-def test_retrieval_from_a_local_service(spark, rows, monkeypatch):
+def test_retrieval_from_a_local_service(spark, rows, tmp_path):
     import datetime as dt
 
     from stelwerk.plans import retrieve
@@ -175,12 +207,28 @@ def test_retrieval_from_a_local_service(spark, rows, monkeypatch):
     base = f"http://127.0.0.1:{server.server_port}/"
     cols = ("kind", "external_id", "payload_json", "payload_text")
     since = dt.datetime(2020, 1, 1)
-    tk = retrieve.parliament(spark, since, cases=retrieve.parliament_filter({"title_contains": ["Straf"]}), base=base)
+    step = {"step": dt.timedelta(days=4000), "until": dt.datetime(2026, 1, 1)}
+    tk = retrieve.parliament(spark, since, cases=retrieve.parliament_filter({"title_contains": ["Straf"]}), base=base, **step)
     assert rows(tk.select(*cols[:2])) == [("tk-documentversie", "D1"), ("tk-zaak", "Z1")] and tk.where("payload_text is not null").count() == 0
     rs = retrieve.judgments(spark, ["E1", "weg", "E1"], since, base=base)
-    assert rows(rs.select(*cols[:2])) == [("rs-content", "E1"), ("rs-index", None)] and rs.where("payload_json is not null").count() == 0
+    assert rows(rs.select(*cols[:2], "error")) == [("rs-content", "E1", None), ("rs-content", "weg", "HTTPError: HTTP Error 404: Not Found"), ("rs-index", None, None)] and rs.where("payload_json is not null").count() == 0
     assert rows(retrieve.acts(spark, ["C1"], base=base).select("external_id", "meta")) == [("C1", {"celex": "C1", "lang": "NL"})]
-    assert rows(retrieve.laws(spark, ["B1"], base + "sru").select("external_id", "payload_text")) == [("B1", "<wet/>")]
+    assert rows(retrieve.laws(spark, ["B1", "B9"], base + "sru").select("external_id", "payload_text", "error")) == [("B1", "<wet/>", None), ("B9", None, "no version")]
+    assert retrieve.time_windows(since, dt.datetime(2020, 1, 3, 1)) == [(since, dt.datetime(2020, 1, 2)), (dt.datetime(2020, 1, 2), dt.datetime(2020, 1, 3)), (dt.datetime(2020, 1, 3), None)]
+    assert [len(retrieve.time_windows(since, t)) for t in (since, dt.datetime(2019, 1, 1))] == [1, 1]
+    bases = {"parliament": base, "judgments": base, "eu_acts": base, "laws": base + "sru"}
+    profile = {"filters": {"tk": {"title_contains": ["straf"]}}, "seed_examples": {"rechtspraak_eclis": ["E1", "weg"]}, "bwb": {"ids": ["B1"]}}
+    now = dt.datetime.now() - dt.timedelta(hours=1)
+    done = retrieve.run(spark, f"{tmp_path}/raw", profile, since=now, bases=bases, skip=["none"])
+    assert done == {"parliament": {"stored": 1, "failed": 0}, "judgments": {"stored": 2, "failed": 1}, "laws": {"stored": 1, "failed": 0}}
+    again = retrieve.run(spark, f"{tmp_path}/raw", profile, sources=["eu_acts", "laws"], since=now, bases=bases, ids=["C1"], skip=["laws"])
+    assert again == {"eu_acts": {"stored": 1, "failed": 0}}
+    back = spark.read.parquet(f"{tmp_path}/raw")
+    assert back.count() == 5 and rows(spark.read.parquet(f"{tmp_path}/raw_failed").select("external_id")) == [("weg",)]
+    assert engine.run(spark, back, f"file://{tmp_path}/store", profile)["parliament"]["procedures"] == 1
+    with pytest.raises(Exception, match="HTTP Error 404"):  # a walk that fails is no empty one
+        retrieve.run(spark, f"{tmp_path}/raw2", profile, sources=["parliament"], since=now, bases={"parliament": base + "leeg/"})
+    assert not (tmp_path / "raw2").exists()
     assert retrieve.laws(spark, []).count() == retrieve.acts(spark, []).count() == retrieve.judgments(spark, []).count() == 0
     server.shutdown()
 
@@ -198,6 +246,18 @@ def test_served_documents(spark):
     assert [r[0] for r in edges.select(serve.edge_confidence(edges)).collect()] == [0.5, 0.9]
 
 
+def test_command_line(monkeypatch):
+    from stelwerk import __main__ as cli
+
+    got = cli.parser().parse_args(["retrieve", "--raw", "r", "--source", "laws", "--id", "B1", "--id", "B2"])
+    assert got.id == ["B1", "B2"] and got.limit == 50 and got.lang == "NL" and not got.store_citations
+    for bad in (["retrieve", "--raw", "r", "--id", "B1"], ["run", "--raw", "r"], ["run"], ["seed", "--raw", "r"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    monkeypatch.setenv("STELWERK_SKIP_EU_ACTS", "1")
+    assert cli.skipped_by_environment(("eu_acts", "laws")) == {"eu_acts"}
+
+
 def test_stages_skipped_by_environment(monkeypatch):
     from stelwerk.__main__ import skipped_by_environment
 
