@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stelwerk.functions import keys as K
 from stelwerk.functions import text as X
+from stelwerk.operators import detect as D
 from stelwerk.operators import graph, merge
 from stelwerk.operators.scan import find_all
 from stelwerk.plans import linkers, normalize, serve
@@ -16,6 +19,7 @@ from stelwerk.queries.problems import NODE_TABLES, table
 from stelwerk.session import shared_dir
 from stelwerk.sources import raw as R
 from stelwerk.sources import versions
+from stelwerk.sources.profiles import act_aliases
 from stelwerk.streaming import ingest
 
 #: A profile with the names the driver tables use.
@@ -193,8 +197,26 @@ def seed_summary(spark, d):
 
 
 def topic_or_lookup(spark, d):
-    hit = (F.col("props.id") == "topic:grondrecht") | (F.col("props.slug") == "grondrecht")
-    return table(spark, d, "topics").where(hit).select("_key", "_id").orderBy("_key").limit(1)
+    return graph.find_topic(table(spark, d, "topics"), "topic:grondrecht", "grondrecht").select("_key", "_id")
+
+
+def edge_upsert(spark, d):
+    """Edges stored again later, with another confidence or source: the later row counts."""
+    cols = ["_key", "_from", "_to", "relation", "confidence", "source", "created_at", "rec_id"]
+    rows = table(spark, d, "edges_semantic").select(*cols).where("_key is not null")
+    at = F.lit(SINCE).cast("timestamp_ntz")
+    old = merge.last_per_key(rows.where(F.col("created_at") < at), ["_key"], ["created_at", "rec_id"])
+    done = merge.upsert(old, rows.where(F.col("created_at") >= at), "_key", ["created_at", "rec_id"])
+    return done.select("_key", "_from", "_to", "relation", "confidence", "source", "created")
+
+
+def node_update(spark, d):
+    """Publications stored again later change the ones there were; new ones don't come in."""
+    rows = table(spark, d, "publications").select("_key", F.struct("props.title", "props.procedure_external_id").alias("props"), "ingested_at", "rec_id")
+    at = F.lit(SINCE).cast("timestamp_ntz")
+    old = merge.last_per_key(rows.where(F.col("ingested_at") < at), ["_key"], ["ingested_at", "rec_id"])
+    done = merge.update(old, rows.where(F.col("ingested_at") >= at), "_key", ["ingested_at", "rec_id"])
+    return done.select("_key", F.col("props.title").alias("title"), F.col("props.procedure_external_id").alias("procedure_external_id"), "updated")
 
 
 def labels_contains(spark, d):
@@ -220,6 +242,23 @@ def article_detail(spark, d):
     return graph.article_detail(articles, table(spark, d, "edges_strict"), table(spark, d, "edges_semantic"), nodes(spark, d)).withColumnRenamed("_id", "article_id")
 
 
+def _articles(spark, d):
+    return graph.current(table(spark, d, "instrument_articles"), "struct(props.bwb_id, props.text) as props")
+
+
+def article_citations(spark, d):
+    """What each article refers to, by its edges and by the citations found in its own text."""
+    got = graph.article_citations(linkers.stored_citations(_articles(spark, d)), table(spark, d, "edges_semantic"), nodes(spark, d))
+    return got.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
+def judgment_detail(spark, d):
+    """Every judgment of the raw records by its ECLI: the articles it mentions, with their instruments."""
+    found = normalize.judgments(_raw(spark, d), PROFILE)["judgments"]
+    asked = found.select("props.ecli")
+    return graph.judgment_detail(asked, found, table(spark, d, "edges_strict"), table(spark, d, "edges_semantic"), nodes(spark, d))
+
+
 def document_articles(spark, d):
     docs = graph.current(table(spark, d, "publications"))
     return graph.document_articles(docs, table(spark, d, "edges_strict"), table(spark, d, "edges_semantic"), nodes(spark, d)).withColumnRenamed("_id", "document_id")
@@ -297,17 +336,43 @@ def topic_edges(spark, d):
     return got.select("_key", "_from", "_to", "relation", "source")
 
 
+def detect_law(spark, d):
+    """Articles of its own law that each stored article names."""
+    docs = table(spark, d, "instrument_articles").select("rec_id", F.col("props.text").alias("t"), F.col("props.bwb_id").alias("law"))
+    got = D.detect_law(docs, "rec_id", "t", "law")
+    return got.select(F.col("doc").alias("rec_id"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.lower("article_number").alias("article_number"), "confidence", "bwb_id")
+
+
+def _detected(got):
+    cols = [F.col("doc").alias("doc_id"), "kind", "celex", "bwb_id", "article_number", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "raw_match", "confidence"]
+    return got.select(*cols)
+
+
+def detect_eu(spark, d):
+    rules = D.eu_rules(linkers.codes_of(PROFILE, D.CODES["eu"]))
+    docs = table(spark, d, "edges_semantic").select("rec_id", F.concat_ws("; ", "meta.raw_match", "meta.snippet").alias("t"))
+    return _detected(D.detect(docs, "rec_id", "t", rules, PROFILE["code_aliases"]))
+
+
+def detect_judgment(spark, d):
+    rules = D.judgment_rules(linkers.codes_of(PROFILE, D.CODES["judgment"]))
+    return _detected(D.detect_judgment(table(spark, d, "documents"), "doc_id", "text", PROFILE["code_aliases"], rules))
+
+
+def detect_parliament(spark, d):
+    rules = D.parliament_rules(act_aliases(PROFILE), *(linkers.codes_of(PROFILE, D.CODES[c]) for c in ("parliament", "parliament_short")))
+    return _detected(D.detect(table(spark, d, "documents"), "doc_id", "text", rules, PROFILE["code_aliases"]))
+
+
 _EDGE = ("_key", "_from", "_to", "relation", "confidence", "source", "raw_match")
 
 
 def link_laws(spark, d):
-    articles = graph.current(table(spark, d, "instrument_articles"), "struct(props.bwb_id, props.text) as props")
-    return linkers.link_laws(articles, table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
+    return linkers.link_laws(_articles(spark, d), table(spark, d, "instrument_articles").select("_id")).select(*_EDGE)
 
 
 def stored_citations(spark, d):
-    articles = graph.current(table(spark, d, "instrument_articles"), "struct(props.bwb_id, props.text) as props")
-    return linkers.stored_citations(articles).select(F.col("_id").alias("article_id"), F.size("citations").alias("n_citations"), F.to_json("citations").alias("citations"))
+    return linkers.stored_citations(_articles(spark, d)).select(F.col("_id").alias("article_id"), F.size("citations").alias("n_citations"), F.to_json("citations").alias("citations"))
 
 
 def link_eu(spark, d):
@@ -351,9 +416,9 @@ def edge_confidences(spark, d):
 
 _LIST = """raw_scan_kind_since raw_count_by_kind raw_split_by_kind raw_json_field raw_latest_per_key raw_first_per_key sources_in_order node_keys article_keys id_parts display_names
 strip_html joined_text keyword_classifier multi_rule_classifier citation_scan citation_snippets citation_first_per_number citation_edge_lastwins overlap_antijoin citation_ranges celex_format
-resolve_targets edge_build_strict edge_build_publications edge_insert_if_absent upsert_merge_nodes seed_summary topic_or_lookup labels_contains instrument_topics mentions_of_article confident_edges
-article_detail document_articles node_neighbors semi_recent citations_union law_versions_latest stream_counts json_text_collect normalize_laws normalize_law_edges normalize_judgments normalize_eu_acts
-normalize_procedures normalize_publications topic_edges link_laws stored_citations link_eu link_judgments link_parliament link_by_names node_payloads edge_confidences"""
+resolve_targets edge_build_strict edge_build_publications edge_insert_if_absent edge_upsert node_update upsert_merge_nodes seed_summary topic_or_lookup labels_contains instrument_topics mentions_of_article confident_edges
+article_detail article_citations judgment_detail document_articles node_neighbors semi_recent citations_union law_versions_latest stream_counts json_text_collect normalize_laws normalize_law_edges normalize_judgments normalize_eu_acts
+normalize_procedures normalize_publications topic_edges detect_law detect_eu detect_judgment detect_parliament link_laws stored_citations link_eu link_judgments link_parliament link_by_names node_payloads edge_confidences"""
 QUERIES = {name: globals()[name] for name in _LIST.split()}
 
 _FILLED = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -388,6 +453,74 @@ def _name(kind: str, value: str) -> str:
 
 _T, _B, _C = (_FILLED.format(f"props.{c}") for c in ("title", "bwb_id", "celex"))
 
+_WHITE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def _re2(regex: str) -> str:
+    """A detector's pattern for DuckDB: a word boundary at the start or end takes the character outside with it (the first and
+    the last group)."""
+    lead = regex.startswith(r"\b") or regex.startswith("(?<!")
+    rest = regex.removeprefix(r"\b").removeprefix(r"(?<![\p{L}\p{N}_])").replace(r"(?![\p{L}\p{N}_])", r"\b")
+    tail = rest.endswith(r"\b")
+    rest = rest.removesuffix(r"\b") if tail else rest
+    rest = rest.replace(r"\s", _WHITE).replace(r"\d", r"\p{Nd}").replace("'", "''")
+    return f"(?i){'(^|[^\\pL\\pN_]|\\b)' if lead else '()'}({rest}){'($|[^\\pL\\pN_])' if tail else '()'}"
+
+
+def _found(name: str, regex: str, source: str, key: str, text: str, keep: str = "") -> str:
+    """CTEs ``name``: every match of a pattern with its position, over ``source`` (a table with key and text)."""
+    return f"""
+      {name}_p AS (SELECT {key}, {keep} {text} AS _t, regexp_split_to_array(regexp_replace(translate({text}, chr(1) || chr(2), '  '), '{_re2(regex)}', '\\1' || chr(1) || '\\2' || chr(2) || '\\{re.compile(regex.replace(chr(92) + "p", "x")).groups + 3}', 'g'), chr(1) || '|' || chr(2)) AS p FROM {source} WHERE {text} IS NOT NULL),
+      {name} AS (SELECT * EXCLUDE (p, i), cast(list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS INT) AS pos, p[i] AS raw_match FROM (SELECT *, unnest(generate_series(2, len(p) - 1, 2)) AS i FROM {name}_p WHERE len(p) > 1))"""
+
+
+def _group(regex: str, n: int) -> str:
+    return f"regexp_extract(raw_match, '{_re2(regex)}', {n + 2})"
+
+
+_BARE = D.LAW_BLOCK[D.LAW_BLOCK.index(r"(\d+") :]
+_OWN = f"""
+  texts AS (SELECT rec_id, regexp_replace(props.text, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS t, props.bwb_id AS law FROM {{source}} WHERE props.bwb_id <> ''),
+  {_found('block', D.LAW_BLOCK, 'texts', 'rec_id, law', 't')},
+  blocks AS (SELECT rec_id, law, block, pos + length(raw_match) - length(block) AS base, cast(pos + length(raw_match) AS INT) AS until FROM (SELECT *, {_group(D.LAW_BLOCK, 1)} AS block FROM block)),
+  {_found('number', '(' + D.LAW_NUMBER + ')', 'blocks', 'rec_id, law, base, until, block', 'block')},
+  numbered AS (SELECT *, lead(raw_match) OVER w AS nxt, substr(block, pos + length(raw_match) + 1, lead(pos) OVER w - pos - length(raw_match)) AS between_ FROM number WINDOW w AS (PARTITION BY rec_id, law, base, until ORDER BY pos)),
+  hits AS (
+    SELECT rec_id, law, cast(base + pos AS INT) AS s, cast(base + pos + length(raw_match) AS INT) AS e, raw_match AS no, raw_match AS text, {D.NUMBER_CONFIDENCE}::DOUBLE AS c FROM numbered
+    UNION ALL
+    SELECT rec_id, law, cast(base AS INT), until, cast(unnest(generate_series(least(x, y) + 1, greatest(x, y) - 1)) AS VARCHAR), block, {D.RANGE_CONFIDENCE}::DOUBLE
+    FROM (SELECT *, try_cast(regexp_extract(raw_match, '^[0-9]+') AS BIGINT) AS x, try_cast(regexp_extract(nxt, '^[0-9]+') AS BIGINT) AS y FROM numbered WHERE contains(lower(between_), 'tot')) WHERE abs(x - y) > 1),
+  own AS (SELECT rec_id, s, e, lower(no) AS number, max(struct_pack(c := c, no := no, text := text, law := law)) AS b FROM hits GROUP BY rec_id, s, e, lower(no))"""
+
+
+def _detected_sql(rules: list, codes: dict, bare: bool = False, source: str = "documents") -> str:
+    """The hits of a detector's rules over all documents; of several of one target the first by rule, then position."""
+    null = "cast(NULL AS VARCHAR)"
+    look = "CASE upper({}) " + " ".join(f"WHEN '{k.strip().upper()}' THEN '{v}'" for k, v in codes.items()) + " END"
+    ctes, parts, spans = [], [], []
+    for i, r in enumerate(rules):
+        ctes.append(_found(f"r{i}", r.regex, source, "doc_id", "text"))
+        law = look.format(_group(r.regex, r.code)) if r.code else f"upper({_group(r.regex, r.law_id)})" if r.law_id else f"'{r.law}'" if r.law else null
+        year, number = (_group(r.regex, g) for g in (r.year, r.number))
+        act = f"upper({_group(r.regex, r.celex_id)})" if r.celex_id else f"printf('3%s{r.letter}%04d', {year}, coalesce(try_cast({number} AS BIGINT), 0))" if r.year else f"'{r.act}'" if r.act else null
+        rows = f"SELECT doc_id, {i} AS seq, pos, raw_match, '{r.kind}' AS kind, {act} AS celex, {law} AS bwb_id, {_group(r.regex, r.article) if r.article else null} AS article_number, {r.confidence}::DOUBLE AS confidence FROM r{i}"
+        parts.append(f"SELECT * FROM ({rows}) WHERE bwb_id IS NOT NULL" if r.code else rows)
+    named = " UNION ALL ".join(parts)
+    ctes.append(f"named AS ({named})")
+    everything = "SELECT * FROM named"
+    if bare:
+        for i, r in enumerate(D.BARE_RULES):
+            ctes.append(_found(f"b{i}", r.regex, source, "doc_id", "text"))
+            everything += f" UNION ALL SELECT doc_id, {len(rules) + i}, pos, raw_match, '{r.kind}', NULL, NULL, {_group(r.regex, r.article)}, {r.confidence}::DOUBLE FROM b{i} b WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = b.doc_id AND n.pos + length(n.raw_match) > b.pos AND n.pos < b.pos + length(b.raw_match))"
+    return "WITH " + ", ".join(ctes) + f""", everything AS ({everything})
+      SELECT doc_id, kind, celex, bwb_id, article_number, pos AS start_pos, cast(pos + length(raw_match) AS INT) AS end_pos, raw_match, confidence FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, kind, celex, bwb_id, article_number{', bwb_id IS NULL' if bare else ''} ORDER BY seq, pos) AS rn FROM everything) WHERE rn = 1"""
+
+
+def _codes_for(*names: str) -> list[list[str]]:
+    return [linkers.codes_of(PROFILE, D.CODES[n]) for n in names]
+
+
 SQL = {
     "raw_scan_kind_since": f"SELECT _key, kind, external_id FROM raw_sources WHERE source = 'tk' AND kind IN ('tk-zaak', 'tk-documentversie') AND fetched_at >= TIMESTAMP '{SINCE}'",
     "raw_count_by_kind": "SELECT source, kind, count(*) AS n, count(payload_json) AS n_json, count(payload_text) AS n_text FROM raw_sources GROUP BY source, kind",
@@ -432,9 +565,9 @@ SQL = {
     "edge_confidences": "SELECT rec_id, confidence FROM edges_semantic",
     "confident_edges": "SELECT rec_id, _from, _to, confidence FROM edges_semantic WHERE confidence >= 0.8",
     "article_detail": f"""
-      WITH nodes AS ({_NODES}), {_PART_OF},
+      WITH nodes AS MATERIALIZED ({_NODES}), {_PART_OF},
       said AS (SELECT _id, count(*) AS n, count(*) FILTER (starts_with(s, 'judgments/')) AS j FROM (SELECT DISTINCT _to AS _id, _from AS s FROM edges_semantic WHERE relation = 'MENTIONS_ARTICLE' AND _to IS NOT NULL) GROUP BY _id),
-      cited AS (SELECT _id, count(*) AS n FROM (SELECT DISTINCT _from AS _id, _to FROM edges_semantic WHERE relation = 'REFERS_TO_ARTICLE' AND _to IN (SELECT _id FROM nodes)) GROUP BY _id)
+      cited AS (SELECT _id, count(*) AS n FROM (SELECT DISTINCT e._from AS _id, e._to FROM edges_semantic e SEMI JOIN nodes n ON n._id = e._to WHERE e.relation = 'REFERS_TO_ARTICLE') GROUP BY _id)
       SELECT a._id AS article_id, a.display_name, p.instrument_id, n.display_name AS instrument_name, coalesce(s.n, 0) AS n_mentions, coalesce(s.j, 0) AS n_judgments, coalesce(c.n, 0) AS n_citations
       FROM {_current('instrument_articles', 'props.display_name AS display_name')} a LEFT JOIN part p ON a._id = p._id LEFT JOIN nodes n ON n._id = p.instrument_id LEFT JOIN said s ON s._id = a._id LEFT JOIN cited c ON c._id = a._id""",
     "document_articles": f"""
@@ -459,4 +592,66 @@ SQL = {
         FROM toestanden WHERE bwb_id IS NOT NULL AND locatie_toestand IS NOT NULL)) WHERE rn = 1""",
     "stream_counts": "SELECT strftime(fetched_at, '%Y-%m-%d') AS day, source, kind, count(*) AS n FROM raw_sources WHERE fetched_at IS NOT NULL GROUP BY ALL",
 }
+SQL["detect_law"] = f"WITH {_OWN.replace('{source}', 'instrument_articles')} SELECT rec_id, s AS start_pos, e AS end_pos, number AS article_number, b.c AS confidence, b.law AS bwb_id FROM own"
+SQL["detect_eu"] = _detected_sql(D.eu_rules(*_codes_for("eu")), PROFILE["code_aliases"], source="(SELECT rec_id AS doc_id, concat_ws('; ', meta.raw_match, meta.snippet) AS text FROM edges_semantic)")
+SQL["detect_judgment"] = _detected_sql(D.judgment_rules(*_codes_for("judgment")), PROFILE["code_aliases"], bare=True)
+SQL["detect_parliament"] = _detected_sql([replace(r, regex=r.regex.replace(r"\Q", "").replace(r"\E", "")) for r in D.parliament_rules(act_aliases(PROFILE), *_codes_for("parliament", "parliament_short"))], PROFILE["code_aliases"])
+_CURRENT_TEXTS = _current("instrument_articles", "props, rec_id AS r").replace("SELECT _id, deleted_at", "SELECT _id, rec_id, deleted_at")
+_TARGET = "'instrument_articles/' || " + _KEY.format("b.law || '_' || b.no")
+SQL["article_citations"] = f"""WITH {_OWN.replace('{source}', _CURRENT_TEXTS)}, ids AS (SELECT rec_id, _id FROM {_CURRENT_TEXTS}),
+  nodes AS MATERIALIZED ({_NODES}),
+  both_ AS (
+    SELECT _from AS source_id, _to AS target_id, meta.start_pos AS start_pos, meta.end_pos AS end_pos, {_FILLED.format('meta.text')} AS text, confidence, 0 AS rank FROM edges_semantic WHERE relation = 'REFERS_TO_ARTICLE' AND _from IN (SELECT _id FROM ids)
+    UNION ALL SELECT i._id, {_TARGET}, o.s, o.e, {_FILLED.format('b.text')}, b.c, 1 FROM own o JOIN ids i USING (rec_id)),
+  one AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, start_pos, end_pos, text ORDER BY rank, coalesce(confidence, -1) DESC) AS rn FROM both_)
+  SELECT o.source_id, o.target_id, n.display_name AS target_name, o.start_pos, o.end_pos, o.text, o.confidence FROM one o JOIN nodes n ON n._id = o.target_id WHERE rn = 1"""
+SQL["link_laws"] = f"""WITH {_OWN.replace('{source}', _CURRENT_TEXTS)}, ids AS (SELECT rec_id, _id FROM {_CURRENT_TEXTS}),
+  met AS (SELECT i._id AS f, {_TARGET} AS t, o.s, b.no AS no, b.c AS c, b.text AS m FROM own o JOIN ids i USING (rec_id) WHERE {_TARGET} IN (SELECT _id FROM instrument_articles)),
+  last AS (SELECT f, t, arg_max(struct_pack(c := c, m := m), (s, no)) AS v FROM met GROUP BY f, t)
+  SELECT substr(f, 21) || '__' || substr(t, 21) || '__REFERS_TO_ARTICLE' AS _key, f AS _from, t AS _to, 'REFERS_TO_ARTICLE' AS relation, v.c AS confidence, 'bwb-article-linker' AS source, v.m AS raw_match FROM last"""
+_JUDGED = f"""judged AS (SELECT 'judgments/' || {_KEY.format('ecli')} AS _id, {_KEY.format('ecli')} AS _key, arg_max(ecli, (fetched_at, raw_key)) AS ecli, arg_max(hit, (fetched_at, raw_key)) AS hit FROM (
+    SELECT nullif(coalesce(meta['ecli'], external_id), '') AS ecli, fetched_at, _key AS raw_key, coalesce({' OR '.join(f"starts_with(coalesce(meta['ecli'], external_id), '{p}')" for p in PROFILE['filters']['rechtspraak']['ecli_prefixes'])}, false)
+      OR coalesce({' OR '.join(f"contains(lower(payload_text), '{w}')" for w in PROFILE['filters']['rechtspraak']['search_terms'])}, false) AS hit FROM raw_sources WHERE source = 'rechtspraak' AND kind = 'rs-content') WHERE ecli IS NOT NULL GROUP BY {_KEY.format('ecli')})"""
+SQL["judgment_detail"] = f"""
+  WITH {_JUDGED}, nodes AS MATERIALIZED ({_NODES}), {_PART_OF},
+  met AS (SELECT DISTINCT e._from, e._to, n.display_name FROM edges_semantic e JOIN nodes n ON n._id = e._to WHERE e.relation = 'MENTIONS_ARTICLE' AND e._from IN (SELECT _id FROM judged))
+  SELECT j.ecli, j._id AS judgment_id, m._to AS article_id, m.display_name AS article_name, p.instrument_id, count(m._to) OVER (PARTITION BY j.ecli) AS article_count FROM judged j LEFT JOIN met m ON m._from = j._id LEFT JOIN part p ON p._id = m._to"""
+_LABEL = PROFILE["topic"]["slug"].capitalize()
+SQL["normalize_judgments"] = f"WITH {_JUDGED} SELECT _key, CASE WHEN hit THEN 'Rechtspraak,{_LABEL}' ELSE 'Rechtspraak' END AS labels, ecli, ecli AS display_name FROM judged"
+_PAGES = f"""pages AS (SELECT {_KEY.format('celex')} AS _key, arg_max(celex, (fetched_at, raw_key)) AS celex, arg_max(hit, (fetched_at, raw_key)) AS hit FROM (
+  SELECT nullif(coalesce(meta['celex'], external_id), '') AS celex, fetched_at, _key AS raw_key, coalesce({' OR '.join(f"contains(lower(payload_text), '{w}')" for w in PROFILE['filters']['eurlex']['subject_keywords'])}, false) AS hit
+  FROM raw_sources WHERE source = 'eurlex' AND kind = 'eu-celex-html') WHERE celex IS NOT NULL GROUP BY {_KEY.format('celex')})"""
+SQL["normalize_eu_acts"] = f"WITH {_PAGES} SELECT _key, CASE WHEN hit THEN 'EU,{_LABEL}' ELSE 'EU' END AS labels, celex, 'EU ' || celex AS display_name FROM pages"
+
+
+def _tk_sql(kind: str, ids: str, titles: str, more: str = "") -> str:
+    """CTE ``tk_{kind}``: the last fetched record of each node of parliament, with its id, title and label."""
+    text = lambda f: f"CASE WHEN json_valid(payload_json) THEN json_extract_string(payload_json, '$.{f}') END"
+    filled = lambda names: "coalesce(" + ", ".join(_FILLED.format(text(f)) for f in names.split()) + ")"
+    shown = "coalesce(" + ", ".join(f"nullif({text(f)}, '')" for f in titles.split()) + ")"
+    rules = PROFILE["filters"]["tk"]
+    hit = " OR ".join([f"coalesce(contains(lower({text(f)}), '{w}'), false)" for f in ("Titel", "ZaakTitel", "Omschrijving", "TitelMetBijlagen") for w in rules["title_contains"]] + [f"coalesce(contains(lower(payload_json), '{w}'), false)" for w in rules["dossier_keywords"]])
+    ref = f", {filled(more)} AS ref" if more else ", cast(NULL AS VARCHAR) AS ref"
+    own = f"SELECT {filled(ids)} AS external_id, {shown} AS title, {hit} AS hit{ref}, fetched_at, _key AS raw_key FROM raw_sources WHERE source = 'tk' AND kind = '{kind}' AND payload_json IS NOT NULL"
+    keyed = f"SELECT {_KEY.format('external_id')} AS _key, * FROM ({own}) WHERE external_id IS NOT NULL"
+    return f"tk_{kind[3:]} AS (SELECT _key, max_by(struct_pack(external_id := external_id, title := title, hit := hit, ref := ref), (fetched_at, raw_key)) AS v FROM ({keyed}) GROUP BY _key)"
+
+
+_CASES, _VERSIONS = _tk_sql("tk-zaak", "Id ZaakId ZaakNummer", "Titel ZaakTitel Omschrijving"), _tk_sql("tk-documentversie", "Id DocumentVersieId", "Titel TitelMetBijlagen", "ZaakId ZaakNummer")
+_TK = f"CASE WHEN v.hit THEN 'TK,{_LABEL}' ELSE 'TK' END AS labels, v.external_id AS external_id"
+SQL["normalize_procedures"] = f"WITH {_CASES} SELECT _key, {_TK}, coalesce({_FILLED.format('v.title')}, 'Procedure ' || v.external_id) AS display_name FROM tk_zaak"
+SQL["normalize_publications"] = f"WITH {_VERSIONS} SELECT _key, {_TK}, v.ref AS procedure_external_id, coalesce({_FILLED.format('v.title')}, 'Publicatie') AS display_name FROM tk_documentversie"
+_TO_TOPIC = "SELECT _key || '__{topic}__RELATED_TOPIC' AS _key, '{c}/' || _key AS _from, 'topics/{topic}' AS _to, 'RELATED_TOPIC' AS relation, '{source}' AS source FROM {t} WHERE {hit}"
+SQL["topic_edges"] = f"WITH {_CASES}, {_VERSIONS}, {_JUDGED} " + " UNION ALL ".join(
+    _TO_TOPIC.format(topic=PROFILE["topic"]["slug"], c=c, t=t, source=src, hit=hit) for c, t, src, hit in (("procedures", "tk_zaak", "tk-normalize", "v.hit"), ("publications", "tk_documentversie", "tk-normalize", "v.hit"), ("judgments", "judged", "rechtspraak-normalize", "hit"))
+)
+SQL["edge_upsert"] = f"""
+  WITH o AS (SELECT _key, arg_max(struct_pack(f := _from, t := _to, r := relation, c := confidence, s := source), (created_at, rec_id)) AS v FROM edges_semantic WHERE created_at < TIMESTAMP '{SINCE}' AND _key IS NOT NULL GROUP BY _key),
+  n AS (SELECT _key, arg_max(struct_pack(f := _from, t := _to, r := relation, c := confidence, s := source), (created_at, rec_id)) AS v FROM edges_semantic WHERE created_at >= TIMESTAMP '{SINCE}' AND _key IS NOT NULL GROUP BY _key),
+  b AS (SELECT coalesce(n._key, o._key) AS _key, CASE WHEN n._key IS NULL THEN o.v ELSE n.v END AS v, o._key IS NULL AS created FROM o FULL OUTER JOIN n ON o._key = n._key)
+  SELECT _key, v.f AS _from, v.t AS _to, v.r AS relation, v.c AS confidence, v.s AS source, created FROM b"""
+SQL["node_update"] = f"""
+  WITH o AS (SELECT _key, arg_max(props, (ingested_at, rec_id)) AS p FROM publications WHERE ingested_at < TIMESTAMP '{SINCE}' GROUP BY _key),
+  n AS (SELECT _key, arg_max(props, (ingested_at, rec_id)) AS p FROM publications WHERE ingested_at >= TIMESTAMP '{SINCE}' GROUP BY _key)
+  SELECT o._key, coalesce(n.p.title, o.p.title) AS title, coalesce(n.p.procedure_external_id, o.p.procedure_external_id) AS procedure_external_id, n._key IS NOT NULL AS updated FROM o LEFT JOIN n ON o._key = n._key"""
 SQL["citation_snippets"] = f"WITH {_scan_sql(CITED)} SELECT doc_id, pos AS start_pos, regexp_replace(substr(text, greatest(pos - 40, 0) + 1, least(length(text), pos + length(raw_match) + 40) - greatest(pos - 40, 0)), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS snippet FROM hits"
