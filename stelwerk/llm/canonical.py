@@ -6,6 +6,8 @@ other than the plain one, and those with an entry in the look-alike fold. A segm
 the stable character before it, its boundary context: nothing outside can combine with what is inside. Only segments are
 normalised, each different one once a process, and spliced into the otherwise unchanged text. ASCII text is never sent
 to Python at all.
+
+Rows that look alike but are spelled differently come out as classes (a representative and its members) or as pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     # Armenian, Latin extensions
     "Օ": "O", "օ": "o", "ս": "u", "հ": "h", "ɡ": "g", "ı": "i", "ɑ": "a",
+    # Cherokee, Lisu, Coptic, Latin small capitals
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "Ⲥ": "C", "ⲥ": "c", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲏ": "H", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ᴜ": "u",
     # signs
     "∶": ":", "꞉": ":", "ː": ":", "׃": ":", "։": ":", "․": ".", "‐": "-", "‑": "-", "⁃": "-", "˗": "-", "⁄": "/", "∕": "/", "ʼ": "’", "ʹ": "′", "‚": ",", "٫": ",", ";": ";",
 }
@@ -121,20 +127,45 @@ def with_canonical(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({name: canonical(F.expr(e)) for name, e in columns.items()})
 
 
-def look_alike_pairs(df: DataFrame, rec: str, group: list[str], shown: list[str], exact: str) -> DataFrame:
-    """``id_a < id_b``: pairs of rows with equal ``group`` columns and equal canonical forms of the ``shown`` columns whose
-    ``exact`` column is not the same sequence of characters. All are expressions.
-
-    Rows with a null in any of them pair with nothing; repeated values pair with each different spelling, not with one
-    another. Digests of the rows are written once; the groups with two spellings or more are found by partial aggregation
-    over them, and only rows of those groups are joined, so that a frequent value with one spelling costs nothing."""
-    names = [f"g{i}" for i in range(len(group))]
-    rows = df.select(F.expr(rec).alias("id"), *[F.expr(g).alias(n) for g, n in zip(group, names)], *[canonical(F.expr(s)).alias(f"s{i}") for i, s in enumerate(shown)], F.expr(exact).alias("x"))
-    rows = rows.dropna()
-    digest = F.unhex(F.md5(F.to_json(F.array(*names, *[f"s{i}" for i in range(len(shown))]))))
-    keyed = rows.select("id", digest.alias("look"), F.unhex(F.md5("x")).alias("spelling"))
+def digests(df: DataFrame, rec: str, fields: dict[str, tuple[list[str], list[str], str]]) -> DataFrame:
+    """``field, id, look, spelling``: for each field (name to group, shown and exact expressions) a digest of the row's group
+    and of the canonical forms of what is shown, and one of the exact characters. Rows with a null in any of them have none
+    for that field. One pass over ``df``; what several fields show is made canonical once."""
+    shown = {e: f"_shown_{i}" for i, e in enumerate(dict.fromkeys(e for _, own, _ in fields.values() for e in own))}
+    rows = df.withColumns({"_row_id": F.expr(rec)} | {n: canonical(F.expr(e)) for e, n in shown.items()})
+    forms = []
+    for name, (group, own, exact) in fields.items():
+        parts = [*[F.expr(g).cast("string") for g in group], *[F.col(shown[e]) for e in own]]
+        there = F.expr(exact).isNotNull()
+        for p in parts:
+            there = there & p.isNotNull()
+        look = F.unhex(F.md5(F.to_json(F.array(*parts))))
+        forms.append(F.when(there, F.struct(F.lit(name).alias("field"), look.alias("look"), F.unhex(F.md5(F.expr(exact))).alias("spelling"))))
+    made = rows.select(F.col("_row_id").alias("id"), F.explode(F.array_compact(F.array(*forms))).alias("f"))
+    return made.select("f.field", "id", "f.look", "f.spelling").where("id is not null")
+
+
+def look_alikes(keyed: DataFrame) -> DataFrame:
+    """The rows of digests whose look has two spellings or more. The digests are written once; the looks are found by partial
+    aggregation over them, so that a frequent value with one spelling costs nothing."""
     keyed = written(keyed, "looks")
-    many = keyed.groupBy("look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("look")
-    left = keyed.join(many, "look", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    return a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.spelling") != F.col("b.spelling"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    many = keyed.groupBy("field", "look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("field", "look")
+    return keyed.join(many, ["field", "look"], "left_semi")
+
+
+def look_alike_classes(alike: DataFrame) -> DataFrame:
+    """``field, id, class_id, spelling_id``: rows that look the same form a class, named by its least id; rows of it with the
+    same characters share a ``spelling_id``, the least id among them. One row per row of look_alikes, however large a class:
+    two rows look alike but differ if they have one ``class_id`` and two ``spelling_id``."""
+    spelled = alike.groupBy("field", "look", "spelling").agg(F.min("id").alias("spelling_id"))
+    classed = alike.groupBy("field", "look").agg(F.min("id").alias("class_id"))
+    rows = alike.join(spelled, ["field", "look", "spelling"]).join(classed, ["field", "look"])
+    return rows.select("field", "id", "class_id", "spelling_id")
+
+
+def look_alike_pairs(alike: DataFrame) -> DataFrame:
+    """``field, id_a, id_b`` with ``id_a < id_b``: the pairs of rows of one class with different spellings. As many rows as
+    there are pairs; use the classes where those will do."""
+    a, b = alike.alias("a"), alike.alias("b")
+    met = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.look") == F.col("b.look")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.spelling") != F.col("b.spelling")))
+    return met.select("a.field", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()

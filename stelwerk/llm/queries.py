@@ -12,16 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    edges, articles = table(spark, d, "edges_semantic"), table(spark, d, "instrument_articles")
+def _look_alikes(spark: SparkSession, d: str) -> DataFrame:
     number, text, law = "props.article_number", "props.text", "props.bwb_id"
-    parts = {
-        "raw_match": canonical.look_alike_pairs(edges, "rec_id", ["_from"], ["meta.raw_match"], "meta.raw_match"),
-        "article_number": canonical.look_alike_pairs(articles, "rec_id", [law], [number], number),
-        "text": canonical.look_alike_pairs(articles, "rec_id", [law], [number, text], text),
-    }
-    rows = [p.select(F.lit(name).alias("field"), "id_a", "id_b") for name, p in parts.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    edges = canonical.digests(table(spark, d, "edges_semantic"), "rec_id", {"raw_match": (["_from"], ["meta.raw_match"], "meta.raw_match")})
+    articles = canonical.digests(table(spark, d, "instrument_articles"), "rec_id", {"article_number": ([law], [number], number), "text": ([law], [number, text], text)})
+    return canonical.look_alikes(edges.unionByName(articles))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.look_alike_pairs(_look_alikes(spark, d))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows as classes: the least id that looks the same, the least id that is the same."""
+    return canonical.look_alike_classes(_look_alikes(spark, d)).withColumnRenamed("id", "rec_id")
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +82,6 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("top_shape").agg(F.count("*").alias("n_pages"), F.count_if("is_spam").alias("n_flagged"), F.sum("top_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p4_found, p4_main_text, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p4_found, p4_main_text, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
 
 SQL: dict[str, str] = {}
