@@ -27,29 +27,35 @@ _DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{8}"
 
 def tidy(c: Column) -> Column:
     """Without white space of any kind and invisible format characters at the ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")
+    plain = c.rlike(r"^(?:[!-~](?:[ -~]*[!-~])?)?$")
+    return F.when(plain, c).otherwise(F.regexp_replace(c, r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", ""))
 
 
 def parse_day(c: Column) -> Column:
     """A date in one of the notations yyyy-MM-dd, dd-MM-yyyy and yyyyMMdd (separators ``-``, ``/`` or ``.``, an
     optional time or zone after it); null for null, blank, other text and days that don't exist."""
+    # Most dates are plain already and pay for one pattern only.
+    plain = c.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(plain, F.when(F.substring(c, 1, 4) != "0000", c.try_cast("date"))).otherwise(_other_day(F.when(~plain, c)))
+
+
+def _other_day(c: Column) -> Column:
     s = F.regexp_replace(tidy(c), rf"^({_DATE})(?:[T ].*|Z|[+-]\d{{2}}:?\d{{2}})$", "$1")
     s = F.regexp_replace(s, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1")
     s = F.regexp_replace(s, r"^(\d{4})[-/.]?(\d{1,2})[-/.]?(\d{1,2})$", "$1-$2-$3")
     return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & (F.substring(s, 1, 4) != "0000"), s.try_cast("date"))
 
 
-def dyadic_blocks(start: str, end: str) -> Column:
-    """Heap numbers of the canonical blocks of the half-open day range [start, end), an array of int.
+def dyadic_blocks(intervals: DataFrame) -> DataFrame:
+    """``key, level, block``: the heap numbers of the canonical blocks of each half-open day range [s, e).
 
-    At level k the left end rounds up to ``l`` and the right end down to ``r``; ``l`` is a block if it is a right
-    child, ``r - 1`` if it is a left one, both only while ``l < r``."""
-    lo, hi, top = f"shiftright({start} + shiftleft(1, k) - 1, k)", f"shiftright({end}, k)", f"shiftleft(1, {HEIGHT} - k)"
-    return F.expr(
-        f"array_compact(flatten(transform(sequence(0, {HEIGHT}), k -> array("
-        f"CASE WHEN {lo} < {hi} AND ({lo} & 1) = 1 THEN {top} + {lo} END, "
-        f"CASE WHEN {lo} < {hi} AND ({hi} & 1) = 1 THEN {top} + {hi} - 1 END))))"
-    )
+    At level k the left end rounds up to ``lo`` and the right end down to ``hi``; ``lo`` is a block if it is a right
+    child, ``hi - 1`` if it is a left one, both only while ``lo < hi``, so on no level whose blocks are longer than the range.
+    Each level is a row, and plain arithmetic on it: no arrays are built but the two candidates."""
+    levels = intervals.select("key", "s", "e", F.explode(F.expr("sequence(0, length(bin(e - s)) - 1)")).alias("level"))
+    at = levels.select("key", "level", F.expr("shiftright(s + shiftleft(1, level) - 1, level)").alias("lo"), F.expr("shiftright(e, level)").alias("hi"), F.expr(f"shiftleft(1, {HEIGHT} - level)").alias("top")).where("lo < hi")
+    both = at.select("key", "level", F.explode(F.expr("array(if((lo & 1) = 1, top + lo, 0), if((hi & 1) = 1, top + hi - 1, 0))")).alias("block"))
+    return both.where("block > 0")
 
 
 def block_runs(blocks) -> list[tuple[int, int]]:
@@ -107,9 +113,8 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     Blocks of SEGMENT levels and more are one group per key (at most 2,047 blocks), lower ones a group per key and
     stretch of 2**SEGMENT days. What the groups return is joined over their borders by one window per key, whose
     rows are bounded by the calendar."""
-    level = F.lit(HEIGHT + 1) - F.length(F.bin("block"))
-    blocks = intervals.select("key", F.explode(dyadic_blocks("s", "e")).alias("block"))
-    part = F.when(level >= SEGMENT, F.lit(0)).otherwise(F.expr(f"shiftright(block, {SEGMENT} - ({HEIGHT + 1} - length(bin(block))))"))
+    blocks = dyadic_blocks(intervals)
+    part = F.when(F.col("level") >= SEGMENT, F.lit(0)).otherwise(F.expr(f"shiftright(block, {SEGMENT} - level)"))
     sets = blocks.select("key", part.cast("int").alias("part"), F.col("block").cast("int").alias("block")).groupBy("key", "part").agg(F.collect_set("block").alias("blocks"))
     runs = sets.select("key", F.explode(_runs("blocks")).alias("r")).select("key", F.shiftright("r", 32).cast("int").alias("s"), F.col("r").bitwiseAND(0xFFFFFFFF).cast("int").alias("e"))
     by = Window.partitionBy("key").orderBy("s", "e")

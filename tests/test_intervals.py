@@ -27,10 +27,15 @@ def test_block_runs_cover_the_same_days(pairs):
 
 def test_decomposition_in_spark_is_canonical(spark):
     cases = [(0, 1), (5, 6), (3, 17), (0, 1 << 22), (1234, 3652059)]
-    df = spark.createDataFrame(cases, "s int, e int").select("s", "e", I.dyadic_blocks("s", "e").alias("b"))
-    for r in df.collect():
-        assert sorted(r.b) == sorted(blocks(r.s, r.e)) and len(r.b) <= 44
-        assert I.block_runs(r.b) == [(r.s, r.e)]
+    df = spark.createDataFrame([(f"{s} {e}", s, e) for s, e in cases], "key string, s int, e int")
+    got = {}
+    for r in I.dyadic_blocks(df).collect():
+        got.setdefault(r.key, []).append(r.block)
+        assert r.level == I.HEIGHT + 1 - r.block.bit_length()
+    for s, e in cases:
+        b = got[f"{s} {e}"]
+        assert sorted(b) == sorted(blocks(s, e)) and len(b) <= 44
+        assert I.block_runs(b) == [(s, e)]
 
 
 def test_dates_in_all_notations(spark):
