@@ -42,13 +42,14 @@ def p3_key_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    pubs = table(spark, d, "publications").select(F.lit("publications").alias("src_table"), "rec_id", F.col("props.procedure_external_id").alias("key"), F.col("ingested_at").alias("t"))
-    procs = table(spark, d, "procedures").select(F.col("props.external_id").alias("key"), "ingested_at", "deleted_at")
-    edges = [table(spark, d, t).select(F.lit(t).alias("src_table"), "rec_id", F.col(c).alias("key"), F.col("created_at").alias("t")) for t, c in (("edges_semantic", "_to"), ("edges_strict", "_from"))]
-    nodes = [table(spark, d, t).select(F.col("_id").alias("key"), "ingested_at", "deleted_at") for t in NODE_TABLES]
-    for n in nodes[1:]:
-        nodes[0] = nodes[0].unionByName(n)
-    return orphans.orphans(pubs, procs).unionByName(orphans.orphans(edges[0].unionByName(edges[1]), nodes[0]))
+    """References to procedures (side p) and to nodes (side n), looked up in one pass."""
+    kinds = (("publications", "p", "props.procedure_external_id", "ingested_at"), ("edges_semantic", "n", "_to", "created_at"), ("edges_strict", "n", "_from", "created_at"))
+    refs = [table(spark, d, t).select(F.lit(t).alias("src_table"), F.lit(side).alias("side"), "rec_id", F.col(c).alias("key"), F.col(at).alias("t")) for t, side, c, at in kinds]
+    parents = [table(spark, d, t).select(F.lit(side).alias("side"), F.col(c).alias("key"), "ingested_at", "deleted_at") for t, side, c in (("procedures", "p", "props.external_id"), *((t, "n", "_id") for t in NODE_TABLES))]
+    for rows in (refs, parents):
+        for more in rows[1:]:
+            rows[0] = rows[0].unionByName(more)
+    return orphans.orphans(refs[0], parents[0], side="side")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

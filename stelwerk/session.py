@@ -58,9 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stelwerk/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(at)
+    df.write.partitionBy(*partition_by).parquet(at)
     return spark.read.schema(df.schema).parquet(at)

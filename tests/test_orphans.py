@@ -51,9 +51,27 @@ def test_keys_compare_as_stored_and_tables_may_be_empty(spark, rows):
     assert rows(O.orphan_report(run(spark, refs, parents))) == [("p", "2029-12", "late", 1), ("p", "2030-01", "missing", 2)]
 
 
-def test_the_filter_never_loses_a_key(spark):
+def test_the_filter_never_loses_a_key(spark, monkeypatch):
+    few = spark.range(200).selectExpr("concat('k', id) as key")
+    assert spark.range(5000, 6000).selectExpr("concat('k', id) as key").where(O.maybe_in(O.bloom(few, "key", 200), "key")).count() < 200
+    monkeypatch.setattr(O, "MAX_BITS", 1 << 12)
     parents = spark.range(3000).selectExpr("concat('k', id) as key")
-    f = O.bloom(parents, "key", bits=1 << 12)  # far too small: false positives only
+    f = O.bloom(parents, "key", 3000)  # far too small: false positives only
     assert parents.where(~O.maybe_in(f, "key")).count() == 0
-    few = spark.range(200).selectExpr("concat('k', id) as key")
-    assert spark.range(5000, 6000).selectExpr("concat('k', id) as key").where(O.maybe_in(O.bloom(few, "key"), "key")).count() < 200
+
+
+def test_filters_by_range_stay_sharp(spark, monkeypatch):
+    monkeypatch.setattr(O, "MAX_BITS", 1 << 12)
+    parents = spark.range(3000).selectExpr("concat('k', id) as key")
+    refs = spark.range(6000).selectExpr("concat('k', id) as key", "id as rec_id", "'e' as src_table", "timestamp_ntz'2030-01-01 00:00:00' as t")
+    known = O.tried(refs, parents)
+    assert known.count() == 6000 and known.where("not maybe and rec_id < 3000").count() == 0
+    assert known.where("maybe and rec_id >= 3000").count() < 600
+    assert O.tried(refs.limit(0), parents).count() == 0
+    test_against_brute_force_with_a_hot_key(spark)
+
+
+def test_sides_are_apart(spark, rows):
+    refs = spark.createDataFrame([("a", "x", 1, "k", T(5)), ("b", "y", 2, "k", T(5)), ("b", "y", 3, " ", T(5))], "src_table string, side string, rec_id bigint, key string, t timestamp_ntz")
+    parents = spark.createDataFrame([("x", "k", T(0), None), ("y", "K", T(0), None)], "side string, key string, ingested_at timestamp_ntz, deleted_at timestamp_ntz")
+    assert rows(O.orphans(refs, parents, side="side")) == [("b", "2030-01", 2, "missing")]
