@@ -81,10 +81,17 @@ def keywords(words: Iterable[str | None]) -> list[str]:
 def has_keyword(c: Column, words: Iterable[str | None]) -> Column:
     """Whether the text holds any of the words, whatever the case; false for null. One pass of substring tests in the JVM,
     no join: the words are a profile's handful."""
-    hit = F.lit(False)
-    for w in keywords(words):
-        hit = hit | F.contains(F.lower(c), F.lit(w))
-    return F.coalesce(hit, F.lit(False))
+    words = keywords(words)
+    if not words:
+        return F.lit(False)
+
+    def any_in(lower: Column) -> Column:
+        hit = F.contains(lower, F.lit(words[0]))
+        for w in words[1:]:
+            hit = hit | F.contains(lower, F.lit(w))
+        return hit
+
+    return F.coalesce(F.exists(F.array(F.lower(c)), any_in), F.lit(False))  # lower-case is made once
 
 
 def has_prefix(c: Column, prefixes: Iterable[str]) -> Column:

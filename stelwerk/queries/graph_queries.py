@@ -292,11 +292,10 @@ def stream_counts(spark, d):
     """Records per day of fetching, counted by a stream over the landing files until it has read all of them."""
     schema = table(spark, d, "raw_sources").schema
     rows = ingest.landing(spark, f"{d}/raw_sources.parquet*", schema).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
-    name = f"counts_{uuid.uuid4().hex}"
-    at = f"{shared_dir(spark)}/stelwerk/{name}"
-    query = ingest.counts(rows).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "kind", "n")
+    at = f"{shared_dir(spark)}/stelwerk/counts_{uuid.uuid4().hex}"
+    ingest.into_table(ingest.counts(rows), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{at}/table")
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "source", "kind", "n")
 
 
 def json_text_collect(spark, d):
@@ -609,6 +608,13 @@ SQL["link_laws"] = f"""WITH {_OWN.replace('{source}', _CURRENT_TEXTS)}, ids AS (
   met AS (SELECT i._id AS f, {_TARGET} AS t, o.s, b.no AS no, b.c AS c, b.text AS m FROM own o JOIN ids i USING (rec_id) WHERE {_TARGET} IN (SELECT _id FROM instrument_articles)),
   last AS (SELECT f, t, arg_max(struct_pack(c := c, m := m), (s, no)) AS v FROM met GROUP BY f, t)
   SELECT substr(f, 21) || '__' || substr(t, 21) || '__REFERS_TO_ARTICLE' AS _key, f AS _from, t AS _to, 'REFERS_TO_ARTICLE' AS relation, v.c AS confidence, 'bwb-article-linker' AS source, v.m AS raw_match FROM last"""
+_ENTRY = "struct_pack(start := o.s, \"end\" := o.e, text := b.text, target_bwb_id := b.law, target_article_number := b.no, confidence := b.c)"
+SQL["stored_citations"] = f"""WITH {_OWN.replace('{source}', _CURRENT_TEXTS)},
+  listed AS (SELECT rec_id, count(*) AS n, cast(to_json(list({_ENTRY} ORDER BY o.s, o.e, b.text, b.law, b.no)) AS VARCHAR) AS j FROM own o GROUP BY rec_id)
+  SELECT i._id AS article_id, cast(coalesce(l.n, 0) AS INT) AS n_citations, coalesce(l.j, '[]') AS citations FROM {_CURRENT_TEXTS} i LEFT JOIN listed l USING (rec_id)"""
+SQL["json_text_collect"] = f"""
+  WITH atoms AS (SELECT p.rec_id, t.id, {_FILLED.format("t.atom ->> '$'").replace(chr(92) + 's', _WHITE)} AS v FROM procedures p, json_tree(CASE WHEN json_valid(p.props.raw) THEN p.props.raw END) t WHERE t.type = 'VARCHAR')
+  SELECT p.rec_id, a.text FROM procedures p LEFT JOIN (SELECT rec_id, string_agg(v, chr(10) ORDER BY id) AS text FROM atoms WHERE v IS NOT NULL GROUP BY rec_id) a USING (rec_id)"""
 _JUDGED = f"""judged AS (SELECT 'judgments/' || {_KEY.format('ecli')} AS _id, {_KEY.format('ecli')} AS _key, arg_max(ecli, (fetched_at, raw_key)) AS ecli, arg_max(hit, (fetched_at, raw_key)) AS hit FROM (
     SELECT nullif(coalesce(meta['ecli'], external_id), '') AS ecli, fetched_at, _key AS raw_key, coalesce({' OR '.join(f"starts_with(coalesce(meta['ecli'], external_id), '{p}')" for p in PROFILE['filters']['rechtspraak']['ecli_prefixes'])}, false)
       OR coalesce({' OR '.join(f"contains(lower(payload_text), '{w}')" for w in PROFILE['filters']['rechtspraak']['search_terms'])}, false) AS hit FROM raw_sources WHERE source = 'rechtspraak' AND kind = 'rs-content') WHERE ecli IS NOT NULL GROUP BY {_KEY.format('ecli')})"""

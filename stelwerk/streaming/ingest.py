@@ -30,6 +30,17 @@ def counts(raw: DataFrame, window: str = "1 day", lateness: str = "7 days") -> D
     return by.agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "source", "kind", "n")
 
 
+def into_table(counted: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes an aggregate as it stands after each micro-batch over the one before it: a table in the shared folder, not rows
+    in the driver."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = counted.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def into_store(raw: DataFrame, store: Store, plan: Callable[[DataFrame], Mapping[str, DataFrame]], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Runs a normalizer over each micro-batch and upserts what it makes into the store, one delta a table and batch (compact
     them when the stream is done). Merging is by key, so a batch that is tried again changes nothing. ``checkpoint`` must be

@@ -26,6 +26,17 @@ def test_scan_against_finditer(spark):
     assert docs(spark, None).select(find_all(F.col("t"), "a")).first()[0] is None
 
 
+def test_scan_of_texts_with_very_many_matches(spark):
+    import time
+
+    texts = ["x" * (i % 3) + "ab, " * n + "ab"[: i % 3] for i, n in enumerate((254, 255, 256, 257, 511, 512, 513, 1100, 60000))]
+    began = time.perf_counter()
+    got = {r.id: [tuple(m) for m in r.m] for r in docs(spark, *texts).select("id", find_all(F.col("t"), "ab").alias("m")).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(texts):
+        assert got[str(i)] == [(m.start(), m.end(), m.group()) for m in re.finditer("ab", t)]
+
+
 def law(spark, *texts):
     return sorted((int(r.doc), r.start, r.end, r.article_number, r.confidence) for r in D.detect_law(docs(spark, *texts), "id", "t", "law").collect())
 

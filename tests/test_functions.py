@@ -20,7 +20,7 @@ def test_sanitized_keys(spark):
 
 def test_keys_of_parts(spark):
     df = spark.createDataFrame([("BWBR1", "24c"), ("BWBR1", None), (" ", "5"), (None, None)], "a string, b string")
-    assert [r[0] for r in df.select(K.node_key("a", "b") if False else K.node_key(F.col("a"), F.col("b"))).collect()] == ["bwbr1_24c", "bwbr1", "5", "node"]
+    assert [r[0] for r in df.select(K.node_key(F.col("a"), F.col("b"))).collect()] == ["bwbr1_24c", "bwbr1", "5", "node"]
     assert one(spark, ["x/y/z", "x", None], K.id_key) == ["y/z", None, None]
     got = df.select(K.edge_key(F.col("a"), F.col("b"), "REL")).first()[0]
     assert got == "bwbr1__24c__REL"
@@ -56,3 +56,14 @@ def test_display_names(spark):
     df = spark.createDataFrame(data, schema)
     got = [r[0] for r in df.select(X.display_name(F.col("kind"), {c: F.col(c) for c in df.columns[1:]})).collect()]
     assert got == ["Wet (B1)", "BWB B1", "EU C", "Instrument", "Art. 5", "E", "T (E)", "Procedure P1", "Publicatie", "s", "Actor"]
+
+
+def test_functions_for_sql(spark):
+    from stelwerk.functions.register import register
+
+    names = register(spark)
+    assert register(spark) == names and "sw_key" in names
+    row = spark.sql("SELECT sw_strip('\u00a0 a b \t'), sw_filled('  '), sw_strip_html('<p>a<b>b</b>\n c</p>'), sw_key('__a--b__ C'), sw_key('??'), sw_collection('x/y/z'), sw_id_key('x/y/z'), sw_id_key('x'), sw_celex('L', '2010', '13'), sw_snippet('  abc ', 2, 3), sw_key(null)").first()
+    assert tuple(row)[:10] == ("a b", None, "a b c", "a_b_c", "node", "x", "y/z", None, "32010L0013", "abc")
+    got = spark.createDataFrame([("Richtlijn X",), (None,)], "v string").selectExpr("sw_key(v) as k")
+    assert [r.k for r in got.collect()][0] == "richtlijn_x"
