@@ -4,7 +4,8 @@ The words of an item block are numbered; a document becomes the numbers of its w
 runs of SEED words shared by an item and the document, are found by Karp-Rabin hashes over whole batches of documents
 at once. Around each seed greedy string tiling marks the longest non-overlapping common runs first. Tiles give an
 item's coverage in whatever order they stand; an exact check of the tiles in order, with the edit distance of the words
-between them, decides whether a passage stands there; where it finds none, each run of seeds is judged by itself. The corpus is scanned once per block and never shuffled.
+between them, decides whether a passage stands there; where it finds none, each run of seeds is judged by itself. The corpus is scanned once and never shuffled: with
+more items than one block holds, that scan keeps the documents that may share a seed with any item, and each block reads those.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stelwerk.llm.canonical import LOOK_ALIKES
+from stelwerk.session import written
 
 #: A passage has at least this many words of the item, and at most one edit to PER_EDIT of them.
 PASSAGE = 18
@@ -30,11 +34,15 @@ PER_EDIT = 8
 #: Words a seed. PASSAGE words with the edits allowed leave a run of at least this many: (18 - 2) / 3, rounded up, and
 #: longer passages leave no shorter one.
 SEED = 6
+#: Factor by which the lengths of tiles looked for fall.
+FALL = 4
 #: Shortest tile, and the longest stretch between two tiles that is compared word by word.
 TILE = 3
 GAP = 24
 #: Characters of item texts a block; a block with its seeds is sent to all tasks (under 100 MB at this size).
 BLOCK_CHARS = 4_000_000
+#: Bits of the table of all items' seeds: 16 MB to broadcast, however many items there are.
+SEED_BITS = 1 << 27
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*+>")
 _MARKUP = re.compile(_TAG.pattern + r"|<!--.*?-->", re.S)
@@ -89,7 +97,7 @@ def _common(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, in
     i = order[np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     same = np.ones(len(j), dtype=bool)
     for k in range(least):
-        same &= (item[i + k] == doc[j + k]) & (doc[j + k] != 0)
+        same &= (item[i + k] == doc[j + k]) & (doc[j + k] > 0)
     i, j = i[same], j[same]
     if not len(i):
         return []
@@ -102,24 +110,32 @@ def _common(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, in
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item position, document position, length) of common runs of at least ``least`` words, the
-    longest first, ties by document then item position; no word of either side is in two of them."""
-    runs = _common(item, doc, least)
-    heapq.heapify(runs)
-    used_i, used_j = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool)
-    found = []
-    while runs:
-        n, b, a = heapq.heappop(runs)
-        n = -n
-        taken = used_i[a : a + n] | used_j[b : b + n]
-        if taken.any():  # the free parts of a run compete again
-            edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
-            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                if e - s >= least:
-                    heapq.heappush(runs, (s - e, b + s, a + s))
-            continue
-        used_i[a : a + n] = True
-        used_j[b : b + n] = True
-        found.append((a, b, n))
+    longest first, ties by document then item position; no word of either side is in two of them.
+
+    Karp-Rabin hashes run over what is not marked yet, for lengths that fall by FALL down to ``least``: the runs of a length
+    or more are marked longest first before shorter ones are looked for, so that few places are left by then."""
+    item, doc = item.copy(), doc.copy()  # marked words become 0 and -1, which equal nothing
+    found: list[tuple[int, int, int]] = []
+    size = least
+    while size * FALL <= min(len(item), len(doc)):
+        size *= FALL
+    while size >= least:
+        runs = _common(item, doc, size)
+        heapq.heapify(runs)
+        while runs:
+            n, b, a = heapq.heappop(runs)
+            n = -n
+            taken = (item[a : a + n] <= 0) | (doc[b : b + n] <= 0)
+            if taken.any():  # the free parts of a run compete again
+                edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    if e - s >= size:
+                        heapq.heappush(runs, (s - e, b + s, a + s))
+                continue
+            item[a : a + n] = -1
+            doc[b : b + n] = 0
+            found.append((a, b, n))
+        size //= FALL
     return found
 
 
@@ -376,12 +392,64 @@ def _index(name: str, sent) -> Items:
     return _INDEXES[name]
 
 
+def _seed_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each seed of the texts: the index of its text, and its place in a table of SEED_BITS bits."""
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in words(t)], dtype=np.int64) for t in texts]
+    hashes = pd.util.hash_array(np.array(list(number), dtype=object), categorize=False) if number else np.zeros(0, dtype=np.uint64)
+    own = [rolling(hashes[d], SEED) for d in docs]
+    of = np.repeat(np.arange(len(own)), [len(h) for h in own])
+    return of, (np.concatenate([np.zeros(0, np.uint64), *own]) >> np.uint64(20)) % np.uint64(SEED_BITS)
+
+
+def _candidates(rows: DataFrame, items: DataFrame, item_text: str) -> DataFrame:
+    """The rows (``doc_id, t``) that may share a seed with any item, written once. The items' seeds become one table of bits,
+    made in tasks and put together by its parts; the driver gets its SEED_BITS bits and nothing else. Of rows that share no
+    seed few are kept, none that does is left out."""
+    width = 1 << 16  # bits a part
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            _, bits = _seed_bits([t for t in b["t"].to_pylist() if t])
+            for k in np.unique(bits // np.uint64(width)).tolist():
+                here = bits[bits // np.uint64(width) == k] % np.uint64(width)
+                own.setdefault(k, np.zeros(width, dtype=bool))[here.astype(np.int64)] = True
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["part", "bits"])
+
+    def either(key, table):
+        got = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([got.tobytes()], pa.binary())})
+
+    made = items.select(F.col(item_text).alias("t")).mapInArrow(parts, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary")
+    table = np.zeros(SEED_BITS // 8, dtype=np.uint8)
+    for r in made.collect():  # at most SEED_BITS bits
+        table[r.part * width // 8 : (r.part + 1) * width // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                of, bits = _seed_bits(part["t"].to_pylist())
+                at = bits.astype(np.int64)
+                hit = sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                yield part.filter(pa.array(np.isin(np.arange(part.num_rows), of[hit == 1])))
+
+    return written(rows.mapInArrow(keep, rows.schema), "candidates")
+
+
 def _scan(docs: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, judge, schema: str, chars: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null")
     names = [p.split()[0] for p in schema.split(", ")]
     result = spark.createDataFrame([], schema)
-    for block in _blocks(items, item, item_text, chars):
+    blocks = _blocks(items, item, item_text, chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is not None:  # the corpus is scanned once for all items; each block then reads what may hold one
+        rows = _candidates(rows, items, item_text)
+    for block in (x for x in chain((first, second), blocks) if x):
         sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
@@ -410,7 +478,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "
         for d, i, a, t, runs in known.near(texts):
             key = (ids[d], known.ids[i])
             # a copy of some of the words nearby can take them from the passage's tiles, so no pair is given up by them
-            if key not in found and (any(alone(a, t, p, at, n) for at, p, n in runs) or any(in_order(a, b, marks) for b, marks in windows(a, t, runs))):
+            if key not in found and (any(in_order(a, b, marks) for b, marks in windows(a, t, runs)) or any(alone(a, t, p, at, n) for at, p, n in runs)):
                 found.add(key)
         return sorted(found)
 

@@ -81,6 +81,17 @@ def test_empty_tables_blocks_and_long_texts(spark):
     assert L.leaked(d, i, block_chars=1).count() == 5
 
 
+def test_many_blocks_give_the_same(spark, rows):
+    rnd = random.Random(8)
+    items = [(k, " ".join(text(rnd, 50))) for k in range(40)] + [(99, None), (98, "")]
+    docs = [(k, " ".join(text(rnd, 30) + rnd.choice(items[:40])[1].split()[10:35] + text(rnd, 30)) if k % 3 else " ".join(f"n{k}x{j}" for j in range(60))) for k in range(60)] + [(900, None), (901, "")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = rows(L.leaked(d, i))
+    assert len(whole) >= 40 and rows(L.leaked(d, i, block_chars=700)) == whole
+    kept = L._candidates(d.selectExpr("doc_id", "text as t").where("t is not null"), i, "text")
+    assert {r.doc_id for r in kept.collect()} == {k for k in range(60) if k % 3}
+
+
 def test_reordered_items_show_in_the_coverage(spark):
     rnd = random.Random(4)
     w = text(rnd, 60)
