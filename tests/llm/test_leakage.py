@@ -89,7 +89,8 @@ def test_many_blocks_give_the_same(spark, rows):
     whole = rows(L.leaked(d, i))
     assert len(whole) >= 40 and rows(L.leaked(d, i, block_chars=700)) == whole
     kept = L._candidates(d.selectExpr("doc_id", "text as t").where("t is not null"), i, "text")
-    assert {r.doc_id for r in kept.collect()} == {k for k in range(60) if k % 3}
+    sharing = {k for k in range(60) if k % 3}
+    assert sharing <= (got := {r.doc_id for r in kept.collect()}) and len(got - sharing) < 5  # the table of bits may let a few others through
 
 
 def test_reordered_items_show_in_the_coverage(spark):
