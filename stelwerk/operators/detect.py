@@ -186,7 +186,7 @@ def detect_law(df: DataFrame, doc: str, text: str, law: str, number_confidence:
     blocks = rows.select("doc", "bwb_id", F.inline(find_all(F.col("txt"), pattern(LAW_BLOCK))))
     numbers = F.regexp_extract("text", pattern(LAW_BLOCK), 1)
     blocks = blocks.select("doc", "bwb_id", F.col("end"), numbers.alias("block")).withColumn("at", F.col("end") - F.length("block"))
-    parts = blocks.withColumn("n", find_all(F.col("block"), LAW_NUMBER))
+    parts = blocks.withColumn("n", find_all(F.col("block"), pattern(LAW_NUMBER)))
 
     single = parts.select("doc", "bwb_id", "at", F.inline("n")).select("doc", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"), "text", "bwb_id", F.col("text").alias("article_number"), F.lit(number_confidence).alias("confidence"))
 

@@ -169,9 +169,9 @@ def resolve(hits: DataFrame, nodes: DataFrame, articles_by_celex: bool = False)
     """Adds ``target_id`` to hits (kind, celex, bwb_id, article_number): an article if law and number are known, else the
     instrument by CELEX id, else by law id. Hits whose target is no node go. One join, on the derived id."""
     article = F.col("bwb_id").isNotNull() & (F.col("bwb_id") != "") & F.col("article_number").isNotNull()
-    known = F.when(article, K.node_id("instrument_articles", K.node_key(F.col("bwb_id"), F.col("article_number"), fold=False)))
-    known = known.when(F.col("celex").isNotNull(), K.node_id("instruments", K.node_key(F.col("celex"), fold=False)))
-    known = known.when(F.col("bwb_id") != "", K.node_id("instruments", K.node_key(F.col("bwb_id"), fold=False)))
+    known = F.when(article, K.node_id("instrument_articles", K.node_key(F.col("bwb_id"), F.col("article_number"))))
+    known = known.when(F.col("celex").isNotNull(), K.node_id("instruments", K.node_key(F.col("celex"))))
+    known = known.when(F.col("bwb_id") != "", K.node_id("instruments", K.node_key(F.col("bwb_id"))))
     return hits.withColumn("target_id", known).where("target_id is not null").join(nodes.select(F.col("_id").alias("target_id")).distinct(), "target_id", "left_semi")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ WORD = r"[\p{L}\p{N}_]"
 BOUND = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
+_FIRST = re.compile(r"\\b(\(?)([A-Za-z]+)(?=[^*+?{A-Za-z])")
+
+
 def pattern(p: str) -> str:
-    """A case-insensitive Unicode pattern with ``\\b`` put right."""
+    """A case-insensitive Unicode pattern with ``\\b`` put right. A boundary before plain letters is looked at behind them: the
+    search then goes by the letters and meets the boundary only where they stand."""
+    if m := _FIRST.match(p):
+        p = f"{m[1]}{m[2]}(?<!{WORD}{m[2]})" + p[m.end() :]
     return "(?iuU)" + p.replace(r"\b", BOUND)
 
 
@@ -26,7 +34,8 @@ def find_all(text: Column, regex: str) -> Column:
     up, those of long texts by chunks of parts first: the time taken is in proportion to the text. The two characters count
     as spaces where the text itself has them. Null text gives null, no match an empty array; a pattern that matches nothing
     at all must not be used."""
-    clean = F.translate(text, "\x01\x02", "  ")
+    marked = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    clean = F.when(marked, F.translate(text, "\x01\x02", "  ")).otherwise(text)
     parts = F.split(F.regexp_replace(clean, regex, "\x01$0\x02"), "[\x01\x02]", -1)
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
 

@@ -119,7 +119,7 @@ def link_parliament(documents: DataFrame, nodes: DataFrame, profile: Mapping[str
     return graph.semantic_edges(graph.resolve(hits, nodes), graph.MENTIONS_ARTICLE, "tk-article-linker")
 
 
-_CITED = r"\b(?:artikel|article|art\.)\s+(\d+(?::\d+)*[a-z]?)\b(?:\s*,\s*lid\s+\d+)?"
+_CITED = r"\bart(?:ikel|icle|\.)\s+(\d+(?::\d+)*[a-z]?)\b(?:\s*,\s*lid\s+\d+)?"
 _LEAD = r"^\s+(?:(?:van|of|de|der)\s+)?(?:(?:de|het|the)\s+)?"
 #: Characters behind a citation that are looked at first; where the words asked for go beyond them, the whole text is.
 REACH = 256

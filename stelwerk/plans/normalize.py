@@ -122,12 +122,12 @@ def laws(raw: DataFrame, since=None) -> dict[str, DataFrame]:
     law = F.coalesce(F.nullif(F.col("meta")["bwb_id"], F.lit("")), F.nullif("external_id", F.lit("")))
     rows = rows.select(law.alias("bwb_id"), F.col("payload_text").alias("xml"), "fetched_at", F.col("_key").alias("raw_key")).where("bwb_id is not null and coalesce(xml, '') <> ''")
     last = last_per_key(rows, ["bwb_id"], ["fetched_at", "raw_key"])
-    instruments = _node(last, "instruments", "instrument", K.node_key(F.col("bwb_id"), fold=False), F.array(F.lit("BWB")), {"bwb_id": F.col("bwb_id"), "title": F.concat(F.lit("BWB-regeling "), F.col("bwb_id"))})
+    instruments = _node(last, "instruments", "instrument", K.node_key(F.col("bwb_id")), F.array(F.lit("BWB")), {"bwb_id": F.col("bwb_id"), "title": F.concat(F.lit("BWB-regeling "), F.col("bwb_id"))})
     found = law_articles(last)
     one = last_per_key(found.withColumn("_key", K.node_key(F.col("bwb_id"), F.col("article_number"))), ["_key"], ["seq"])
     articles = _node(one.withColumns({"fetched_at": F.lit(None), "raw_key": F.lit(None)}), "instrument_articles", "article", F.col("_key"), F.array(F.lit("BWB"), F.lit("Article")), {"bwb_id": F.col("bwb_id"), "article_number": F.col("article_number"), "text": F.col("text")})
     articles = articles.select("_key", "_id", "type", "labels", "props")
-    part = graph.edges(articles, F.col("_id"), K.node_id("instruments", K.node_key(F.col("props.bwb_id"), fold=False)), graph.PART_OF_INSTRUMENT, True, "bwb-normalize")
+    part = graph.edges(articles, F.col("_id"), K.node_id("instruments", K.node_key(F.col("props.bwb_id"))), graph.PART_OF_INSTRUMENT, True, "bwb-normalize")
     return {"instruments": _last(instruments), "instrument_articles": articles, "edges_strict": part}
 
 

@@ -30,8 +30,8 @@ PROFILE = {
     "filters": {"tk": {"title_contains": ["handhaving"], "dossier_keywords": ["straf"]}, "rechtspraak": {"search_terms": ["handhaving"], "ecli_prefixes": ["ECLI:NL:XQD"]}, "eurlex": {"subject_keywords": ["handhaving"]}},
 }
 KEYWORDS = ["subsidie", "visserij", "tariff", "pensioen"]
-CITED = r"(?i)(?:artikel|article|art[.]) +[0-9]+[a-z]?"
-CITED_IN_ACT = r"(?i)(?:artikel|article|art[.]) +[0-9]+[a-z]? +(?:van|of|de) +[a-z]+"
+CITED = r"(?i)art(?:ikel|icle|[.]) +[0-9]+[a-z]?"
+CITED_IN_ACT = r"(?i)art(?:ikel|icle|[.]) +[0-9]+[a-z]? +(?:van|of|de) +[a-z]+"
 SINCE = "2032-01-01 00:00:00"
 
 
@@ -596,7 +596,7 @@ SQL["detect_eu"] = _detected_sql(D.eu_rules(*_codes_for("eu")), PROFILE["code_al
 SQL["detect_judgment"] = _detected_sql(D.judgment_rules(*_codes_for("judgment")), PROFILE["code_aliases"], bare=True)
 SQL["detect_parliament"] = _detected_sql([replace(r, regex=r.regex.replace(r"\Q", "").replace(r"\E", "")) for r in D.parliament_rules(act_aliases(PROFILE), *_codes_for("parliament", "parliament_short"))], PROFILE["code_aliases"])
 _CURRENT_TEXTS = _current("instrument_articles", "props, rec_id AS r").replace("SELECT _id, deleted_at", "SELECT _id, rec_id, deleted_at")
-_TARGET = "'instrument_articles/' || " + _KEY.format("b.law || '_' || b.no")
+_TARGET = "'instrument_articles/' || " + _KEY.format("b.law || '_' || translate(b.no, '０１２３４５６７８９', '0123456789')")
 SQL["article_citations"] = f"""WITH {_OWN.replace('{source}', _CURRENT_TEXTS)}, ids AS (SELECT rec_id, _id FROM {_CURRENT_TEXTS}),
   nodes AS MATERIALIZED ({_NODES}),
   both_ AS (
