@@ -60,14 +60,18 @@ def neighbours(edges_: DataFrame, nodes: DataFrame, of: DataFrame | None = None)
     return both.join(named, "other").select("_id", F.col("other").alias("neighbour_id"), "neighbour_name", "relation", "direction", "strict", "confidence")
 
 
-def instrument_of(articles: DataFrame, strict: DataFrame) -> DataFrame:
-    """``_id, instrument_id``: the instrument an article is part of, whichever way the edge runs; the least id of several."""
+def part_of(strict: DataFrame) -> DataFrame:
+    """``_id, instrument_id``: the instrument of each article that is part of one, whichever way the edge runs; the least id
+    of several."""
     part = strict.where(F.col("relation") == PART_OF_INSTRUMENT)
-    is_article = lambda c: F.startswith(F.col(c), F.lit("instrument_articles/"))
-    ways = part.where(is_article("_from")).select(F.col("_from").alias("_id"), F.col("_to").alias("instrument_id"))
-    ways = ways.unionByName(part.where(is_article("_to")).select(F.col("_to").alias("_id"), F.col("_from").alias("instrument_id")))
-    one = ways.groupBy("_id").agg(F.min("instrument_id").alias("instrument_id"))
-    return articles.select("_id").join(one, "_id", "left")
+    ends = F.array(F.struct(F.col("_from").alias("_id"), F.col("_to").alias("instrument_id")), F.struct(F.col("_to").alias("_id"), F.col("_from").alias("instrument_id")))
+    ways = part.select(F.inline(F.filter(ends, lambda w: F.startswith(w["_id"], F.lit("instrument_articles/")))))
+    return ways.groupBy("_id").agg(F.min("instrument_id").alias("instrument_id"))
+
+
+def instrument_of(articles: DataFrame, strict: DataFrame) -> DataFrame:
+    """``_id, instrument_id``: the instrument an article is part of (part_of), null if there is none."""
+    return articles.select("_id").join(part_of(strict), "_id", "left")
 
 
 def find_topic(topics: DataFrame, id_: str | None, slug: str | None) -> DataFrame:
@@ -142,8 +146,9 @@ def article_detail(articles: DataFrame, strict: DataFrame, semantic: DataFrame,
     by = mentions(semantic).groupBy("_id").agg(F.count("*").alias("n_mentions"), F.count_if(F.startswith("source_id", F.lit("judgments/"))).alias("n_judgments"))
     refers = semantic.where(F.col("relation") == REFERS_TO_ARTICLE).select(F.col("_from").alias("_id"), "_to").join(nodes.select(F.col("_id").alias("_to")), "_to", "left_semi").distinct()
     cited = refers.groupBy("_id").agg(F.count("*").alias("n_citations"))
-    names = nodes.select(F.col("_id").alias("instrument_id"), F.col("display_name").alias("instrument_name"))
-    rows = articles.join(instrument_of(articles, strict), "_id", "left").join(names, "instrument_id", "left").join(by, "_id", "left").join(cited, "_id", "left")
+    acts = nodes.where("collection = 'instruments'") if "collection" in nodes.columns else nodes  # the other tables aren't read for names
+    names = acts.select(F.col("_id").alias("instrument_id"), F.col("display_name").alias("instrument_name"))
+    rows = articles.join(part_of(strict), "_id", "left").join(names, "instrument_id", "left").join(by, "_id", "left").join(cited, "_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return rows.select("_id", "display_name", "instrument_id", "instrument_name", zero("n_mentions"), zero("n_judgments"), zero("n_citations"))
 
@@ -152,7 +157,7 @@ def document_articles(documents: DataFrame, strict: DataFrame, semantic: DataFra
     """Per document (``_id``) and article it mentions: the article's name and instrument; the document's article count."""
     said = semantic.where(F.col("relation") == relation).select("_from", "_to").distinct().withColumnRenamed("_from", "_id").join(documents.select("_id"), "_id", "left_semi")
     met = said.join(nodes.select(F.col("_id").alias("_to"), F.col("display_name").alias("article_name")), "_to")
-    home = instrument_of(met.select(F.col("_to").alias("_id")).distinct(), strict).withColumnRenamed("_id", "_to")
+    home = part_of(strict).withColumnRenamed("_id", "_to")
     counts = met.groupBy("_id").agg(F.count("*").alias("article_count"))
     return met.join(home, "_to", "left").join(counts, "_id").select("_id", F.col("_to").alias("article_id"), "article_name", "instrument_id", "article_count")
 

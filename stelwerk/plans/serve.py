@@ -21,6 +21,26 @@ def node_payload(nodes: DataFrame, drop: tuple[str, ...] = ("raw_xml",)) -> Data
     return nodes.select("_id", F.to_json(fields).alias("payload"))
 
 
+#: The props a summary of each collection shows, besides id, key and display name.
+SUMMARIES = {"instruments": (), "instrument_articles": ("bwb_id", "article_number", "text"), "judgments": ("ecli",)}
+
+
+def summaries(nodes: DataFrame, collection: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``id, key, display_name`` and the collection's SUMMARIES, null where a node has no such prop; without those in ``drop``
+    (a citation's target is an article without its text)."""
+    have = nodes.schema["props"].dataType.fieldNames()
+    get = lambda n: (F.col(f"props.{n}") if n in have else F.lit(None).cast("string")).alias(n)
+    return nodes.select(F.col("_id").alias("id"), K.id_key(F.col("_id")).alias("key"), get("display_name"), *[get(n) for n in SUMMARIES[collection] if n not in drop])
+
+
+def article_relations(articles: DataFrame, strict: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Summaries of articles without their text, each with ``instrument``: the summary of the one it is part of, or null."""
+    own = summaries(articles, "instrument_articles", drop=("text",))
+    acts = summaries(instruments, "instruments").select(F.col("id").alias("instrument_id"), F.struct("id", "key", "display_name").alias("instrument"))
+    home = graph.part_of(strict).withColumnRenamed("_id", "id").join(acts, "instrument_id").select("id", "instrument")
+    return own.join(home, "id", "left")
+
+
 def judgment_summary(nodes: DataFrame) -> DataFrame:
     """``_id, ecli, summary``: the summary, else the profile a judgment was taken up for."""
     have = nodes.schema["props"].dataType.fieldNames()

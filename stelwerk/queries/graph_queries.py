@@ -14,7 +14,7 @@ from stelwerk.functions import text as X
 from stelwerk.operators import detect as D
 from stelwerk.operators import graph, merge
 from stelwerk.operators.scan import find_all
-from stelwerk.plans import linkers, normalize, serve
+from stelwerk.plans import engine, linkers, normalize, serve
 from stelwerk.queries.problems import NODE_TABLES, table
 from stelwerk.session import shared_dir
 from stelwerk.sources import raw as R
@@ -25,6 +25,8 @@ from stelwerk.streaming import ingest
 #: A profile with the names the driver tables use.
 PROFILE = {
     "topic": {"id": "topic:handhavingsrecht", "slug": "handhavingsrecht"},
+    "nl_instruments": [{"id": "voorbeeld:a", "bwb_id": "BWBR0990001", "title": "Visserijwet binnenwater"}, {"id": "voorbeeld:b", "title": "Zonder nummer"}],
+    "eu_instruments": [{"id": "voorbeeld:c", "celex": "39990R0001"}],
     "code_aliases": {"RsiIV": "BWBR0206810", "WheIV": "BWBR0207092", "VvrIV": "BWBR0207389", "RegIV": "BWBR0206396", "VsiIV": "BWBR0205511", "VhaII": "BWBR0202263", "Bac": "BWBR0201993", "WhrIV": "BWBR0201178"},
     "instrument_aliases": {"Regeling wapenwijze 2003": "BWBR0201173", "Wet onherroepelijke rioolcommissie": "BWBR0200057", "Besluit tijdelijke afvalmelding 1990": "BWBR0204202", "Wet vervoersfonds 1983": "BWBR0200256", "Wet brugvordering 2010": "BWBR0207411"},
     "filters": {"tk": {"title_contains": ["handhaving"], "dossier_keywords": ["straf"]}, "rechtspraak": {"search_terms": ["handhaving"], "ecli_prefixes": ["ECLI:NL:XQD"]}, "eurlex": {"subject_keywords": ["handhaving"]}},
@@ -408,6 +410,28 @@ def node_payloads(spark, d):
     return serve.node_payload(acts, drop=("raw_html",)).withColumnRenamed("_id", "node_id")
 
 
+def article_summaries(spark, d):
+    return serve.summaries(graph.current(table(spark, d, "instrument_articles"), "props"), "instrument_articles")
+
+
+def article_relations(spark, d):
+    """Every current article with the summary of its instrument."""
+    articles, acts = (graph.current(table(spark, d, t), "props") for t in ("instrument_articles", "instruments"))
+    got = serve.article_relations(articles, table(spark, d, "edges_strict"), acts)
+    return got.select("id", "key", "display_name", "bwb_id", "article_number", F.col("instrument.id").alias("instrument_id"), F.col("instrument.display_name").alias("instrument_name"))
+
+
+def recent_eclis(spark, d):
+    return linkers.recent_eclis(_raw(spark, d), SINCE)
+
+
+def seed_nodes(spark, d):
+    """Topic and instruments of the queries' profile, as the seed makes them."""
+    made = engine.seed_rows(spark, PROFILE)
+    cols = ["_id", "type", F.concat_ws(",", "labels").alias("labels"), F.col("props.display_name").alias("display_name")]
+    return made["topics"].select(*cols).unionByName(made["instruments"].select(*cols))
+
+
 def edge_confidences(spark, d):
     edges = table(spark, d, "edges_semantic")
     return edges.select("rec_id", serve.edge_confidence(edges).alias("confidence"))
@@ -417,7 +441,7 @@ _LIST = """raw_scan_kind_since raw_count_by_kind raw_split_by_kind raw_json_fiel
 strip_html joined_text keyword_classifier multi_rule_classifier citation_scan citation_snippets citation_first_per_number citation_edge_lastwins overlap_antijoin citation_ranges celex_format
 resolve_targets edge_build_strict edge_build_publications edge_insert_if_absent edge_upsert node_update upsert_merge_nodes seed_summary topic_or_lookup labels_contains instrument_topics mentions_of_article confident_edges
 article_detail article_citations judgment_detail document_articles node_neighbors semi_recent citations_union law_versions_latest stream_counts json_text_collect normalize_laws normalize_law_edges normalize_judgments normalize_eu_acts
-normalize_procedures normalize_publications topic_edges detect_law detect_eu detect_judgment detect_parliament link_laws stored_citations link_eu link_judgments link_parliament link_by_names node_payloads edge_confidences"""
+normalize_procedures normalize_publications topic_edges detect_law detect_eu detect_judgment detect_parliament link_laws stored_citations link_eu link_judgments link_parliament link_by_names node_payloads article_summaries article_relations recent_eclis seed_nodes edge_confidences"""
 QUERIES = {name: globals()[name] for name in _LIST.split()}
 
 _FILLED = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
@@ -651,6 +675,15 @@ _TO_TOPIC = "SELECT _key || '__{topic}__RELATED_TOPIC' AS _key, '{c}/' || _key A
 SQL["topic_edges"] = f"WITH {_CASES}, {_VERSIONS}, {_JUDGED} " + " UNION ALL ".join(
     _TO_TOPIC.format(topic=PROFILE["topic"]["slug"], c=c, t=t, source=src, hit=hit) for c, t, src, hit in (("procedures", "tk_zaak", "tk-normalize", "v.hit"), ("publications", "tk_documentversie", "tk-normalize", "v.hit"), ("judgments", "judged", "rechtspraak-normalize", "hit"))
 )
+SQL["article_summaries"] = f"SELECT _id AS id, substr(_id, 21) AS key, props.display_name AS display_name, props.bwb_id AS bwb_id, props.article_number AS article_number, props.text AS text FROM {_current('instrument_articles', 'props')}"
+SQL["article_relations"] = f"""
+  WITH {_PART_OF}, acts AS (SELECT _id, props.display_name AS n FROM {_current('instruments', 'props')})
+  SELECT a._id AS id, substr(a._id, 21) AS key, a.props.display_name AS display_name, a.props.bwb_id AS bwb_id, a.props.article_number AS article_number, i._id AS instrument_id, i.n AS instrument_name
+  FROM {_current('instrument_articles', 'props')} a LEFT JOIN part p ON p._id = a._id LEFT JOIN acts i ON i._id = p.instrument_id"""
+SQL["recent_eclis"] = f"SELECT DISTINCT meta['ecli'] AS ecli FROM raw_sources WHERE source = 'rechtspraak' AND kind = 'rs-content' AND fetched_at >= TIMESTAMP '{SINCE}' AND meta['ecli'] IS NOT NULL"
+SQL["seed_nodes"] = """SELECT * FROM (VALUES
+  ('topics/handhavingsrecht', 'topic', 'Domain', 'handhavingsrecht'), ('instruments/bwbr0990001', 'instrument', 'Handhavingsrecht', 'Visserijwet binnenwater (BWBR0990001)'),
+  ('instruments/voorbeeld_b', 'instrument', 'Handhavingsrecht', 'Zonder nummer'), ('instruments/39990r0001', 'instrument', 'Handhavingsrecht', 'EU 39990R0001')) AS t(_id, type, labels, display_name)"""
 SQL["edge_upsert"] = f"""
   WITH o AS (SELECT _key, arg_max(struct_pack(f := _from, t := _to, r := relation, c := confidence, s := source), (created_at, rec_id)) AS v FROM edges_semantic WHERE created_at < TIMESTAMP '{SINCE}' AND _key IS NOT NULL GROUP BY _key),
   n AS (SELECT _key, arg_max(struct_pack(f := _from, t := _to, r := relation, c := confidence, s := source), (created_at, rec_id)) AS v FROM edges_semantic WHERE created_at >= TIMESTAMP '{SINCE}' AND _key IS NOT NULL GROUP BY _key),
