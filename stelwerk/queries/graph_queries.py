@@ -540,6 +540,19 @@ def _detected_sql(rules: list, codes: dict, bare: bool = False, source: str = "d
         SELECT *, row_number() OVER (PARTITION BY doc_id, kind, celex, bwb_id, article_number{', bwb_id IS NULL' if bare else ''} ORDER BY seq, pos) AS rn FROM everything) WHERE rn = 1"""
 
 
+def _linked_sql(rules: list, texts: str, source: str) -> str:
+    """The edges of a linker: hits in ``texts`` (a query of doc_id and text) whose target is a node, the last of each edge."""
+    hits = _detected_sql(rules, PROFILE["code_aliases"], source=f"({texts})")
+    at = hits.rindex("SELECT doc_id, kind,")
+    key = lambda x: _KEY.format(x)
+    return hits[:at].rstrip() + f""", nodes AS MATERIALIZED ({_NODES}),
+      one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, celex, bwb_id, article_number ORDER BY seq, pos) AS rn FROM everything),
+      met AS (SELECT doc_id, seq, pos, raw_match, confidence, CASE WHEN bwb_id <> '' AND article_number IS NOT NULL THEN 'instrument_articles/' || {key("bwb_id || '_' || translate(article_number, '０１２３４５６７８９', '0123456789')")}
+        WHEN celex IS NOT NULL THEN 'instruments/' || {key('celex')} WHEN bwb_id <> '' THEN 'instruments/' || {key('bwb_id')} END AS t FROM one WHERE rn = 1),
+      last AS (SELECT doc_id AS f, t, arg_max(struct_pack(c := confidence, m := raw_match), (seq, pos)) AS v FROM met SEMI JOIN nodes n ON n._id = met.t GROUP BY doc_id, t)
+      SELECT {key("substr(f, strpos(f, '/') + 1)")} || '__' || {key("substr(t, strpos(t, '/') + 1)")} || '__MENTIONS_ARTICLE' AS _key, f AS _from, t AS _to, 'MENTIONS_ARTICLE' AS relation, v.c AS confidence, '{source}' AS source, v.m AS raw_match FROM last"""
+
+
 def _codes_for(*names: str) -> list[list[str]]:
     return [linkers.codes_of(PROFILE, D.CODES[n]) for n in names]
 
@@ -675,6 +688,17 @@ _TO_TOPIC = "SELECT _key || '__{topic}__RELATED_TOPIC' AS _key, '{c}/' || _key A
 SQL["topic_edges"] = f"WITH {_CASES}, {_VERSIONS}, {_JUDGED} " + " UNION ALL ".join(
     _TO_TOPIC.format(topic=PROFILE["topic"]["slug"], c=c, t=t, source=src, hit=hit) for c, t, src, hit in (("procedures", "tk_zaak", "tk-normalize", "v.hit"), ("publications", "tk_documentversie", "tk-normalize", "v.hit"), ("judgments", "judged", "rechtspraak-normalize", "hit"))
 )
+_STRIPPED = lambda c: _FILLED.format(c).replace(chr(92) + "s", _WHITE)
+_PAGE = "trim(regexp_replace(regexp_replace(props.raw_html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+SQL["link_eu"] = _linked_sql(D.eu_rules(*_codes_for("eu")), f"SELECT _id AS doc_id, nullif(concat_ws(chr(10), {_STRIPPED('props.title')}, {_STRIPPED('props.display_name')}, {_STRIPPED(_PAGE)}), '') AS text FROM {_current('instruments', 'labels, props')} WHERE list_contains(labels, 'EU')", "eu-article-linker")
+_LAST_CONTENT = f"SELECT 'judgments/' || {_KEY.format('ecli')} AS doc_id, arg_max(struct_pack(t := payload_text), (fetched_at, raw_key)).t AS text FROM (SELECT nullif(coalesce(meta['ecli'], external_id), '') AS ecli, payload_text, fetched_at, _key AS raw_key FROM raw_sources WHERE source = 'rechtspraak' AND kind = 'rs-content') WHERE ecli IS NOT NULL GROUP BY {_KEY.format('ecli')}"
+SQL["link_judgments"] = _linked_sql(D.judgment_rules(*_codes_for("judgment")), _LAST_CONTENT, "rechtspraak-article-linker")
+_PAPERS = " UNION ALL ".join(f"SELECT _id, labels, props.title AS title, props.raw AS raw FROM {_current(t, 'labels, props')}" for t in ("publications", "procedures"))
+_STRINGS = f"SELECT d._id, string_agg(v, chr(10) ORDER BY id) AS more FROM (SELECT d._id, t.id, {_STRIPPED("t.atom ->> '$'")} AS v FROM ({_PAPERS}) d, json_tree(CASE WHEN json_valid(d.raw) THEN d.raw END) t WHERE t.type = 'VARCHAR') d WHERE v IS NOT NULL GROUP BY d._id"
+SQL["link_parliament"] = _linked_sql(
+    [replace(r, regex=r.regex.replace(r"\Q", "").replace(r"\E", "")) for r in D.parliament_rules(act_aliases(PROFILE), *_codes_for("parliament", "parliament_short"))],
+    f"SELECT d._id AS doc_id, nullif(concat_ws(chr(10), {_STRIPPED('d.title')}, m.more), '') AS text FROM ({_PAPERS}) d LEFT JOIN ({_STRINGS}) m ON m._id = d._id WHERE list_contains(d.labels, 'TK')", "tk-article-linker",
+)
 SQL["article_summaries"] = f"SELECT _id AS id, substr(_id, 21) AS key, props.display_name AS display_name, props.bwb_id AS bwb_id, props.article_number AS article_number, props.text AS text FROM {_current('instrument_articles', 'props')}"
 SQL["article_relations"] = f"""
   WITH {_PART_OF}, acts AS (SELECT _id, props.display_name AS n FROM {_current('instruments', 'props')})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -45,11 +44,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary
-    one; on a cluster that would be another folder on each machine, so it is an error there."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``. Where none is set, a session on one machine (tests) gets a
+    temporary one; on a cluster that would be another folder on each machine, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         at = tempfile.mkdtemp(prefix="stelwerk-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)

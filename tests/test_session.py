@@ -20,8 +20,9 @@ class _Session:
 
 def test_shared_folder():
     assert S.shared_dir(_Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
-    assert S.shared_dir(_Session("local[4]")).startswith("file:///")
-    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+    for master in ("local", "local[4]", "local-cluster[3,2,1024]"):
+        assert S.shared_dir(_Session(master)).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "k8s://x"):
         with pytest.raises(ValueError):
             S.shared_dir(_Session(master))
 
