@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from dataclasses import replace
 
@@ -699,6 +700,23 @@ SQL["link_parliament"] = _linked_sql(
     [replace(r, regex=r.regex.replace(r"\Q", "").replace(r"\E", "")) for r in D.parliament_rules(act_aliases(PROFILE), *_codes_for("parliament", "parliament_short"))],
     f"SELECT d._id AS doc_id, nullif(concat_ws(chr(10), {_STRIPPED('d.title')}, m.more), '') AS text FROM ({_PAPERS}) d LEFT JOIN ({_STRINGS}) m ON m._id = d._id WHERE list_contains(d.labels, 'TK')", "tk-article-linker",
 )
+
+
+def _folded(c: str) -> str:
+    """A text without anything that isn't ASCII after compatibility decomposition: single letters by one table made from the
+    Unicode data, joined ones one by one, the rest dropped."""
+    forms = {chr(x): unicodedata.normalize("NFKD", chr(x)).encode("ascii", "ignore").decode() for x in (*range(0x80, 0x2100), *range(0x2160, 0x2180), *range(0x3000, 0x3001), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))}
+    one = {a: b for a, b in forms.items() if len(b) == 1}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    done = f"translate({c}, {quoted(''.join(one))}, {quoted(''.join(one.values()))})"
+    for a, b in forms.items():
+        if len(b) > 1 and a in "ĲĳǱǲǳ½¼¾ﬀﬁﬂﬃﬄⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶⅷⅸⅺⅻ…":
+            done = f"replace({done}, {quoted(a)}, {quoted(b)})"
+    return f"regexp_replace({done}, '[^\\x00-\\x7F]', '', 'g')"
+
+
+_KEPT = lambda c: f"CASE WHEN regexp_matches({c}, '[^' || substr('{_WHITE}', 2)) THEN {c} END"
+SQL["article_keys"] = f"SELECT rec_id, {_KEY.format(_folded('v'))} AS node_key FROM (SELECT rec_id, concat_ws('_', {_KEPT('props.bwb_id')}, {_KEPT('props.article_number')}) AS v FROM instrument_articles)"
 SQL["article_summaries"] = f"SELECT _id AS id, substr(_id, 21) AS key, props.display_name AS display_name, props.bwb_id AS bwb_id, props.article_number AS article_number, props.text AS text FROM {_current('instrument_articles', 'props')}"
 SQL["article_relations"] = f"""
   WITH {_PART_OF}, acts AS (SELECT _id, props.display_name AS n FROM {_current('instruments', 'props')})
