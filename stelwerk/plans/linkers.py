@@ -145,22 +145,22 @@ def link_by_names(docs: DataFrame, text: str, names: DataFrame, nodes: DataFrame
     """Edges for articles cited with an act's name or short title, where the names are a table of any size: the words after
     the article are joined to it, and the longest name that is there counts. ``docs``: ``_id`` and the text column.
 
-    As many words are looked at as the longest name has, and names are told apart by their words, not by the signs between
-    them. Names meet the texts by their first word first, so only words that begin a name go on; a text stays where it is,
-    what moves of it are the words after its citations."""
+    As many words are looked at as the longest name has (a small job asks the names for it), and names are told apart by
+    their words, not by the signs between them; no name goes on behind the end of a sentence. Names meet the texts by their
+    first word first, so only words that begin a name go on; what moves of a text are the words after its citations."""
     rx = pattern(_CITED)
-    longest = names.agg(F.max("n_words").alias("n")).scalar()
-    longest = F.coalesce(longest, F.lit(0))
-    # The characters behind each match, cut beside the text, so that no row holds a text twice.
-    behind = F.transform(find_all(F.col(text), rx), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.substring(F.col(text), m["end"] + 1, F.lit(REACH)).alias("after")))
-    found = docs.select(F.col("_id").alias("doc"), F.col(text).alias("_all"), F.inline(behind))
-    lead = lambda c: F.length(F.regexp_extract(c, pattern(_LEAD), 0))
-    words = lambda c: F.split(name_form(F.split(F.substring(c, lead(c) + 1, F.length(c)), _STOP)[0]), " ")
-    near = words(F.col("after"))
-    # Only where very long words fill the reach is the rest of the text looked at.
-    cut = (F.length("after") >= REACH) & (F.size(near) <= longest)
-    near = F.when(cut, words(F.substring(F.col("_all"), F.col("end") + 1, F.length("_all")))).otherwise(near)
-    found = found.where(lead(F.col("after")) > 0).select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), F.slice(near, F.lit(1), longest).alias("w"))
+    longest = names.agg(F.max("n_words")).first()[0] or 0
+
+    def behind(m: Column) -> Column:
+        """What follows a match: REACH characters, or all there is where those don't hold enough words."""
+        near, more = F.substring(F.col(text), m["end"] + 1, F.lit(REACH)), F.substring(F.col(text), m["end"] + 1, F.length(F.col(text)))
+        enough = F.regexp_count(near, F.lit(r"[\p{L}\p{N}]+")) > longest + 4
+        return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.when(enough | (F.length(near) < REACH), near).otherwise(more).alias("after"))
+
+    found = docs.select(F.col("_id").alias("doc"), F.inline(F.transform(find_all(F.col(text), rx), behind)))
+    lead = F.length(F.regexp_extract("after", pattern(_LEAD), 0))
+    name = F.split(F.substring(F.col("after"), lead + 1, F.length("after")), _STOP)[0]
+    found = found.where(lead > 0).select("doc", "start", "text", F.regexp_extract("text", rx, 1).alias("article_number"), F.slice(F.split(name_form(name), " "), 1, max(1, longest)).alias("w"))
     first = names.select(F.split("name", " ")[0].alias("first")).distinct()
     found = found.withColumn("first", F.col("w")[0]).join(first, "first", "left_semi")
     tries = found.select("doc", "start", "text", "article_number", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.concat_ws(" ", F.slice("w", F.lit(1), n)))).alias("n", "name"))
