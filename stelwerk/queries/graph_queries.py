@@ -717,6 +717,16 @@ def _folded(c: str) -> str:
 
 _KEPT = lambda c: f"CASE WHEN regexp_matches({c}, '[^' || substr('{_WHITE}', 2)) THEN {c} END"
 SQL["article_keys"] = f"SELECT rec_id, {_KEY.format(_folded('v'))} AS node_key FROM (SELECT rec_id, concat_ws('_', {_KEPT('props.bwb_id')}, {_KEPT('props.article_number')}) AS v FROM instrument_articles)"
+
+
+def _object(fields: dict[str, str]) -> str:
+    """A JSON object of the fields that aren't null, in their order."""
+    parts = ", ".join(f"'\"{n}\":' || to_json({v})::VARCHAR" for n, v in fields.items())
+    return "'{' || array_to_string(list_filter([" + parts + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
+_ACT_PROPS = _object({n: f"CASE WHEN props.{n} IS NOT NULL THEN props.{n} END" for n in ("bwb_id", "celex", "title", "short_title", "jurisdiction", "lang", "display_name")})
+SQL["node_payloads"] = "SELECT _id AS node_id, " + _object({"id": "_id", "key": "substr(_id, strpos(_id, '/') + 1)", "collection": "split_part(_id, '/', 1)", "type": "coalesce(type, '')", "display_name": "props.display_name", "labels": "labels", "props": f"nullif({_ACT_PROPS}, '{{}}')"}) + f" AS payload FROM {_current('instruments', 'type, labels, props')}"
 SQL["article_summaries"] = f"SELECT _id AS id, substr(_id, 21) AS key, props.display_name AS display_name, props.bwb_id AS bwb_id, props.article_number AS article_number, props.text AS text FROM {_current('instrument_articles', 'props')}"
 SQL["article_relations"] = f"""
   WITH {_PART_OF}, acts AS (SELECT _id, props.display_name AS n FROM {_current('instruments', 'props')})
