@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,4 +87,49 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_canonical, p4_found, p4_main_text, p7_packing, p7_fill, p8_found, p8_coverage, p8_leaked_items, p9_found, p9_shapes)}
 
-SQL: dict[str, str] = {}
+
+
+@lru_cache(maxsize=1)
+def _forms() -> dict[str, str]:
+    """What each character becomes on its own, where it doesn't stay."""
+    codes = (*range(0x9, 0x20), *range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFF0))
+    forms = {chr(x): canonical.canonical_text(f"x{chr(x)}x")[1:-1] for x in codes if not unicodedata.combining(chr(x))}
+    return {a: b for a, b in forms.items() if a != b}
+
+
+def _canonical_sql(c: str) -> str:
+    """The canonical form by whole texts: every character on its own by a table, joined letters one by one, then composed."""
+    forms = _forms()
+    one, none = {a: b for a, b in forms.items() if len(b) == 1}, [a for a, b in forms.items() if not b]
+    # Deleted characters stand last: what has no counterpart in the second list goes.
+    text = f"translate(replace({c}, chr(13) || chr(10), chr(10)), {_quoted(''.join(one) + ''.join(none))}, {_quoted(''.join(one.values()))})"
+    for a, b in forms.items():
+        if len(b) > 1 and (a in "Ĳĳ" or "\u2160" <= a <= "\u217f" or "\ufb00" <= a <= "\ufb06"):
+            text = f"replace({text}, {_quoted(a)}, {_quoted(b)})"
+    return f"trim(nfc_normalize({text}))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LOOKS = f"""
+  WITH rows_ AS (
+    SELECT 'raw_match' AS field, rec_id AS id, _from AS g, NULL AS number, meta.raw_match AS x FROM edges_semantic
+    UNION ALL SELECT 'article_number', rec_id, props.bwb_id, NULL, props.article_number FROM instrument_articles
+    UNION ALL SELECT 'text', rec_id, props.bwb_id, props.article_number, props.text FROM instrument_articles WHERE props.article_number IS NOT NULL),
+  looks AS (SELECT field, id, g, {_canonical_sql('number')} AS number, {_canonical_sql('x')} AS look, x FROM rows_ WHERE g IS NOT NULL AND x IS NOT NULL AND id IS NOT NULL)
+"""
+_SAME = "a.field = b.field AND a.g = b.g AND a.look = b.look AND a.number IS NOT DISTINCT FROM b.number"
+
+SQL: dict[str, str] = {
+    "p1_found": _LOOKS + f"SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM looks a JOIN looks b ON {_SAME} AND a.id < b.id AND a.x <> b.x",
+    "p1_classes": _LOOKS
+    + """, classed AS (SELECT field, id, min(id) OVER (PARTITION BY field, g, number, look) AS class_id, min(id) OVER (PARTITION BY field, g, number, look, x) AS spelling_id,
+        min(x) OVER (PARTITION BY field, g, number, look) AS lo, max(x) OVER (PARTITION BY field, g, number, look) AS hi FROM looks)
+      SELECT field, id AS rec_id, class_id, spelling_id FROM classed WHERE lo <> hi""",
+    "p1_canonical": f"""
+      SELECT field, rec_id, value, value <> stored AS changed FROM (SELECT field, rec_id, {_canonical_sql('stored')} AS value, stored FROM (
+        SELECT 'raw_match' AS field, rec_id, meta.raw_match AS stored FROM edges_semantic UNION ALL SELECT 'article_number', rec_id, props.article_number FROM instrument_articles
+        UNION ALL SELECT 'text', rec_id, props.text FROM instrument_articles) WHERE stored IS NOT NULL)""",
+}
