@@ -110,7 +110,8 @@ def _brute(html):
         while up is not body:
             up = above[up]
             way.append(dense(up))
-        total = sum(map(dense, e))
+        chars, linked = counts(e)[:2]
+        total = sum(map(dense, e)) * (1 - linked / max(1, chars))
         if len(e) and e.tag not in dom.INLINE and (not way or dense(e) >= min(way)) and total >= most:
             best, most = e, total
     return [e.get("id") for e in best.iter() if e is not best and e.get("id")]
