@@ -1,12 +1,12 @@
 """The main text of a web page without menus, notices, boxes and footers, by composite text density.
 
 An element's density is its characters per tag, weighted by how little of them is links and compared with the page's body.
-The densities of an element's children add up to its sum, which counts by the share of its characters outside links. The way from the body to an element gives two thresholds: its
-least density is what the element itself must reach to be a candidate, and the candidate with the greatest sum holds the
-main text; its greatest density, the element's own included, is what a box inside must reach not to interrupt the text. The
-share of links tells the blocks that only point elsewhere. Neither words nor names of elements decide, so any language will
-do. Pages don't depend on each other: one pass, no shuffle; a page is read by loops over its elements, however deep they
-are nested.
+The densities of an element's children add up to its sum, which counts by the share of its characters outside links. The
+way from the body to an element gives two thresholds: its least density is what the element itself must reach to be a
+candidate, and the candidate with the greatest sum holds the main text; its greatest density, the element's own included, is
+what a box inside must reach not to interrupt the text. The share of links tells the blocks that only point elsewhere.
+Neither words nor names of elements decide, so any language will do. Pages don't depend on each other: one pass, no shuffle;
+a page is read by loops over its elements, however deep they are nested.
 """
 
 from __future__ import annotations
