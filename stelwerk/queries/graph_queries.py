@@ -727,6 +727,38 @@ def _object(fields: dict[str, str]) -> str:
 
 _ACT_PROPS = _object({n: f"CASE WHEN props.{n} IS NOT NULL THEN props.{n} END" for n in ("bwb_id", "celex", "title", "short_title", "jurisdiction", "lang", "display_name")})
 SQL["node_payloads"] = "SELECT _id AS node_id, " + _object({"id": "_id", "key": "substr(_id, strpos(_id, '/') + 1)", "collection": "split_part(_id, '/', 1)", "type": "coalesce(type, '')", "display_name": "props.display_name", "labels": "labels", "props": f"nullif({_ACT_PROPS}, '{{}}')"}) + f" AS payload FROM {_current('instruments', 'type, labels, props')}"
+
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_PLAIN = "t"
+for _a, _b in _ENTITIES.items():
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+#: A law's XML as a table of its tags and texts, and from that the table of its elements: level, first and last place.
+_LAW_XML = rf"""
+  laws AS (SELECT law, arg_max(xml, (fetched_at, k)) AS xml FROM (SELECT coalesce(nullif(meta['bwb_id'], ''), nullif(external_id, '')) AS law, payload_text AS xml, fetched_at, _key AS k FROM raw_sources WHERE source = 'bwb' AND kind = 'bwb-toestand-xml')
+    WHERE law IS NOT NULL AND xml <> '' GROUP BY law),
+  cut AS (SELECT law, regexp_extract_all(xml, '<[^>]*>|[^<]+') AS parts FROM laws),
+  places AS (SELECT law, unnest(parts) AS t, unnest(generate_series(1, len(parts))) AS i FROM cut),
+  tags AS (SELECT *, CASE WHEN t LIKE '</%' THEN -1 WHEN t LIKE '<?%' OR t LIKE '<!%' OR t NOT LIKE '<%' THEN 0 WHEN t LIKE '%/>' THEN 2 ELSE 1 END AS kind, regexp_extract(t, '^</?(?:[^\s:>/]+:)?([^\s>/]+)', 1) AS name FROM places),
+  deep AS (SELECT *, sum(CASE WHEN kind IN (1, -1) THEN kind ELSE 0 END) OVER (PARTITION BY law ORDER BY i) AS depth FROM tags),
+  ends AS (SELECT *, CASE kind WHEN 1 THEN depth ELSE depth + 1 END AS lvl FROM deep WHERE kind <> 0),
+  closed AS (SELECT *, lead(i) OVER w AS til, lead(kind) OVER w AS nxt, lead(name) OVER w AS other FROM ends WHERE kind IN (1, -1) WINDOW w AS (PARTITION BY law, lvl ORDER BY i)),
+  broken AS (SELECT law FROM deep GROUP BY law HAVING min(depth) < 0 OR arg_max(depth, i) <> 0 OR max(depth) = 0 UNION SELECT law FROM closed WHERE kind = 1 AND (nxt IS DISTINCT FROM -1 OR other <> name)
+    UNION SELECT law FROM laws WHERE len(regexp_extract_all(xml, '&')) <> len(regexp_extract_all(xml, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);'))),
+  el AS MATERIALIZED (SELECT law, i, til, lvl, name, {_STRIPPED(r"regexp_extract(t, '\slabel\s*=\s*[" + '"' + "'']([^" + '"' + "'']*)', 1)")} AS label FROM closed WHERE kind = 1 UNION ALL SELECT law, i, i, lvl, name, NULL FROM ends WHERE kind = 2),
+  told AS (SELECT e.law, e.i, {_STRIPPED("string_agg(" + _PLAIN + ", '' ORDER BY d.i)")} AS words FROM el e JOIN deep d ON d.law = e.law AND d.i > e.i AND d.i < e.til AND d.kind = 0 AND d.t NOT LIKE '<%' WHERE e.name IN ('al', 'nr', 'lidnr') GROUP BY e.law, e.i),
+  art AS (SELECT * FROM el WHERE (name = 'artikel' OR lower(label) LIKE 'artikel%') AND law NOT IN (SELECT law FROM broken)),
+  inner_ AS (SELECT a.law, a.i AS a, e.i, e.til, e.lvl, e.name, o.words FROM art a JOIN el e ON e.law = a.law AND e.i >= a.i AND e.i <= a.til LEFT JOIN told o ON o.law = e.law AND o.i = e.i),
+  kop AS (SELECT law, a, min(i) AS i FROM inner_ WHERE name = 'kop' AND i > a GROUP BY law, a),
+  nr AS (SELECT k.law, k.a, arg_min(x.words, x.i) AS no FROM kop k JOIN el e ON e.law = k.law AND e.i = k.i JOIN (SELECT l.law, l.i, o.words FROM el l LEFT JOIN told o ON o.law = l.law AND o.i = l.i WHERE l.name = 'nr') x ON x.law = e.law AND x.i > e.i AND x.i < e.til GROUP BY k.law, k.a),
+  lid AS (SELECT p.law, p.a, p.i, string_agg(q.words, ' ' ORDER BY q.i) AS own FROM inner_ p JOIN inner_ q ON q.law = p.law AND q.a = p.a AND q.name = 'al' AND q.lvl = p.lvl + 1 AND q.i > p.i AND q.i < p.til WHERE p.name = 'lid' AND q.words IS NOT NULL GROUP BY p.law, p.a, p.i),
+  no AS (SELECT p.law, p.a, p.i, arg_min(struct_pack(w := q.words), q.i).w AS no FROM inner_ p JOIN inner_ q ON q.law = p.law AND q.a = p.a AND q.name = 'lidnr' AND q.i > p.i AND q.i < p.til WHERE p.name = 'lid' GROUP BY p.law, p.a, p.i),
+  bylid AS (SELECT l.law, l.a, string_agg(coalesce(n.no || '. ', '') || l.own, chr(10) ORDER BY l.i) AS text FROM lid l LEFT JOIN no n ON n.law = l.law AND n.a = l.a AND n.i = l.i GROUP BY l.law, l.a),
+  byal AS (SELECT law, a, string_agg(words, chr(10) ORDER BY i) AS text FROM inner_ WHERE name = 'al' AND words IS NOT NULL GROUP BY law, a),
+  found AS (SELECT a.law, a.i, coalesce(n.no, nullif(regexp_replace(CASE WHEN lower(a.label) LIKE 'artikel%' THEN a.label END, '(?i)^artikel[:.\s]*', ''), '')) AS number, coalesce(l.text, b.text) AS text
+    FROM art a LEFT JOIN nr n ON n.law = a.law AND n.a = a.i LEFT JOIN bylid l ON l.law = a.law AND l.a = a.i LEFT JOIN byal b ON b.law = a.law AND b.a = a.i),
+  articles AS (SELECT {_KEY.format(_folded("law || '_' || number"))} AS _key, arg_max(struct_pack(law := law, number := number, text := text), i) AS v FROM found WHERE number IS NOT NULL AND text IS NOT NULL GROUP BY 1)"""
+SQL["normalize_laws"] = f"WITH {_LAW_XML} SELECT _key, v.law AS bwb_id, v.number AS article_number, v.text AS text FROM articles"
+SQL["normalize_law_edges"] = f"WITH {_LAW_XML}, parts AS (SELECT _key, {_KEY.format(_folded('v.law'))} AS law FROM articles) SELECT _key || '__' || law || '__PART_OF_INSTRUMENT' AS _key, 'instrument_articles/' || _key AS _from, 'instruments/' || law AS _to, 'PART_OF_INSTRUMENT' AS relation FROM parts"
 SQL["article_summaries"] = f"SELECT _id AS id, substr(_id, 21) AS key, props.display_name AS display_name, props.bwb_id AS bwb_id, props.article_number AS article_number, props.text AS text FROM {_current('instrument_articles', 'props')}"
 SQL["article_relations"] = f"""
   WITH {_PART_OF}, acts AS (SELECT _id, props.display_name AS n FROM {_current('instruments', 'props')})
