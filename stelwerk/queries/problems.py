@@ -160,6 +160,31 @@ node AS (
     SELECT n.raw_key, CASE WHEN json_type(n.j) = 'OBJECT' THEN c.key ELSE n.entity END AS entity, {_INNER.format('c.value')} AS j, coalesce(n.own, n.anchor) AS anchor FROM node n, json_each(n.j) c
     WHERE json_type(n.j) IN ('OBJECT', 'ARRAY')))
 """
+_UNESCAPED = "id"
+for _a, _b in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "''", "&amp;": "&"}.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_a}', '{_b}')"
+_ATTRIBUTE = r"""\s(?:[^\s=:"'']+:)?id\s*=\s*"""
+#: Payloads in XML as a table of tags, and from that the identified elements with the nearest one around each.
+_XML_IDS = rf"""
+  xmls AS (SELECT _key AS raw_key, payload_text AS xml FROM raw_sources WHERE payload_text IS NOT NULL AND kind IS DISTINCT FROM 'eu-celex-html'),
+  cut AS (SELECT raw_key, regexp_extract_all(xml, '<!--(?:[^-]|-[^-])*-->|<!\[CDATA\[[^\]]*\]\]>|<[^>]*>|[^<]+') AS parts FROM xmls),
+  places AS (SELECT raw_key, unnest(parts) AS t, unnest(generate_series(1, len(parts))) AS i FROM cut),
+  tags AS (SELECT *, CASE WHEN t LIKE '</%' THEN -1 WHEN t LIKE '<?%' OR t LIKE '<!%' OR t NOT LIKE '<%' THEN 0 WHEN t LIKE '%/>' THEN 2 ELSE 1 END AS kind, regexp_extract(t, '^</?(?:[^\s:>/]+:)?([^\s>/]+)', 1) AS name FROM places),
+  deep AS (SELECT *, sum(CASE WHEN kind IN (1, -1) THEN kind ELSE 0 END) OVER (PARTITION BY raw_key ORDER BY i) AS depth FROM tags),
+  ends AS (SELECT *, CASE kind WHEN 1 THEN depth ELSE depth + 1 END AS lvl FROM deep WHERE kind <> 0),
+  closed AS (SELECT *, lead(i) OVER w AS til, lead(kind) OVER w AS nxt, lead(name) OVER w AS other FROM ends WHERE kind IN (1, -1) WINDOW w AS (PARTITION BY raw_key, lvl ORDER BY i)),
+  broken AS (
+    SELECT raw_key FROM deep GROUP BY raw_key HAVING min(depth) < 0 OR arg_max(depth, i) <> 0 OR max(CASE WHEN kind > 0 THEN 1 ELSE 0 END) = 0
+    UNION SELECT raw_key FROM closed WHERE kind = 1 AND (nxt IS DISTINCT FROM -1 OR other <> name)
+    UNION SELECT raw_key FROM ends WHERE lvl = 1 AND kind > 0 GROUP BY raw_key HAVING count(*) > 1
+    UNION SELECT raw_key FROM deep WHERE depth = 0 AND kind = 0 AND t NOT LIKE '<%' AND regexp_matches(t, '[^ \t\r\n]')
+    UNION SELECT raw_key FROM xmls WHERE len(regexp_extract_all(xml, '&')) <> len(regexp_extract_all(xml, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);'))),
+  el AS (SELECT raw_key, i, til, t, name FROM closed WHERE kind = 1 UNION ALL SELECT raw_key, i, i, t, name FROM ends WHERE kind = 2),
+  own AS MATERIALIZED (
+    SELECT raw_key, i, til, name, {_UNESCAPED} AS id FROM (SELECT *, coalesce(nullif(regexp_extract(t, '{_ATTRIBUTE}"([^"]*)"', 1), ''), regexp_extract(t, '{_ATTRIBUTE}''([^'']*)''', 1)) AS id FROM el
+    WHERE regexp_matches(t, '{_ATTRIBUTE}["'']') AND raw_key NOT IN (SELECT raw_key FROM broken))),
+  xml_ids AS (SELECT c.raw_key, c.name AS entity, any_value(c.id) AS child_id, coalesce(arg_max(p.id, p.i), c.raw_key) AS parent_id FROM own c LEFT JOIN own p ON p.raw_key = c.raw_key AND p.i < c.i AND p.til > c.i GROUP BY c.raw_key, c.name, c.i)
+"""
 _OBJECTS = f"""
 WITH RECURSIVE top AS (SELECT _key AS raw_key, payload_json::JSON AS j FROM raw_sources WHERE json_valid(payload_json)),
 node AS (
@@ -173,8 +198,11 @@ named AS (
   SELECT DISTINCT n FROM objects, json_each(j) c WHERE lower(c.key) = 'id' AND json_type(c.value) NOT IN ('BOOLEAN', 'NULL') AND json_type({_INNER.format('c.value')}) NOT IN ('OBJECT', 'ARRAY') AND regexp_matches(c.value ->> '$', '\\S'))
 """
 
+_IDS = "SELECT DISTINCT raw_key, entity, own AS child_id, anchor AS parent_id FROM node WHERE own IS NOT NULL"
+
 SQL = {
-    "p6_json_ids": _JSON_IDS + "SELECT DISTINCT raw_key, entity, own AS child_id, anchor AS parent_id FROM node WHERE own IS NOT NULL",
+    "p6_found": _JSON_IDS.rstrip() + "," + _XML_IDS + _IDS + " UNION SELECT raw_key, entity, child_id, parent_id FROM xml_ids",
+    "p6_json_ids": _JSON_IDS + _IDS,
     "p6_json_objects": _OBJECTS + "SELECT raw_key, entity, count(*) AS n_objects, count(named.n) AS n_ids, min(depth) AS min_depth, max(depth) AS max_depth FROM objects LEFT JOIN named USING (n) GROUP BY raw_key, entity",
     "p2_found": _PERIODS + "SELECT bwb_id, kind, strftime(a, '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS end_date FROM rows_",
     "p2_coverage": _PERIODS + """SELECT bwb_id, count(*) FILTER (kind = 'period') AS n_periods, count(*) FILTER (kind = 'gap') AS n_gaps,
