@@ -133,3 +133,28 @@ SQL: dict[str, str] = {
         SELECT 'raw_match' AS field, rec_id, meta.raw_match AS stored FROM edges_semantic UNION ALL SELECT 'article_number', rec_id, props.article_number FROM instrument_articles
         UNION ALL SELECT 'text', rec_id, props.text FROM instrument_articles) WHERE stored IS NOT NULL)""",
 }
+
+
+#: The shapes of problem 9 by tokens: links, words and separators in their order, counted per line of LINE words.
+_SHAPES = rf"""
+  WITH plain AS (
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(1), ' '), '<[aA][^<>]*>', ' ' || chr(1) || ' ', 'g'), '</?[a-zA-Z][^<>]*>', ' ', 'g'),
+      '(?:https?://|www\.)[^\s<>"'')\]]+|[\pL\pN_-]+(?:\.[\pL\pN_-]+)+/[^\s<>"'')\]]*', ' ' || chr(1) || ' ', 'g'), '(^|[\pZ\n\r\t\x0b\x0c\x85])-', '\1' || chr(2), 'g') AS t FROM documents WHERE text IS NOT NULL),
+  cut AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '[\p{{Cf}}\p{{Mn}}\p{{Me}}]', '', 'g'), '([.!?。！？])\pZ', '\1' || chr(10), 'g'), '[\n\r\t\x0b\x0c\x85\x{{2028}}\x{{2029}}]')) AS line FROM plain),
+  numbered AS (SELECT doc_id, row_number() OVER () AS line_id, regexp_extract_all(line, '\x01|[\pL\p{{Mc}}]+|[#|•·»>,;:/–—$€£()\[\]\x02]') AS parts FROM cut),
+  tokens AS (SELECT doc_id, line_id, unnest(parts) AS tok, unnest(generate_series(1, len(parts))) AS i FROM numbered WHERE len(parts) > 0),
+  told AS (SELECT *, tok = chr(1) AS is_link, regexp_matches(tok, '^[\pL\p{{Mc}}]') AS is_word FROM tokens),
+  placed AS (SELECT *, sum(CASE WHEN is_link OR is_word THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY i) AS u, lower(tok) AS low FROM told),
+  pieces AS (SELECT *, cast(greatest(u - 1, 0) AS BIGINT) // {spam.LINE} AS p FROM placed),
+  repeated AS (SELECT line_id, p, sum(n) AS n FROM (SELECT line_id, p, low, count(*) AS n FROM pieces WHERE is_word AND length(tok) > {spam.SHORT} GROUP BY line_id, p, low HAVING count(*) > 1) GROUP BY line_id, p),
+  main AS (SELECT line_id, p, arg_max(c, (n, -c)) AS sep, sum(n) AS n FROM (SELECT line_id, p, CASE WHEN tok = chr(2) THEN 45 ELSE unicode(tok) END AS c, count(*) AS n FROM pieces WHERE NOT is_word AND NOT is_link GROUP BY line_id, p, c) GROUP BY line_id, p),
+  counted AS (SELECT doc_id, line_id, p, count(*) FILTER (is_word) AS words, count(*) FILTER (is_link) AS links, count(*) FILTER (is_word AND length(tok) <= {spam.SHORT}) AS short,
+      count(*) FILTER (is_word AND regexp_matches(tok, '^[\p{{Lu}}\p{{Lt}}]')) AS caps, count(*) FILTER (is_word AND u = 1 AND regexp_matches(tok, '^[\p{{Lu}}\p{{Lt}}]')) AS led FROM pieces GROUP BY doc_id, line_id, p HAVING words + links > 0),
+  lines AS (SELECT c.*, coalesce(r.n, 0) AS again, coalesce(m.n, 0) AS seps, m.sep FROM counted c LEFT JOIN repeated r USING (line_id, p) LEFT JOIN main m USING (line_id, p)),
+  judged AS (SELECT *, words >= {spam.LEAST} AND short > 0 AND links * {spam.LINKED} <= words AND seps * {spam.SEPARATED} <= words AND again <= {spam.REPEATED} * words AS sentence,
+      [CASE WHEN words < 3 THEN words WHEN words < 6 THEN 3 WHEN words < 10 THEN 4 ELSE 5 END, CASE WHEN caps = 0 THEN 0 WHEN caps = 1 AND led = 1 THEN 1 WHEN caps * 2 > words THEN 3 ELSE 2 END, coalesce(sep, 0), (links > 0)::INT, (again > {spam.REPEATED} * words)::INT] AS shape FROM lines),
+  grouped AS (SELECT doc_id, shape, sum(words + links) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY sum(words + links) DESC) AS rn FROM judged WHERE NOT sentence GROUP BY doc_id, shape),
+  top AS (SELECT doc_id, sum(n) AS n FROM grouped WHERE rn <= {spam.TOP} GROUP BY doc_id),
+  totals AS (SELECT doc_id, sum(words + links) AS n FROM judged GROUP BY doc_id)
+"""
+SQL["p9_found"] = _SHAPES + f"SELECT t.doc_id FROM totals t JOIN top USING (doc_id) WHERE t.n >= {spam.WHOLE} AND top.n >= {spam.DOMINANT} * t.n"
