@@ -778,3 +778,28 @@ SQL["node_update"] = f"""
   n AS (SELECT _key, arg_max(props, (ingested_at, rec_id)) AS p FROM publications WHERE ingested_at >= TIMESTAMP '{SINCE}' GROUP BY _key)
   SELECT o._key, coalesce(n.p.title, o.p.title) AS title, coalesce(n.p.procedure_external_id, o.p.procedure_external_id) AS procedure_external_id, n._key IS NOT NULL AS updated FROM o LEFT JOIN n ON o._key = n._key"""
 SQL["citation_snippets"] = f"WITH {_scan_sql(CITED)} SELECT doc_id, pos AS start_pos, regexp_replace(substr(text, greatest(pos - 40, 0) + 1, least(length(text), pos + length(raw_match) + 40) - greatest(pos - 40, 0)), '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS snippet FROM hits"
+
+
+def _words(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^\\pL\\pN]+', ' ', 'g'))"
+
+
+_NO_TAGS = lambda c: f"trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_CITED_RE = linkers._CITED
+_NAMED_DOCS = f"""
+  docs AS (
+    SELECT _id AS doc_id, concat_ws(' ', props.title, CASE WHEN json_valid(props.raw) THEN json_extract_string(props.raw, '$.Tekst') END) AS text FROM {_current('publications', 'props')}
+    UNION ALL SELECT _id, props.text FROM {_current('instrument_articles', 'props')}
+    UNION ALL SELECT _id, {_NO_TAGS('props.raw_html')} FROM {_current('instruments', 'labels, props')} WHERE list_contains(labels, 'EU')
+    UNION ALL SELECT doc_id, {_NO_TAGS('text')} FROM ({_LAST_CONTENT}))"""
+SQL["link_by_names"] = f"""
+  WITH {_NAMED_DOCS}, {_found('hit', _CITED_RE, 'docs', 'doc_id', 'text')},
+  named AS (SELECT name, min(bwb_id) AS bwb_id FROM (SELECT props.bwb_id AS bwb_id, {_words('unnest([props.title, props.short_title])')} AS name FROM instruments WHERE props.bwb_id IS NOT NULL) WHERE name <> '' GROUP BY name HAVING min(bwb_id) = max(bwb_id)),
+  behind AS (SELECT doc_id, pos, raw_match, {_group(_CITED_RE, 1)} AS no, substr(_t, pos + length(raw_match) + 1) AS after FROM hit),
+  led AS (SELECT *, regexp_extract(after, '(?i)^{_WHITE}+(?:(?:van|of|de|der){_WHITE}+)?(?:(?:de|het|the){_WHITE}+)?') AS lead FROM behind),
+  told AS (SELECT doc_id, pos, raw_match, no, string_split({_words(f"regexp_split_to_array(substr(after, length(lead) + 1), '[.!?:]{_WHITE}|[;' || chr(10) || ']')[1]")}, ' ') AS w FROM led WHERE lead <> ''),
+  tries AS (SELECT doc_id, pos, raw_match, no, w, unnest(generate_series(1, least(len(w), (SELECT max(len(string_split(name, ' '))) FROM named)))) AS n FROM told),
+  best AS (SELECT doc_id, pos, raw_match, no, arg_max(m.bwb_id, n) AS bwb_id FROM tries t JOIN named m ON m.name = array_to_string(w[1:n], ' ') GROUP BY ALL),
+  met AS (SELECT doc_id AS f, 'instrument_articles/' || {_KEY.format("bwb_id || '_' || translate(no, '０１２３４５６７８９', '0123456789')")} AS t, pos, raw_match FROM best),
+  last AS (SELECT f, t, arg_max(raw_match, (pos, raw_match)) AS m FROM met WHERE t IN (SELECT _id FROM instrument_articles) GROUP BY f, t)
+  SELECT {_KEY.format("substr(f, strpos(f, '/') + 1)")} || '__' || {_KEY.format("substr(t, strpos(t, '/') + 1)")} || '__MENTIONS_ARTICLE' AS _key, f AS _from, t AS _to, 'MENTIONS_ARTICLE' AS relation, 0.95::DOUBLE AS confidence, 'name-linker' AS source, m AS raw_match FROM last"""
