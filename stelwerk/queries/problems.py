@@ -179,7 +179,7 @@ _XML_IDS = rf"""
     UNION SELECT raw_key FROM ends WHERE lvl = 1 AND kind > 0 GROUP BY raw_key HAVING count(*) > 1
     UNION SELECT raw_key FROM deep WHERE depth = 0 AND kind = 0 AND t NOT LIKE '<%' AND regexp_matches(t, '[^ \t\r\n]')
     UNION SELECT raw_key FROM xmls WHERE len(regexp_extract_all(xml, '&')) <> len(regexp_extract_all(xml, '&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);'))),
-  el AS (SELECT raw_key, i, til, t, name FROM closed WHERE kind = 1 UNION ALL SELECT raw_key, i, i, t, name FROM ends WHERE kind = 2),
+  el AS (SELECT raw_key, i, til, t, name, lvl FROM closed WHERE kind = 1 UNION ALL SELECT raw_key, i, i, t, name, lvl FROM ends WHERE kind = 2),
   own AS MATERIALIZED (
     SELECT raw_key, i, til, name, {_UNESCAPED} AS id FROM (SELECT *, coalesce(nullif(regexp_extract(t, '{_ATTRIBUTE}"([^"]*)"', 1), ''), regexp_extract(t, '{_ATTRIBUTE}''([^'']*)''', 1)) AS id FROM el
     WHERE regexp_matches(t, '{_ATTRIBUTE}["'']') AND raw_key NOT IN (SELECT raw_key FROM broken))),
@@ -200,7 +200,12 @@ named AS (
 
 _IDS = "SELECT DISTINCT raw_key, entity, own AS child_id, anchor AS parent_id FROM node WHERE own IS NOT NULL"
 
+_LINKS = f"""
+  SELECT DISTINCT 'json' AS form, n.entity, c.key AS child FROM node n, json_each(n.j) c WHERE json_type(n.j) = 'OBJECT' AND json_type({_INNER.format('c.value')}) IN ('OBJECT', 'ARRAY')
+  UNION SELECT 'xml', p.name, c.name FROM el c JOIN el p ON p.raw_key = c.raw_key AND p.lvl = c.lvl - 1 AND p.i < c.i AND p.til > c.i WHERE c.raw_key NOT IN (SELECT raw_key FROM broken)"""
+
 SQL = {
+    "p6_table_links": _JSON_IDS.rstrip() + "," + _XML_IDS + _LINKS,
     "p6_found": _JSON_IDS.rstrip() + "," + _XML_IDS + _IDS + " UNION SELECT raw_key, entity, child_id, parent_id FROM xml_ids",
     "p6_json_ids": _JSON_IDS + _IDS,
     "p6_json_objects": _OBJECTS + "SELECT raw_key, entity, count(*) AS n_objects, count(named.n) AS n_ids, min(depth) AS min_depth, max(depth) AS max_depth FROM objects LEFT JOIN named USING (n) GROUP BY raw_key, entity",
