@@ -200,11 +200,33 @@ named AS (
 
 _IDS = "SELECT DISTINCT raw_key, entity, own AS child_id, anchor AS parent_id FROM node WHERE own IS NOT NULL"
 
+_KIND = "CASE json_type({0}) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'NULL' THEN NULL ELSE CASE WHEN length({0} ->> '$') < 19 THEN 'bigint' ELSE 'double' END END"
+_SCHEMA = rf"""
+  , members AS (
+    SELECT n.entity, c.key AS field, {_INNER.format('c.value')} AS v, c.value AS raw FROM node n, json_each(n.j) c WHERE json_type(n.j) = 'OBJECT'
+    UNION ALL SELECT n.entity, '#value', {_INNER.format('c.value')}, c.value FROM node n, json_each(n.j) c WHERE json_type(n.j) = 'ARRAY' AND json_type({_INNER.format('c.value')}) NOT IN ('OBJECT', 'ARRAY')),
+  json_kinds AS (SELECT 'json' AS form, entity, field, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE {_KIND.format('raw')} END AS kind FROM members),
+  good AS MATERIALIZED (SELECT * FROM el WHERE raw_key NOT IN (SELECT raw_key FROM broken)),
+  attrs AS (SELECT DISTINCT raw_key, i, name, regexp_replace(a, '^[^:]*:', '') AS field FROM (SELECT raw_key, i, name, unnest(regexp_extract_all(t, '\s([^\s=<>"''/]+)\s*=\s*(?:"[^"]*"|''[^'']*'')', 1)) AS a FROM good) WHERE a <> 'xmlns' AND a NOT LIKE 'xmlns:%'),
+  near AS (SELECT raw_key, t, kind, last_value(CASE WHEN kind <> 0 THEN i END IGNORE NULLS) OVER (PARTITION BY raw_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS behind FROM deep),
+  told AS (SELECT raw_key, behind FROM near WHERE kind = 0 AND t NOT LIKE '<%' AND behind IS NOT NULL AND regexp_matches(t, '[^\s\x0b\x{{85}}\x{{A0}}]')),
+  texts AS (
+    SELECT DISTINCT g.raw_key, g.i, g.name, '#text' AS field FROM told n JOIN good g ON g.raw_key = n.raw_key AND g.i = n.behind AND g.til > g.i
+    UNION SELECT DISTINCT g.raw_key, g.i, g.name, '#tail' FROM told n JOIN good g ON g.raw_key = n.raw_key AND g.til = n.behind),
+  own_fields AS (SELECT * FROM attrs UNION SELECT * FROM texts),
+  held AS (SELECT DISTINCT p.raw_key, p.i, p.name, c.name AS field FROM good c JOIN good p ON p.raw_key = c.raw_key AND p.lvl = c.lvl - 1 AND p.i < c.i AND p.til > c.i),
+  xml_kinds AS (
+    SELECT 'xml' AS form, name AS entity, field, 'string' AS kind FROM own_fields
+    UNION ALL SELECT 'xml', name, field, 'array' FROM held h WHERE NOT EXISTS (SELECT 1 FROM own_fields o WHERE o.raw_key = h.raw_key AND o.i = h.i AND o.field = h.field)),
+  kinds AS (SELECT *, kind IN ('object', 'array') AS below FROM (SELECT * FROM json_kinds UNION ALL SELECT * FROM xml_kinds) WHERE kind IS NOT NULL)
+  SELECT form, entity, field, CASE WHEN below OR min(kind) = max(kind) THEN min(kind) WHEN min(kind) = 'bigint' AND max(kind) = 'double' AND NOT bool_or(kind = 'boolean') THEN 'double' ELSE 'string' END AS kind, count(*) AS n
+  FROM kinds GROUP BY form, entity, field, below"""
 _LINKS = f"""
   SELECT DISTINCT 'json' AS form, n.entity, c.key AS child FROM node n, json_each(n.j) c WHERE json_type(n.j) = 'OBJECT' AND json_type({_INNER.format('c.value')}) IN ('OBJECT', 'ARRAY')
   UNION SELECT 'xml', p.name, c.name FROM el c JOIN el p ON p.raw_key = c.raw_key AND p.lvl = c.lvl - 1 AND p.i < c.i AND p.til > c.i WHERE c.raw_key NOT IN (SELECT raw_key FROM broken)"""
 
 SQL = {
+    "p6_merged_schema": _JSON_IDS.rstrip() + "," + _XML_IDS.rstrip() + _SCHEMA,
     "p6_table_links": _JSON_IDS.rstrip() + "," + _XML_IDS + _LINKS,
     "p6_found": _JSON_IDS.rstrip() + "," + _XML_IDS + _IDS + " UNION SELECT raw_key, entity, child_id, parent_id FROM xml_ids",
     "p6_json_ids": _JSON_IDS + _IDS,
