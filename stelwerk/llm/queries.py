@@ -158,3 +158,9 @@ _SHAPES = rf"""
   totals AS (SELECT doc_id, sum(words + links) AS n FROM judged GROUP BY doc_id)
 """
 SQL["p9_found"] = _SHAPES + f"SELECT t.doc_id FROM totals t JOIN top USING (doc_id) WHERE t.n >= {spam.WHOLE} AND top.n >= {spam.DOMINANT} * t.n"
+_SIZE, _CAPS = ("CASE shape[1] " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(spam._SIZES)) + " END", "CASE shape[2] " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(spam._CAPS)) + " END")
+SQL["p9_shapes"] = _SHAPES.rstrip() + f""",
+  first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, shape) AS k FROM grouped) WHERE k = 1),
+  flagged AS (SELECT t.doc_id FROM totals t JOIN top USING (doc_id) WHERE t.n >= {spam.WHOLE} AND top.n >= {spam.DOMINANT} * t.n)
+  SELECT {_SIZE} || ' words, capitals ' || {_CAPS} || CASE WHEN shape[3] > 0 THEN ', ' || chr(shape[3]::INT) ELSE '' END || CASE WHEN shape[4] = 1 THEN ', link' ELSE '' END || CASE WHEN shape[5] = 1 THEN ', repeated' ELSE '' END AS top_shape,
+    count(*) AS n_pages, count(*) FILTER (doc_id IN (SELECT doc_id FROM flagged)) AS n_flagged, cast(sum(n) AS BIGINT) AS n_words FROM first_ GROUP BY top_shape"""
